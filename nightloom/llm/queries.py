@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from nightloom.llm import decontaminate, fingerprint, line_dedup, sharding
+from nightloom.llm import decontaminate, fingerprint, line_dedup, near_dedup, sharding
 
 QUERIES = {
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_sharding": sharding.op6_sharding,
     "op7_fingerprint": fingerprint.op7_fingerprint,
     "op8_decontaminate": decontaminate.op8_decontaminate,
