@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from nightloom.llm import decontaminate, fingerprint, line_dedup, near_dedup, sharding
+from nightloom.llm import decontaminate, fingerprint, line_dedup, near_dedup, quality, sharding
 
 QUERIES = {
+    "op2_quality": quality.op2_quality,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_sharding": sharding.op6_sharding,
