@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from nightloom.llm import decontaminate, fingerprint, line_dedup, near_dedup, quality, sharding
+from nightloom.llm import decontaminate, fingerprint, line_dedup, near_dedup, quality, sharding, toxicity
 
 QUERIES = {
     "op2_quality": quality.op2_quality,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_sharding": sharding.op6_sharding,
