@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from nightloom.llm import decontaminate, fingerprint, language, line_dedup, near_dedup, quality, sharding, toxicity
+from nightloom.llm import decontaminate, fingerprint, language, line_dedup, near_dedup, ngram_lm, quality, sharding, toxicity
 
 QUERIES = {
     "op2_quality": quality.op2_quality,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_fingerprint": fingerprint.op7_fingerprint,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_language": language.op9_language,
+    "op10_ngram_lm": ngram_lm.op10_ngram_lm,
 }
 ORACLES = {
     "op4_line_dedup": line_dedup.ORACLE,
