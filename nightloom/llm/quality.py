@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -93,7 +94,7 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
             dictionaries.append(b"".join(some)[-DICTIONARY_BYTES:])
     model = {"share": share, "good": dictionaries[0], "bad": dictionaries[1]}
     held = rows.where(F.pmod("doc_id", F.lit(3)) == 0)
-    measured = held.mapInArrow(_measurer(model, "label"), "doc_id long, label int, whole double, worst double, tight double").collect()
+    measured = held.mapInArrow(_measurer(model), "doc_id long, label int, whole double, worst double, tight double").collect()
     measured.sort(key=lambda r: (r.doc_id, r.whole))
     y = np.array([r.label for r in measured])
     if len(set(y.tolist())) < 2:
@@ -104,7 +105,7 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
     return model | {"logit": S.logistic(x, y, w, ridge=1e-2).tolist()}
 
 
-def _measurer(model: dict, extra: str | None = None):
+def _measurer(model: dict):
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = Measure(model["good"], model["bad"])
         for batch in batches:
@@ -114,14 +115,41 @@ def _measurer(model: dict, extra: str | None = None):
     return measure
 
 
+def _score(model: dict):
+    *slopes, start = model["logit"]
+    logit = sum((F.lit(b) * F.col(f"`{_NEW}`.{k}") for b, k in zip(slopes, MEASURES, strict=True)), F.lit(start))
+    return 1 / (1 + F.exp(-logit))
+
+
+#: The name of the column of measures beside a table's own columns.
+_NEW = "nightloom measures"
+
+
+def _measured(docs: DataFrame, model: dict) -> DataFrame:
+    """docs with a column of measures of the text."""
+    kinds = "struct<whole: double, worst: double, tight: double>"
+
+    @F.pandas_udf(kinds)
+    def measures(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        by = Measure(model["good"], model["bad"])
+        for text in texts:
+            yield pd.DataFrame([by(t) for t in text], columns=MEASURES, dtype=float)
+
+    return docs.withColumn(_NEW, measures(F.col("text").cast("string")))
+
+
 def score_quality(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, score (0 to 1) of every row of docs (doc_id, text)."""
     if "logit" not in model:
         return docs.select("doc_id", F.lit(float(model["share"])).alias("score"))
-    *slopes, start = model["logit"]
-    measured = docs.select("doc_id", "text").mapInArrow(_measurer(model), "doc_id long, whole double, worst double, tight double")
-    logit = sum((F.lit(b) * F.col(k) for b, k in zip(slopes, MEASURES, strict=True)), F.lit(start))
-    return measured.select("doc_id", (1 / (1 + F.exp(-logit))).alias("score"))
+    return _measured(docs.select("doc_id", "text"), model).select("doc_id", _score(model).alias("score"))
+
+
+def keep_good(docs: DataFrame, model: dict, least: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is at least `least`."""
+    if "logit" not in model:
+        return docs.where(F.lit(float(model["share"]) >= least))
+    return _measured(docs, model).where(_score(model) >= least).select(*docs.columns)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

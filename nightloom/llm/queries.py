@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from nightloom.llm import decontaminate, fingerprint, language, line_dedup, near_dedup, ngram_lm, quality, sharding, toxicity
+from nightloom.llm import decontaminate, fingerprint, language, line_dedup, near_dedup, ngram_lm, quality, sentence_pieces, sharding, toxicity
 
 QUERIES = {
+    "op1_sentence_pieces": sentence_pieces.op1_sentence_pieces,
     "op2_quality": quality.op2_quality,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_line_dedup": line_dedup.op4_line_dedup,
