@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from nightloom.plans import frame_queries, session_queries, solver_queries, stacking_queries
+
+MODULES = (stacking_queries, frame_queries, session_queries, solver_queries)
+QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
+ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
 FLAGSHIP = "stack_sigma_clip"
