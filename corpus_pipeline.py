@@ -20,6 +20,11 @@ def _text(docs: DataFrame) -> DataFrame:
     return C.documents_only(docs)
 
 
+def _like(changed: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs, in their order, whatever their names hold."""
+    return changed.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier scores as good. A null doc_id or text is scored like any other."""
     labels = C.table(spark, sf_dir, "labels").where(C.fold(F.col("doc_id"), 3) != 1)
@@ -31,20 +36,20 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     kept = line_dedup.dedup_lines(docs, carry=True)
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return kept.select(*docs.columns)
+    return _like(kept, docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies (five-word shingles), the smallest doc_id."""
     classes = near_dedup.near_duplicates(_text(docs), width=5)
     gone = classes.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    return _like(docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti"), docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item (0.8 of its five-word shingles)."""
     gone = decontaminate.find_leaks(docs, C.table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    return _like(docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti"), docs)
 
 
 def sentence_piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -149,7 +149,7 @@ def keep_good(docs: DataFrame, model: dict, least: float = 0.5) -> DataFrame:
     """The rows of docs, with all their columns, whose score is at least `least`."""
     if "logit" not in model:
         return docs.where(F.lit(float(model["share"]) >= least))
-    return _measured(docs, model).where(_score(model) >= least).select(*docs.columns)
+    return _measured(docs, model).where(_score(model) >= least).drop(_NEW)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
