@@ -3,7 +3,7 @@
 Terms are words and their beginnings (4, 5, 6 and 8 bytes), hashed. From a bounded sample of labelled documents the
 terms that go with label 1 are chosen (chi-square); their document frequencies are counted over all documents.
 Examples are unit TF-IDF vectors over these terms. The index has, for each term, postings by example, in blocks
-of 64 examples with the largest weight of each block. A text's blocks are taken in the order of their bounds until no
+of 512 examples with the largest weight of each block. A text's blocks are taken in the order of their bounds until no
 bound reaches the k-th best cosine, so the neighbours are exact. Votes weighted by cosine, and the nearest toxic
 example's cosine, become a score through a logistic regression on labelled documents outside the index.
 
@@ -28,7 +28,7 @@ from nightloom.llm import wordhash as H
 #: Bounds of the labelled sample and of the chosen terms.
 DOCS_A_CLASS, TERMS = 3000, 2000
 BEGINNINGS = (4, 5, 6, 8)
-BLOCK, NEAREST = 64, 8
+BLOCK, NEAREST = 512, 8
 #: Terms are tested by the million; at this value hardly any is chosen by chance.
 LEAST_CHI2 = 30.0
 
