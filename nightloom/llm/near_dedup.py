@@ -9,7 +9,10 @@
    signatures agree far too little for the threshold, go.
 3. Candidates are confirmed on full shingle sets made from the whole texts: first the most alike partner of each
    document, then, of the others, those that still join two different components.
-4. Components come from repeated contraction of the links, as joins and sums in Spark.
+4. In a cluster of candidates that is larger than a row's neighbourhood, a document may have its only partner beyond
+   its neighbours. There every document outside the cluster's largest component is compared with all others of the
+   cluster, exactly, in small blocks that spread over tasks; only links come out. So no partner is lost to the limit.
+5. Components come from repeated contraction of the links, as joins and sums in Spark.
 
 Defined results: without words n_shingles is 0 and the document stands alone; with fewer words than a shingle the
 whole sequence is the one shingle; a row with a null doc_id is kept, with a null component; a repeated row
@@ -21,6 +24,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -129,6 +133,62 @@ def _confirm(width: int):
     return confirm
 
 
+#: Documents outside the main component, and of the whole cluster, that one block compares.
+BLOCK_FEW, BLOCK_ALL = 64, 192
+
+
+def _blocks(width: int):
+    """Links between the few (side 0) and all (side 1) documents of a block, one for each of the few and component."""
+
+    def sets_of(texts: list[str]) -> list[np.ndarray]:
+        powers, out = H.Powers(), []
+        for i, j, data, off in H.slices(pa.array(texts, pa.string())):
+            h, of = _sets(H.Words(data, off, powers), width)
+            at = np.searchsorted(of, np.arange(j - i + 1))
+            out += [h[at[k] : at[k + 1]] for k in range(j - i)]
+        return out
+
+    def compare(block: pd.DataFrame) -> pd.DataFrame:
+        few, every = block[block.side == 0], block[block.side == 1]
+        out = []
+        if len(few) and len(every):
+            mine, theirs = sets_of(few.text.tolist()), sets_of(every.text.tolist())
+            size = np.array([len(t) for t in theirs])
+            h, of = np.concatenate(theirs), np.repeat(np.arange(len(theirs)), size)
+            order = np.argsort(h, kind="stable")
+            h, of = h[order], of[order]
+            nodes, parts = every.node.to_numpy(), every.part.to_numpy()
+            for node, part, own in zip(few.node, few.part, mine, strict=True):
+                first, last = np.searchsorted(h, own), np.searchsorted(h, own, side="right")
+                n = last - first
+                at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+                both = np.bincount(of[at], minlength=len(theirs))
+                good = np.flatnonzero((100 * both >= 80 * (len(own) + size - both)) & (parts != part))
+                for k in good[np.unique(parts[good], return_index=True)[1]]:
+                    out.append((min(node, nodes[k]), max(node, nodes[k])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return compare
+
+
+def _crowded(pairs: DataFrame, so_far: DataFrame, texts: DataFrame, width: int, near: int, path: str) -> DataFrame:
+    """Links that candidates limited to `near` neighbours may have missed; see step 4 above."""
+    clusters = components(pairs, f"{path}/clusters").select("node", F.col("label").alias("cluster"))
+    state = C.stored(clusters.join(so_far, "node", "left").select("node", "cluster", F.coalesce("label", "node").alias("part")), f"{path}/state")
+    parts = state.groupBy("cluster", "part").agg(F.count("*").alias("n"))
+    whole = parts.groupBy("cluster").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.max(F.struct("n", (-F.col("part")).alias("back"))).alias("top"))
+    whole = whole.where((F.col("n") > near + 1) & (F.col("parts") > 1))
+    whole = whole.select(
+        "cluster", (-F.col("top.back")).alias("main"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK_FEW).cast("int").alias("n_few"), F.ceil(F.col("n") / BLOCK_ALL).cast("int").alias("n_all")
+    )
+    rows = state.join(whole, "cluster").join(texts.withColumnRenamed("doc_id", "node"), "node")
+    spot = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    copies = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    few = rows.where("part <> main").select("cluster", spot("n_few").alias("f"), copies("n_all").alias("g"), F.lit(0).alias("side"), "node", "part", "text")
+    every = rows.select("cluster", copies("n_few").alias("f"), spot("n_all").alias("g"), F.lit(1).alias("side"), "node", "part", "text")
+    return C.stored(few.unionByName(every).groupBy("cluster", "f", "g").applyInPandas(_blocks(width), "a long, b long").distinct(), f"{path}/crowded")
+
+
 def components(links: DataFrame, path: str) -> DataFrame:
     """node, label (least node reachable) of every node of links (a, b), by contraction: each round every node
     hooks on its least neighbour, and links between what has become one node go."""
@@ -197,7 +257,9 @@ def near_duplicates(docs: DataFrame, width: int = 4, orders: int = 12, near: int
     rest = pairs.join(best, ["a", "b"], "left_anti").join(named_as("a", "x"), "a", "left").join(named_as("b", "y"), "b", "left")
     rest = rest.where(F.coalesce("x", "a") != F.coalesce("y", "b"))
     second = confirmed(rest, "second")
-    labels = components(first.unionByName(second), f"{path}/components-2")
+    links = first.unionByName(second)
+    third = _crowded(pairs, components(links, f"{path}/components-2"), texts, width, near, path)
+    labels = components(links.unionByName(third), f"{path}/components-3")
 
     classes = groups.join(labels, "node", "left").select("d1", "d2", "n_shingles", F.coalesce("label", "node").alias("component_id"))
     alone = signed.where("doc_id IS NULL OR n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
