@@ -33,8 +33,8 @@ from nightloom.llm.elias_fano import EliasFano
 #: Hashes that no word has but by chance: the end of a text and the context of its first word.
 END, BEGIN = np.uint64(0x0123456789ABCDEF), np.uint64(0x0FEDCBA987654321)
 ADD, DISCOUNT, PRUNE = 0.1, 0.75, 2
-#: Words a shard of level 1 and pairs a shard of level 2, about.
-SHARD_WORDS, SHARD_PAIRS = 1_000_000, 2_000_000
+#: Words a shard of level 1 and pairs a shard of level 2, about, and shards of level 2 at least.
+SHARD_WORDS, SHARD_PAIRS, LEAST_SHARDS = 500_000, 500_000, 16
 #: Distinct keys that a task holds before it sends them on.
 HELD_KEYS = 3_000_000
 
@@ -185,7 +185,7 @@ def train(docs: DataFrame, prune: int = PRUNE) -> dict:
     if not v:
         return {"n": 0, "v": 0}
     n_texts = words.where(F.col("key") == int(END.view(np.int64))).first()["n"]
-    bits = max(2, int(np.ceil(np.log2(max(1, v / SHARD_WORDS)))))
+    bits = max(3, int(np.ceil(np.log2(max(1, v / SHARD_WORDS)))))
 
     def level1(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [b for b in batches if b.num_rows]
@@ -225,7 +225,7 @@ def train(docs: DataFrame, prune: int = PRUNE) -> dict:
         raise ValueError("ids of more than 2^31 words do not fit the pair keys")
     pairs = texts.mapInArrow(_tally(pair_keys), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= prune)
     pairs = C.stored(pairs, f"{path}/pairs")
-    shards = max(4, -(-pairs.count() // SHARD_PAIRS))
+    shards = max(LEAST_SHARDS, -(-pairs.count() // SHARD_PAIRS))
     step = -(-(v + 1) // shards)
 
     def level2(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

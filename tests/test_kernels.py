@@ -96,3 +96,54 @@ def test_linear_masters(spark):
     made = tiff.encode_masters(spark.createDataFrame(rows, "name string, x int, y int, channel int, v double"), "name").first()
     v = tiff.read_linear(made.content)
     assert v.shape == (4, 6, 3) and v[2, 3, 1] == 123.0 and tiff.read_linear(made.content, 3).shape == (2, 3, 3)
+
+
+def test_stack_of_a_moving_sky(spark):
+    from nightloom.operators import stack as S
+
+    rng = np.random.default_rng(8)
+    y, x = np.mgrid[0:48, 0:64].astype(float)
+    stars = [(20.0, 15.0), (45.0, 30.0), (30.0, 35.0)]
+
+    def sky(angle, dx, dy):
+        t = np.radians(angle)
+        v = np.full(x.shape, 100.0)
+        for a, b in stars:
+            u, w = a * np.cos(t) - b * np.sin(t) + dx, a * np.sin(t) + b * np.cos(t) + dy
+            v += 500 * np.exp(-((x - u) ** 2 + (y - w) ** 2) / 5)
+        return v + rng.normal(0, 3, v.shape)
+
+    rows = []
+    for k in range(8):
+        v = sky(k * 0.4, k * 0.7, -k * 0.3)
+        v[10, 40] += 3000 * (k == 3)  # a passing light
+        rows.append((1, k, 64, v.ravel().tolist(), 1.0, k * 0.4, k * 0.7, -k * 0.3))
+    df = spark.createDataFrame(rows, "session long, frame long, width int, samples array<double>, weight double, rotation_deg double, dx double, dy double")
+    out = np.full((48, 64, 3), np.nan)
+    for r in S.stack(df, 32).collect():
+        out[r.top : r.top + r.height, r.left : r.left + r.width] = np.array(r["values"]).reshape(r.height, r.width, 3)
+    plane = np.nanmean(out, axis=2)
+    for a, b in stars:
+        near = plane[int(b) - 3 : int(b) + 4, int(a) - 3 : int(a) + 4] - 100
+        ys, xs = np.mgrid[int(b) - 3 : int(b) + 4, int(a) - 3 : int(a) + 4]
+        assert abs((near * xs).sum() / near.sum() - a) < 0.3 and abs((near * ys).sum() / near.sum() - b) < 0.3
+    assert np.nanmax(plane) < 700  # the light is clipped
+
+
+def test_clip_stack_follows_the_column_rules(spark):
+    from pyspark.sql import functions as F
+
+    from nightloom.operators import robust
+    from nightloom.operators import stack as S
+
+    rng = np.random.default_rng(9)
+    cube = rng.normal(10, 2, (12, 40))
+    cube[3, ::5] += 90
+    cube[rng.random(cube.shape) < 0.35] = np.nan
+    cube[:, 7], cube[4:, 8], cube[:, 9] = np.nan, np.nan, 5.0
+    w = rng.random(12) + 0.5
+    rows = [(p, float(cube[f, p]), float(w[f])) for f in range(12) for p in range(40)]
+    df = spark.createDataFrame(rows, "p long, v double, w double")
+    got = {r.p: r.value for r in robust.combine(df, ["p"], F.col("v"), F.col("w")).collect()}
+    want = S.clip_stack(cube, w)
+    assert all((p not in got and np.isnan(want[p])) or abs(got[p] - want[p]) < 1e-9 for p in range(40))
