@@ -33,7 +33,8 @@ def build_flat(samples: DataFrame, judged: DataFrame) -> DataFrame:
 
 
 def evenness(plane: DataFrame, width: int, height: int, patch: int) -> DataFrame:
-    """One row: mean of the centre patch, of the four corners, their ratio and a verdict."""
+    """One row: mean of the centre patch, of the four corners, their ratio and a verdict: UNKNOWN without samples in both or with a
+    centre of zero."""
     cx, cy, h = width / 2.0, height / 2.0, patch / 2.0
     centre = (F.abs(F.col("x") + 0.5 - cx) <= h) & (F.abs(F.col("y") + 0.5 - cy) <= h)
     corner = ((F.col("x") < patch) | (F.col("x") >= width - patch)) & ((F.col("y") < patch) | (F.col("y") >= height - patch))
@@ -57,7 +58,7 @@ def noise_level(plane: DataFrame, background: Column, width: int) -> DataFrame:
 
 def surface(plane: DataFrame, tiles: DataFrame, tile: int, across: int, down: int) -> DataFrame:
     """plane with `background`, bilinear between tile centres and straight on beyond the outer ones. tiles: tx, ty, median: few
-    rows, one for tile squared pixels."""
+    rows, one for tile squared pixels. Every pixel stays; its background is null where one of its four tiles is missing."""
     def cell(c: str, n: int) -> tuple[Column, Column]:
         at = (F.col(c) + 0.5) / tile - 0.5
         low = F.greatest(F.lit(0), F.least(F.lit(max(n - 2, 0)), F.floor(at))).cast("int")

@@ -184,13 +184,13 @@ SELECT * FROM n UNION ALL SELECT * FROM o WHERE camera NOT IN (SELECT camera FRO
     "flat_judge": f"{FLATS} SELECT frame, median, peak, kept FROM k",
     "flat_build": f"{FLATS} SELECT x, y, median(v) AS v FROM s WHERE frame IN (SELECT frame FROM k WHERE kept) AND (SELECT count(*) FROM k WHERE kept) >= 5 GROUP BY 1, 2",
     "flat_evenness": f"""WITH {PLANE}, r AS (SELECT avg(v) FILTER (WHERE abs(x + 0.5 - 32) <= 4 AND abs(y + 0.5 - 24) <= 4) AS c, avg(v) FILTER (WHERE (x < 8 OR x >= 56) AND (y < 8 OR y >= 40)) AS k FROM p)
-SELECT round(c, 6) AS centre, round(k, 6) AS corners, round(k / c, 6) AS ratio, CASE WHEN k / c < 0.25 THEN 'STEEP' WHEN k / c > 1.05 THEN 'INVERTED' ELSE 'EVEN' END AS verdict FROM r""",
+SELECT round(c, 6) AS centre, round(k, 6) AS corners, round(k / c, 6) AS ratio, CASE WHEN c IS NULL OR k IS NULL OR c = 0 THEN 'UNKNOWN' WHEN k / c < 0.25 THEN 'STEEP' WHEN k / c > 1.05 THEN 'INVERTED' ELSE 'EVEN' END AS verdict FROM r""",
     "flat_left_join": """SELECT c_custkey AS session, CASE WHEN n_regionkey * 100 = c_custkey % 5 * 100 THEN n_name END AS flat, CASE WHEN n_name IS NULL THEN 'no flat' WHEN n_regionkey * 100 <> c_custkey % 5 * 100 THEN 'wrong size' END AS note
 FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 4 <> 0) n ON c_nationkey = n_nationkey""",
     "noise_level": f"WITH {PLANE}, l AS (SELECT list(abs(v - 25) ORDER BY abs(v - 25)) AS s FROM p WHERE (y * 64 + x) % 7 = 0) SELECT round(greatest(1e-6, 1.4826::DOUBLE * s[len(s) // 2 + 1]), 6) AS sigma FROM l",
     "background_surface": f"""WITH {PLANE}, t AS (SELECT x // 16 AS tx, y // 16 AS ty, median(v) AS m FROM p GROUP BY 1, 2), a AS (SELECT x, y, (x + 0.5::DOUBLE) / 16 - 0.5 AS ax, (y + 0.5::DOUBLE) / 16 - 0.5 AS ay FROM p),
 b AS (SELECT *, greatest(0, least(2, floor(ax)))::BIGINT AS x0, greatest(0, least(1, floor(ay)))::BIGINT AS y0 FROM a), c AS (SELECT *, ax - x0 AS fx, ay - y0 AS fy FROM b),
-d AS (SELECT c.*, a.m AS m00, b.m AS m10, e.m AS m01, g.m AS m11 FROM c JOIN t a ON a.tx = x0 AND a.ty = y0 JOIN t b ON b.tx = x0 + 1 AND b.ty = y0 JOIN t e ON e.tx = x0 AND e.ty = y0 + 1 JOIN t g ON g.tx = x0 + 1 AND g.ty = y0 + 1)
+d AS (SELECT c.*, a.m AS m00, b.m AS m10, e.m AS m01, g.m AS m11 FROM c LEFT JOIN t a ON a.tx = x0 AND a.ty = y0 LEFT JOIN t b ON b.tx = x0 + 1 AND b.ty = y0 LEFT JOIN t e ON e.tx = x0 AND e.ty = y0 + 1 LEFT JOIN t g ON g.tx = x0 + 1 AND g.ty = y0 + 1)
 SELECT x, y, round((m00 + (m10 - m00) * fx) + ((m01 + (m11 - m01) * fx) - (m00 + (m10 - m00) * fx)) * fy, 6) AS background FROM d""",
     "hot_repair": """WITH p AS (SELECT l_partkey % 64 AS x, l_suppkey % 48 AS y, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2), a AS (SELECT list(v ORDER BY v) AS s FROM p), m AS (SELECT s[len(s) // 2 + 1] AS m, s FROM a),
 d AS (SELECT m, list_sort(list_transform(s, lambda v: abs(v - m))) AS d FROM m), t AS (SELECT m + 2.5::DOUBLE * greatest(1.4826::DOUBLE * d[len(d) // 2 + 1], 0.5) AS t FROM d),
