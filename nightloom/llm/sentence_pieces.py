@@ -10,7 +10,7 @@ neighbours is what merging their joint characters by score gives back; exactly o
 boundary, and the path is what the merges of the whole text give. Characters without a piece become byte pieces.
 
 No piece holds a blank mark after another character, and no character without a piece can join a piece, so paths
-always converge there; stretches between such places are looked up among those seen before.
+always converge there; stretches between such places are looked up among those seen lately.
 
 Defined results: a null text is empty and has no ids; decoding gives the text back, but for U+2581, the blank mark,
 which comes back as a space; repeated rows are encoded alike; extra columns are ignored.
@@ -31,8 +31,8 @@ from nightloom.llm import common as C
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-#: Stretches that a worker remembers.
-REMEMBERED = 1_500_000
+#: Stretches in each of the two generations that a worker remembers, and pairs of pieces.
+REMEMBERED, REMEMBERED_PAIRS = 500_000, 400_000
 _kept: dict = {}
 
 
@@ -66,11 +66,13 @@ class Codec:
         self.whole: dict[str, bool] = {}
         self.edges: dict[str, tuple[list[str], list[str]]] = {}
         self.seen: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         loose = [c for c in "\n\t\r" if c not in self.id]
         apart = "".join(map(re.escape, loose))
         # A piece with a blank mark inside would rule out cutting there.
         cut = not any(BLANK in p.lstrip(BLANK) for p in self.id)
-        self.stretches = re.compile(f"{BLANK}*[^{BLANK}{apart}]+|{BLANK}+|[{apart}]" if apart else f"{BLANK}*[^{BLANK}]+|{BLANK}+").findall if cut else lambda s: [s]
+        blank = f"[ {BLANK}]"  # spaces become marks only in stretches that are not known: plain text takes half the memory
+        self.stretches = re.compile(f"{blank}*[^ {BLANK}{apart}]+|{blank}+" + (f"|[{apart}]" if apart else "")).findall if cut else lambda s: [s]
 
     def merged(self, s: str, until: int = 1) -> list[str]:
         """Merges by score, ties from the left, down to `until` parts; only ever called on the few characters of a piece or two."""
@@ -109,7 +111,7 @@ class Codec:
         """Whether a before b stay apart when their characters are merged together."""
         got = self.fits.get((a, b))
         if got is None:
-            if len(self.fits) > REMEMBERED:
+            if len(self.fits) > REMEMBERED_PAIRS:
                 self.fits.clear()
             # Blank marks have pieces of equal score, of which the last does not come from the best two: merge those in full.
             got = self.merged(a + b) == [a, b] if BLANK * 2 in a + b else self._apart(self._edges(a)[1], self._edges(b)[0])
@@ -217,18 +219,21 @@ class Codec:
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int32)
-        s = (BLANK if self.dummy else "") + text.replace(" ", BLANK)
-        return np.frombuffer(b"".join(map(self._known, self.stretches(s))), np.int32)
+        return np.frombuffer(b"".join(map(self._known, self.stretches(" " + text if self.dummy else text))), np.int32)
 
     def _known(self, stretch: str) -> bytes:
         got = self.seen.get(stretch)
+        if got is not None:
+            return got
+        got = self.old.get(stretch)
         if got is None:
-            short = self.bpe and len(stretch) <= 4 * self.longest
-            got = np.array(self._one_window(stretch) if short else list(self.stream([stretch])), np.int32).tobytes()
-            if len(stretch) <= 64:
-                if len(self.seen) >= REMEMBERED:
-                    self.seen.clear()
-                self.seen[stretch] = got
+            marked = stretch.replace(" ", BLANK)
+            short = self.bpe and len(marked) <= 4 * self.longest
+            got = np.array(self._one_window(marked) if short else list(self.stream([marked])), np.int32).tobytes()
+        if len(stretch) <= 64:
+            if len(self.seen) >= REMEMBERED:  # what was not met since the last change of generations goes
+                self.old, self.seen = self.seen, {}
+            self.seen[stretch] = got
         return got
 
     def decode(self, ids: list[int]) -> str:
@@ -252,6 +257,7 @@ def _encode(model: dict, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
             off = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             values = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
             yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(off), values)], [*part.schema.names, "ids"])
+    c.old = {}  # a worker between tasks holds the newer generation only
 
 
 def _decode(model: dict, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
