@@ -9,9 +9,11 @@
    signatures agree far too little for the threshold, go.
 3. Candidates are confirmed on full shingle sets made from the whole texts: first the most alike partner of each
    document, then, of the others, those that still join two different components.
-4. In a cluster of candidates that is larger than a row's neighbourhood, a document may have its only partner beyond
-   its neighbours. There every document outside the cluster's largest component is compared with all others of the
-   cluster, exactly, in small blocks that spread over tasks; only links come out. So no partner is lost to the limit.
+4. Where more documents share a shortest prefix than a row's neighbourhood holds, alike or not, a partner may stand
+   beyond the neighbours. All documents of such crowded prefixes are joined exactly on their shingles: each posts the
+   rarest fifth of its set, and pairs of different components that share a posting, with sizes and places that still
+   allow the threshold, are confirmed on full sets. Long posting lists are cut into blocks that spread over tasks.
+   Rows of a prefix that is not crowded are never cut apart by the range sort. So no partner is lost to the limit.
 5. Components come from repeated contraction of the links, as joins and sums in Spark.
 
 Defined results: without words n_shingles is 0 and the document stands alone; with fewer words than a shingle the
@@ -24,7 +26,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -133,60 +134,89 @@ def _confirm(width: int):
     return confirm
 
 
-#: Documents outside the main component, and of the whole cluster, that one block compares.
-BLOCK_FEW, BLOCK_ALL = 64, 192
-
-
-def _blocks(width: int):
-    """Links between the few (side 0) and all (side 1) documents of a block, one for each of the few and component."""
-
-    def sets_of(texts: list[str]) -> list[np.ndarray]:
-        powers, out = H.Powers(), []
-        for i, j, data, off in H.slices(pa.array(texts, pa.string())):
-            h, of = _sets(H.Words(data, off, powers), width)
-            at = np.searchsorted(of, np.arange(j - i + 1))
-            out += [h[at[k] : at[k + 1]] for k in range(j - i)]
-        return out
-
-    def compare(block: pd.DataFrame) -> pd.DataFrame:
-        few, every = block[block.side == 0], block[block.side == 1]
-        out = []
-        if len(few) and len(every):
-            mine, theirs = sets_of(few.text.tolist()), sets_of(every.text.tolist())
-            size = np.array([len(t) for t in theirs])
-            h, of = np.concatenate(theirs), np.repeat(np.arange(len(theirs)), size)
-            order = np.argsort(h, kind="stable")
-            h, of = h[order], of[order]
-            nodes, parts = every.node.to_numpy(), every.part.to_numpy()
-            for node, part, own in zip(few.node, few.part, mine, strict=True):
-                first, last = np.searchsorted(h, own), np.searchsorted(h, own, side="right")
-                n = last - first
-                at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
-                both = np.bincount(of[at], minlength=len(theirs))
-                good = np.flatnonzero((100 * both >= 80 * (len(own) + size - both)) & (parts != part))
-                for k in good[np.unique(parts[good], return_index=True)[1]]:
-                    out.append((min(node, nodes[k]), max(node, nodes[k])))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    return compare
-
-
-def _crowded(pairs: DataFrame, so_far: DataFrame, texts: DataFrame, width: int, near: int, path: str) -> DataFrame:
-    """Links that candidates limited to `near` neighbours may have missed; see step 4 above."""
-    clusters = components(pairs, f"{path}/clusters").select("node", F.col("label").alias("cluster"))
-    state = C.stored(clusters.join(so_far, "node", "left").select("node", "cluster", F.coalesce("label", "node").alias("part")), f"{path}/state")
-    parts = state.groupBy("cluster", "part").agg(F.count("*").alias("n"))
-    whole = parts.groupBy("cluster").agg(F.sum("n").alias("n"), F.count("*").alias("parts"), F.max(F.struct("n", (-F.col("part")).alias("back"))).alias("top"))
-    whole = whole.where((F.col("n") > near + 1) & (F.col("parts") > 1))
-    whole = whole.select(
-        "cluster", (-F.col("top.back")).alias("main"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK_FEW).cast("int").alias("n_few"), F.ceil(F.col("n") / BLOCK_ALL).cast("int").alias("n_all")
+#: Shingles are called rare by the counts of this many ranges of their hashes: a table of bounded size.
+RANGES = 1 << 20
+#: Postings outside the main component, and of the whole list, that one block of the join brings together.
+BLOCK_FEW, BLOCK_ALL = 256, 4096
+POSTING_SCHEMA = "node long, part long, n int, token long, place int"
+
+
+def _range_of(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - RANGES.bit_length() + 1)).astype(np.int64)
+
+
+def _range_counts(width: int):
+    """Rows node, part, text -> range, n: in how many sets the shingles of each range stand."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers, n = H.Powers(), np.zeros(RANGES, np.int64)
+        for batch in batches:
+            for _, _, data, off in H.slices(batch.column(2)):
+                n += np.bincount(_range_of(_sets(H.Words(data, off, powers), width)[0]), minlength=RANGES)
+        at = np.flatnonzero(n)
+        for i in range(0, len(at), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 100_000].astype(np.int32)), pa.array(n[at[i : i + 100_000]])], ["range", "n"])
+
+    return count
+
+
+def _postings(width: int, counts: np.ndarray):
+    """The prefix of each set, rarest shingles first: two sets at 80 in 100 share one of their first n - ceil(0.8 n) + 1.
+    A shingle that is alone in its range is in no other set and is left out; it keeps its place."""
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = H.Powers()
+        for batch in batches:
+            node, part = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for i, j, data, off in H.slices(batch.column(2)):
+                h, of = _sets(H.Words(data, off, powers), width)
+                often = counts[_range_of(h)]
+                order = np.lexsort((h, often, of))
+                h, of, often = h[order], of[order], often[order]
+                n = np.bincount(of, minlength=j - i)
+                place = np.arange(len(h)) - (np.cumsum(n) - n)[of]
+                good = (place <= n[of] - (4 * n[of] + 4) // 5) & (often > 1)
+                of, h, place = of[good], h[good], place[good]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(node[i + of]), pa.array(part[i + of]), pa.array(n[of].astype(np.int32)), pa.array(h.view(np.int64)), pa.array(place.astype(np.int32))],
+                    ["node", "part", "n", "token", "place"],
+                )
+
+    return post
+
+
+def _crowded_pairs(rows: DataFrame, width: int, path: str) -> DataFrame:
+    """Every pair of rows (node, part, text) of different parts whose sets may reach 80 in 100: a, b, x, y (their parts),
+    alike (shared prefix shingles). See step 4 above."""
+    counts = np.zeros(RANGES, np.int64)
+    got = rows.mapInArrow(_range_counts(width), "range int, n long").groupBy("range").agg(F.sum("n").alias("n")).where("n > 1").toPandas()  # RANGES rows at most
+    counts[got["range"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+    postings = rows.mapInArrow(_postings(width, np.minimum(counts, 2**31 - 1).astype(np.int32)), POSTING_SCHEMA)
+    # Sizes that the threshold allows differ by a quarter at most, so they stand in the same class or the next.
+    postings = C.stored(postings.withColumn("class", F.floor(F.log("n") / F.log(F.lit(1.3))).cast("int")), f"{path}/postings")
+    lists = postings.withColumn("at", F.explode(F.array(F.col("class"), F.col("class") - 1)))
+    parts = lists.groupBy("token", "at", "part").agg(F.count("*").alias("m"))
+    heads = parts.groupBy("token", "at").agg(F.sum("m").alias("all"), F.max(F.struct("m", "part")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+    heads = C.stored(
+        heads.select("token", "at", F.col("top.part").alias("main"), F.ceil((F.col("all") - F.col("top.m")) / BLOCK_FEW).cast("int").alias("n_few"), F.ceil(F.col("all") / BLOCK_ALL).cast("int").alias("n_all")),
+        f"{path}/heads",
     )
-    rows = state.join(whole, "cluster").join(texts.withColumnRenamed("doc_id", "node"), "node")
+    lists = lists.join(heads, ["token", "at"])
     spot = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     copies = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    few = rows.where("part <> main").select("cluster", spot("n_few").alias("f"), copies("n_all").alias("g"), F.lit(0).alias("side"), "node", "part", "text")
-    every = rows.select("cluster", copies("n_few").alias("f"), spot("n_all").alias("g"), F.lit(1).alias("side"), "node", "part", "text")
-    return C.stored(few.unionByName(every).groupBy("cluster", "f", "g").applyInPandas(_blocks(width), "a long, b long").distinct(), f"{path}/crowded")
+    named = lambda side: [F.col(c).alias(f"{c}_{side}") for c in ("node", "part", "n", "place", "class")]
+    few = lists.where("part <> main").select("token", "at", spot("n_few").alias("f"), copies("n_all").alias("g"), *named("a"))
+    every = lists.select("token", "at", "main", copies("n_few").alias("f"), spot("n_all").alias("g"), *named("b"))
+    met = few.join(every, ["token", "at", "f", "g"]).where(
+        "part_a <> part_b AND (part_b = main OR node_a < node_b) AND least(class_a, class_b) = at AND 5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)"
+    )
+    turned = F.col("node_a") > F.col("node_b")
+    first = lambda c: F.when(turned, F.col(f"{c}_b")).otherwise(F.col(f"{c}_a"))
+    second = lambda c: F.when(turned, F.col(f"{c}_a")).otherwise(F.col(f"{c}_b"))
+    met = met.select(first("node").alias("a"), second("node").alias("b"), first("part").alias("x"), second("part").alias("y"), (first("n") - first("place") - 1).alias("left_a"), (second("n") - second("place") - 1).alias("left_b"), (F.col("n_a") + F.col("n_b")).alias("sum"))
+    pairs = met.groupBy("a", "b", "x", "y", "sum").agg(F.count("*").alias("alike"), F.min("left_a").alias("left_a"), F.min("left_b").alias("left_b"))
+    # What both sets share beyond their prefixes comes after the last shared shingle.
+    return C.stored(pairs.where("9 * (alike + least(left_a, left_b)) >= 4 * sum").select("a", "b", "x", "y", "alike"), f"{path}/crowded")
 
 
 def components(links: DataFrame, path: str) -> DataFrame:
@@ -227,18 +257,20 @@ def near_duplicates(docs: DataFrame, width: int = 4, orders: int = 12, near: int
     turned = lambda t: F.concat(F.expr(f"substring(signature, {t} * {TURN * 4} + 1)"), F.expr(f"substring(signature, 1, {t} * {TURN * 4})"))
     heads = F.array(*[F.xxhash64(F.lit(t), F.substring(turned(t), 1, 4 * least_depth)) for t in range(orders)])
     short = groups.select("node", F.posexplode(heads).alias("turn", "head"))
-    shared = short.groupBy("head").agg(F.count("*").alias("n")).where("n > 1").select("head")
-    where = short.join(shared, "head").groupBy("node").agg(F.collect_set("turn").alias("turns"))
-    rows = groups.join(where, "node").select("node", "n_shingles", F.explode("turns").alias("turn"), "signature")
-    rows = rows.select("turn", "node", "n_shingles", F.expr(f"concat(substring(signature, turn * {TURN * 4} + 1), substring(signature, 1, turn * {TURN * 4}))").alias("turned"))
+    shared = short.groupBy("head").agg(F.count("*").alias("n")).where("n > 1").select("head", (F.col("n") > near + 1).alias("crowded"))
+    where = short.join(shared, "head").groupBy("node").agg(F.collect_set(F.struct("turn", "crowded")).alias("turns"))
+    rows = groups.join(where, "node").select("node", "n_shingles", F.explode("turns").alias("at"), "signature").select("node", "n_shingles", "at.turn", "at.crowded", "signature")
+    rows = rows.select("turn", "node", "n_shingles", F.expr(f"concat(substring(signature, turn * {TURN * 4} + 1), substring(signature, 1, turn * {TURN * 4}))").alias("turned"), "crowded")
     rows = C.stored(rows, f"{path}/forest")
+    crowd = C.stored(rows.where("crowded").select("node").distinct(), f"{path}/crowd")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    ordered = rows.repartitionByRange(parts, "turn", "turned", "node").sortWithinPartitions("turn", "turned", "node")
+    spread = [F.when(F.col("crowded"), F.col(c)) for c in ("turned", "node")]
+    ordered = rows.repartitionByRange(parts, "turn", F.substring("turned", 1, 4 * least_depth), *spread).sortWithinPartitions("turn", "turned", "node").drop("crowded")
     pairs = ordered.mapInArrow(_neighbours(near, least_depth, least_alike), "a long, b long, alike double")
     pairs = C.stored(pairs.groupBy("a", "b").agg(F.max("alike").alias("alike")), f"{path}/pairs")
 
-    # Confirmation, on the texts of the documents that any pair names.
-    ends = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id")
+    # Confirmation, on the texts of the documents that any pair names or that are crowded.
+    ends = pairs.select("a").union(pairs.select("b")).union(crowd).distinct().withColumnRenamed("a", "doc_id")
     texts = C.stored(docs.join(ends.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), f"{path}/texts")
 
     def confirmed(some: DataFrame, name: str) -> DataFrame:
@@ -258,8 +290,19 @@ def near_duplicates(docs: DataFrame, width: int = 4, orders: int = 12, near: int
     rest = rest.where(F.coalesce("x", "a") != F.coalesce("y", "b"))
     second = confirmed(rest, "second")
     links = first.unionByName(second)
-    third = _crowded(pairs, components(links, f"{path}/components-2"), texts, width, near, path)
-    labels = components(links.unionByName(third), f"{path}/components-3")
+    so_far = components(links, f"{path}/components-2")
+    rows = texts.withColumnRenamed("doc_id", "node").join(crowd, "node").join(so_far, "node", "left").select("node", F.coalesce("label", "node").alias("part"), "text")
+    met = _crowded_pairs(rows, width, path)
+    # First the most alike partner of each document in each other component, then what still joins two components.
+    each = met.select("a", "b", "y", "alike").union(met.select("b", "a", "x", "alike"))
+    best = each.groupBy("a", "y").agg(F.max_by("b", F.struct("alike", -F.col("b"))).alias("b"))
+    best = C.stored(best.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct().toDF("a", "b"), f"{path}/best-crowded")
+    third = confirmed(best, "third")
+    links = links.unionByName(third)
+    so_far = components(links, f"{path}/components-3")
+    rest = met.select("a", "b").join(best, ["a", "b"], "left_anti").join(named_as("a", "x"), "a", "left").join(named_as("b", "y"), "b", "left")
+    fourth = confirmed(rest.where(F.coalesce("x", "a") != F.coalesce("y", "b")), "fourth")
+    labels = components(links.unionByName(fourth), f"{path}/components-4")
 
     classes = groups.join(labels, "node", "left").select("d1", "d2", "n_shingles", F.coalesce("label", "node").alias("component_id"))
     alone = signed.where("doc_id IS NULL OR n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

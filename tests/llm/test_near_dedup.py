@@ -51,3 +51,26 @@ def test_long_chains_contract(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(10, 10 + n)] + [(500, 501), (501, 500), (502, 502)], "a long, b long")
     got = {r.node: r.label for r in near_dedup.components(links, C.shared_dir(spark)).collect()}
     assert got == {i: 10 for i in range(10, 11 + n)} | {500: 500, 501: 500}
+
+
+def crowd():
+    """Documents that share two thirds of their words, so prefixes but not enough likeness for a pair, and pairs of near copies among them."""
+    rng = random.Random(5)
+    word = lambda: f"x{rng.randrange(10**9)}"
+    common = [word() for _ in range(78)]
+    texts = {}
+    for i in range(0, 500, 2):
+        own = [word() for _ in range(42)]
+        texts[i] = " ".join(common + own)
+        for k in (8, 20, 32):
+            own[k] = word()
+        texts[i + 1] = " ".join(common + own)
+    return texts
+
+
+def test_crowded_prefixes_lose_no_partner(spark):
+    texts = crowd()
+    want = H.linked({i: H.shingles(t, 4) for i, t in texts.items()})
+    assert want == {i: i - i % 2 for i in texts}
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(H.table(spark, texts), near=1, least_alike=0.7).collect()}
+    assert got == want
