@@ -76,8 +76,8 @@ class Words:
         return np.repeat(np.arange(len(self.off) - 1), np.diff(self.text_at))
 
 
-def slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(from row, to row, bytes, offsets) of runs of rows with about SLICE_BYTES of text; a null is an empty text."""
+def slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(from row, to row, bytes, offsets) of runs of rows with about `size` bytes of text; a null is an empty text."""
     if column.null_count:
         column = column.fill_null("")
     column = column.cast(pa.large_string())
@@ -86,7 +86,7 @@ def slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     i = 0
     while i < len(column):
-        j = max(i + 1, int(np.searchsorted(off, off[i] + SLICE_BYTES, side="right")) - 1)
+        j = max(i + 1, int(np.searchsorted(off, off[i] + size, side="right")) - 1)
         j = min(j, len(column))
         yield i, j, raw[off[i] : off[j]], off[i : j + 1] - off[i]
         i = j

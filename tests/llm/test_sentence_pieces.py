@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -45,6 +46,36 @@ def test_stream_commits_early(both):
     assert out == library.encode(text) and first <= 6 * codec.longest
 
 
+def test_many_stretches_at_once_are_the_streams(both):
+    """Stretches of all lengths, with blanks, without pieces, repeated, over several parts of a column, from a slice of it."""
+    codec, library = both
+    rng = random.Random(7)
+    texts = ["".join(rng.choice(PARTS + ["▁", "ab" * 200, "  x", "\n\n"]) for _ in range(rng.randint(0, 30))) or None for _ in range(150)] * 2
+    column = pa.array([None, *texts], pa.string()).slice(1)
+    got = codec.encode_column(column)
+    assert got.to_pylist() == library.encode([t or "" for t in texts])
+    assert codec.decode_column(got).to_pylist() == [(t or "").replace("▁", " ") for t in texts]
+    assert got.to_pylist() == [codec._one(" " + t) if t else [] for t in texts]
+    assert codec.decode_column(pa.array([[codec.byte[0xC3]], [], None], pa.list_(pa.int32()))).to_pylist() == ["\ufffd", "", ""]
+
+
+def test_a_small_memory_gives_the_same(both, monkeypatch):
+    codec, library = both
+    monkeypatch.setattr(S, "REMEMBERED", 50)
+    monkeypatch.setattr(S, "PART_BYTES", 1000)
+    fresh = S.Codec(S.load())
+    texts = [r[0] for r in duck().sql("SELECT text FROM documents LIMIT 60").fetchall()]
+    assert fresh.encode_column(pa.array(texts, pa.string())).to_pylist() == library.encode([t or "" for t in texts])
+    assert len(fresh.memo[0]) < 2000
+
+
+def test_paths_that_never_meet_are_kept_whole():
+    pieces = [("<unk>", 0.0, "unknown"), ("▁", -1.0, "normal"), ("a", -9.0, "normal"), ("aa", -1.0, "normal"), ("aaa", -1.4, "normal")]
+    codec = S.Codec({"name": "toy", "bpe": False, "dummy": True, "pieces": pieces})
+    ids = list(codec.stream(["▁" + "a" * 30_001]))
+    assert codec.decode(ids) == "a" * 30_001 and len(ids) == 1 + 30_001 // 3 + 1
+
+
 def test_unigram_path_has_the_best_score():
     pieces = [("<unk>", 0.0, "unknown"), *[(p, s, "normal") for p, s in (("▁", -3.0), ("a", -2.0), ("b", -2.0), ("ab", -2.5), ("▁a", -3.5), ("ba", -2.2), ("abab", -6.0))]]
     codec = S.Codec({"name": "toy", "bpe": False, "dummy": True, "pieces": pieces})
