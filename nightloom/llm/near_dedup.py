@@ -51,10 +51,9 @@ def _signer(width: int, values: int, seed: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.Generator(np.random.PCG64(seed))
         factors = rng.integers(1, 2**63, values, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        powers = H.Powers()
         for batch in batches:
             for i, j, data, off in H.slices(batch.column(1)):
-                h, of = _sets(H.Words(data, off, powers), width)
+                h, of = _sets(H.Words(data, off), width)
                 n = np.bincount(of, minlength=j - i)
                 full = np.flatnonzero(n)
                 at = np.searchsorted(of, full)
@@ -113,13 +112,12 @@ def _confirm(width: int):
     """Keeps the pairs whose full sets reach 80 in 100; rows: a, b, text_a, text_b."""
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = H.Powers()
         for batch in batches:
             for i, j, data, off in H.slices(batch.column(2)):
-                left, left_of = _sets(H.Words(data, off, powers), width)
+                left, left_of = _sets(H.Words(data, off), width)
                 right, right_of = [], []
                 for p, _, more, at in H.slices(batch.column(3).slice(i, j - i)):
-                    h, of = _sets(H.Words(more, at, powers), width)
+                    h, of = _sets(H.Words(more, at), width)
                     right.append(h)
                     right_of.append(of + p)
                 h, of = np.concatenate([left, *right]), np.concatenate([left_of, *right_of])
@@ -149,10 +147,10 @@ def _range_counts(width: int):
     """Rows node, part, text -> range, n: in how many sets the shingles of each range stand."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, n = H.Powers(), np.zeros(RANGES, np.int64)
+        n = np.zeros(RANGES, np.int64)
         for batch in batches:
             for _, _, data, off in H.slices(batch.column(2)):
-                n += np.bincount(_range_of(_sets(H.Words(data, off, powers), width)[0]), minlength=RANGES)
+                n += np.bincount(_range_of(_sets(H.Words(data, off), width)[0]), minlength=RANGES)
         at = np.flatnonzero(n)
         for i in range(0, len(at), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 100_000].astype(np.int32)), pa.array(n[at[i : i + 100_000]])], ["range", "n"])
@@ -165,11 +163,10 @@ def _postings(width: int, counts: np.ndarray):
     A shingle that is alone in its range is in no other set and is left out; it keeps its place."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = H.Powers()
         for batch in batches:
             node, part = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             for i, j, data, off in H.slices(batch.column(2)):
-                h, of = _sets(H.Words(data, off, powers), width)
+                h, of = _sets(H.Words(data, off), width)
                 often = counts[_range_of(h)]
                 order = np.lexsort((h, often, of))
                 h, of, often = h[order], of[order], often[order]

@@ -89,10 +89,10 @@ def _tally(keys_of):
     """A task that counts keys_of(tokens, at) over the texts in its first column."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, tally, keys = H.Powers(), _Tally(), keys_of()
+        tally, keys = _Tally(), keys_of()
         for batch in batches:
             for _, _, data, off in H.slices(batch.column(0)):
-                tally.add(keys(*_tokens(H.Words(data, off, powers))))
+                tally.add(keys(*_tokens(H.Words(data, off))))
                 if tally.full():
                     yield from tally.send()
         yield from tally.send()
@@ -268,12 +268,11 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     n, v = model["n"], model["v"]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = H.Powers()
         vocabulary = Vocabulary(model["level1"], model["first"], model["bits"]) if v else None
         followers = Followers(model["level2"], model["step"]) if v else None
         for batch in batches:
             for i, j, data, off in H.slices(batch.column(1)):
-                tokens, at = _tokens(H.Words(data, off, powers))
+                tokens, at = _tokens(H.Words(data, off))
                 u, inv = np.unique(tokens, return_inverse=True)
                 ids, counts = vocabulary.find(u) if v else (np.full(len(u), -1, np.int64), np.zeros(len(u), np.int64))
                 log_p1 = _log_p1(counts, n, v)[inv] if v else np.zeros(len(tokens))

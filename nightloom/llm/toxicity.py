@@ -64,11 +64,10 @@ def _chosen(vocabulary: np.ndarray, h: np.ndarray, of: np.ndarray) -> tuple[np.n
 
 def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, label, text -> term, label, n: in how many documents of a slice each term stands."""
-    powers = H.Powers()
     for batch in batches:
         label = batch.column(1).to_numpy(zero_copy_only=False)
         for i, j, data, off in H.slices(batch.column(2)):
-            h, of, _ = _counts(*_terms(H.Words(data, off, powers)))
+            h, of, _ = _counts(*_terms(H.Words(data, off)))
             for y in (0, 1):
                 u, n = np.unique(h[label[i:j][of] == y], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(np.full(len(u), y, np.int32)), pa.array(n)], ["term", "label", "n"])
@@ -76,10 +75,10 @@ def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _frequencies(vocabulary: np.ndarray):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, df, n = H.Powers(), np.zeros(len(vocabulary), np.int64), 0
+        df, n = np.zeros(len(vocabulary), np.int64), 0
         for batch in batches:
             for i, j, data, off in H.slices(batch.column(0)):
-                at, of, _ = _counts(*_chosen(vocabulary, *_terms(H.Words(data, off, powers))))
+                at, of, _ = _counts(*_chosen(vocabulary, *_terms(H.Words(data, off))))
                 df += np.bincount(at, minlength=len(df))
                 n += j - i
         yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(len(df)), -1)), pa.array(np.append(df, n))], ["term", "n"])
@@ -129,9 +128,8 @@ class BlockMax:
 
 def _vectors(vocabulary: np.ndarray, idf: np.ndarray, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Row, terms and unit weights of every text that has chosen terms."""
-    powers = H.Powers()
     for i, j, data, off in H.slices(column):
-        at, of, n = _counts(*_chosen(vocabulary, *_terms(H.Words(data, off, powers))))
+        at, of, n = _counts(*_chosen(vocabulary, *_terms(H.Words(data, off))))
         w = (1 + np.log(n)) * idf[at]
         edges = np.searchsorted(of, np.arange(j - i + 1))
         for r in np.flatnonzero(np.diff(edges)):

@@ -1,11 +1,13 @@
 """Word hashes of whole Arrow columns at once, for use inside mapInArrow tasks.
 
-A word's hash is the sum of table[byte] * P^place over its bytes, modulo 2^64, so one running sum over the
-bytes of many texts gives every word's hash by a subtraction. A-Z share the table entries of a-z.
+A word is read in lanes of eight bytes, A-Z as a-z; each lane is added to the state and every bit of the state is spread
+before the next one comes (a sum of powers would give words of a and b by bit parity equal hashes). Words longer than
+LONG bytes are hashed one by one with blake2b.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,10 +15,13 @@ import pyarrow as pa
 
 U64 = np.uint64
 P = 0x9E3779B97F4A7C15
-TABLE = np.random.Generator(np.random.PCG64(20240607)).integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
-TABLE[65:91] = TABLE[97:123]
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
+#: By the bytes that are left of a word: the bits of a lane that belong to it.
+MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+LONG = 256
 #: Bytes of text handled at once; a longer text is handled by itself.
 SLICE_BYTES = 1 << 21
 
@@ -28,27 +33,10 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(33))
 
 
-class Powers:
-    """P^i and P^-i, grown as needed."""
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, U64)
-
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, SLICE_BYTES + 1)
-            steps = np.full(size, P, U64)
-            steps[0] = 1
-            self.up = np.multiply.accumulate(steps)
-            steps[1:] = pow(P, -1, 2**64)
-            self.down = np.multiply.accumulate(steps)
-        return self.up, self.down
-
-
 class Words:
     """The words of a slice of texts: 64-bit hashes, byte places (start, end) and where each text's words begin."""
 
-    def __init__(self, data: np.ndarray, off: np.ndarray, powers: Powers):
+    def __init__(self, data: np.ndarray, off: np.ndarray):
         self.data, self.off = data, off
         n = len(data)
         inside = ~BLANK[data]
@@ -60,16 +48,27 @@ class Words:
         first[begins[full]] = inside[begins[full]]
         last[ends[full] - 1] = inside[ends[full] - 1]
         self.start, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
-        up, self.down = powers.to(n + 1)
-        self.sums = np.zeros(n + 1, U64)
-        np.cumsum(TABLE[data] * up[:n], out=self.sums[1:])
-        self.hash = mix((self.sums[self.end] - self.sums[self.start]) * self.down[self.start] + (self.end - self.start).astype(U64))
+        self.low = np.zeros(n + 8, np.uint8)
+        self.low[:n] = LOWER[data]
+        self.lanes = np.ndarray(n + 1, "<u8", self.low, strides=(1,))  # the eight bytes from each byte on
+        self.hash = self._hash(self.end)
         self.text_at = np.searchsorted(self.start, off)
 
+    def _hash(self, end: np.ndarray) -> np.ndarray:
+        size = end - self.start
+        h = mix(size.astype(U64) * U64(P) ^ (self.lanes[self.start] & MASK[np.minimum(size, 8)]))
+        on, at = np.flatnonzero((size > 8) & (size <= LONG)), 8
+        while len(on):
+            h[on] = mix(h[on] + U64(P) ^ (self.lanes[self.start[on] + at] & MASK[np.minimum(size[on] - at, 8)]))
+            at += 8
+            on = on[size[on] > at]
+        for k in np.flatnonzero(size > LONG):
+            h[k] = int.from_bytes(hashlib.blake2b(self.low[self.start[k] : end[k]], digest_size=8).digest(), "little")
+        return h
+
     def prefix_hash(self, n_bytes: int) -> np.ndarray:
         """The hash of each word's first n_bytes (the whole word where it is shorter)."""
-        end = np.minimum(self.start + n_bytes, self.end)
-        return mix((self.sums[end] - self.sums[self.start]) * self.down[self.start] + (end - self.start).astype(U64))
+        return self._hash(np.minimum(self.start + n_bytes, self.end))
 
     def text_of(self) -> np.ndarray:
         """The index of the text of each word."""
@@ -95,7 +94,7 @@ def slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int
 def word_hash(word: str) -> int:
     """The same hash of a single word, for small tables and tests."""
     raw = np.frombuffer(word.encode(), np.uint8)
-    return int(Words(raw, np.array([0, len(raw)]), Powers()).hash[0])
+    return int(Words(raw, np.array([0, len(raw)])).hash[0])
 
 
 def shingle_hashes(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:

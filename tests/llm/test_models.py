@@ -112,12 +112,34 @@ def test_word_hashes():
 
     got = []
     for i, j, data, off in W.slices(pa.array(texts)):
-        w = W.Words(data, off, W.Powers())
+        w = W.Words(data, off)
         got += [w.hash[a:b].tolist() for a, b in zip(w.text_at, w.text_at[1:], strict=False)]
     assert got == [[W.word_hash(x) for x in H.words(t)] for t in texts]
     assert len({W.word_hash(f"{a}{b}") for a in range(300) for b in "xyz"}) == 900
 
 
+def parity_words(n=1024):
+    """Words that every sum of powers modulo a power of two hashes alike."""
+    a = "".join("ab"[i.bit_count() % 2] for i in range(n))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [64, 256, 264, 1024, 2048, 4096])
+def test_words_by_bit_parity_differ(n):
+    a, b = parity_words(n)
+    assert W.word_hash(a) != W.word_hash(b) and W.word_hash(a) == W.word_hash(a.upper())
+
+
+def test_words_by_bit_parity_in_the_models(spark):
+    a, b = parity_words()
+    docs = H.table(spark, {1: a, 2: b}).select("doc_id", "text")
+    got = {r.doc_id: r for r in ngram_lm.score(docs, ngram_lm.train(docs.where("doc_id = 1"))).collect()}
+    assert (got[1].n_known, got[2].n_known) == (2, 1)
+    columns = [W.Words(np.frombuffer(x.encode(), np.uint8), np.array([0, len(x)])) for x in (a, b)]
+    terms = [set(toxicity._terms(w)[0].tolist()) for w in columns]
+    assert not terms[0] & terms[1]
+
+
 def model_of(texts):
     c, b, n = Counter(), Counter(), len(texts)
     for t in texts:

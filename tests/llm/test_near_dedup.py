@@ -46,6 +46,13 @@ def test_odd_tables(spark):
     assert got == sorted([("1", 3, 1), ("1", 3, 1), ("2", 3, 1), ("None", 3, None), ("None", 0, None)])
 
 
+def test_words_by_bit_parity_are_not_alike(spark):
+    a = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    rows = {1: a, 2: a.translate(str.maketrans("ab", "ba")), 3: a.upper()}
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(H.table(spark, rows)).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
 def test_long_chains_contract(spark):
     n = 120
     links = spark.createDataFrame([(i, i + 1) for i in range(10, 10 + n)] + [(500, 501), (501, 500), (502, 502)], "a long, b long")
