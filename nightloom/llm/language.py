@@ -1,9 +1,11 @@
 """Language ID: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Characters are lower-cased letters; whatever is no letter counts as a word boundary. N-grams of 1 to 3 characters
-are hashed into a fixed number of features. Document frequencies are counted over all documents. The model is
-trained with FTRL-proximal under an elastic net (L1 and L2) on a bounded sample of the labelled rows, a third of
-which is held back to fit the temperature of the softmax.
+are hashed into a fixed number of features. Document frequencies are counted over all rows to learn from, and no
+others. The model is trained with FTRL-proximal under an elastic net (L1 and L2) on the whole texts of a bounded sample
+of these rows. A third of the sample is held back to fit the temperature of the softmax, on whole texts and on short
+runs of them; targets are smoothed by their number, (n + 1) / (n + classes), so that rows that are all told apart do
+not make every score 1.
 
 Defined results: a null text or one without a letter is `und` with score 0; with a single learned language every
 other text gets it with score 1, with none every text is `und`; ties go to the first language in order; rows
@@ -26,8 +28,8 @@ from nightloom.llm import wordhash as H
 
 FEATURES = 1 << 15
 ORDERS = (1, 2, 3)
-#: Bounds of the sample: documents a language, and characters of each (three runs of it, from its start, middle and end).
-DOCS_A_LANGUAGE, CHARS_A_DOC = 800, 1500
+#: The bound of the sample, documents a language; characters of the short runs that the temperature is fitted on.
+DOCS_A_LANGUAGE, RUN_CHARS = 800, 24
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 0.02, 0.001
 ROWS, BYTES = 256, 1 << 19
 UNDETERMINED = "und"
@@ -132,43 +134,71 @@ def ftrl(examples: list[tuple[np.ndarray, np.ndarray, int]], classes: int, seed:
     return weights(np.arange(FEATURES + 1))
 
 
-def _temperature(logits: np.ndarray, y: np.ndarray) -> float:
-    """The softmax temperature with the least loss on held-back rows, by golden section over its logarithm."""
+def temperature(logits: np.ndarray, y: np.ndarray) -> float:
+    """The softmax temperature with the least loss against smoothed targets, by golden section over its logarithm."""
+    n, k = logits.shape
+    right = (n + 1) / (n + k)
+    target = np.full((n, k), (1 - right) / max(k - 1, 1))
+    target[np.arange(n), y] = right
+
     def loss(log_t: float) -> float:
         s = logits / np.exp(log_t)
         s = s - s.max(axis=1, keepdims=True)
-        return float((np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(y)), y]).mean())
+        return float((np.log(np.exp(s).sum(axis=1)) - (target * s).sum(axis=1)).mean())
 
-    a, b, r = -4.0, 4.0, (np.sqrt(5) - 1) / 2
+    a, b, r = -8.0, 8.0, (np.sqrt(5) - 1) / 2
     for _ in range(60):
         c, d = b - r * (b - a), a + r * (b - a)
         a, b = (a, d) if loss(c) < loss(d) else (c, b)
     return float(np.exp((a + b) / 2))
 
 
-def train(docs: DataFrame, rows: DataFrame) -> dict:
-    """rows: doc_id, text, lang to learn from; docs: text of all documents, for the frequencies."""
+VECTOR = "doc_id long, label string, short boolean, features binary, weights binary"
+
+
+def _vectors(idf: np.ndarray):
+    """doc_id, label, text, short -> the sparse vector of each text that has a letter."""
+
+    def vector(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, off in _small(batch.column(2)):
+                of, f, w, has = _rows(data, off, idf)
+                at = np.searchsorted(of, np.arange(j - i + 1))
+                cut = lambda x, kind: pa.array([x[a:b].astype(kind).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())  # noqa: B023, E731
+                rows = batch.slice(i, j - i)
+                out = [rows.column(0), rows.column(1), rows.column(3), cut(f, np.int32), cut(w, np.float32)]
+                yield pa.RecordBatch.from_arrays(out, ["doc_id", "label", "short", "features", "weights"]).filter(pa.array(has))
+
+    return vector
+
+
+def train(rows: DataFrame) -> dict:
+    """rows: doc_id, text, lang to learn from."""
     known = rows.where("lang IS NOT NULL")
     chosen, counts = S.sample_by_class(known.select("doc_id", "text", F.col("lang").alias("label")), DOCS_A_LANGUAGE)
     languages = sorted(counts)
     if len(languages) < 2:
         return {"languages": languages}
-    third = CHARS_A_DOC // 3
-    n = F.length("text")
-    runs = F.when(n <= CHARS_A_DOC, F.col("text")).otherwise(F.concat_ws("\n", F.substring("text", 1, third), F.expr(f"substring(text, cast(length(text) / 2 as int), {third})"), F.expr(f"right(text, {third})")))
-    got = chosen.where("text IS NOT NULL").select("doc_id", "label", runs.alias("text")).collect()  # DOCS_A_LANGUAGE short texts a language
-    got.sort(key=lambda r: (r.doc_id or 0, r.text))
-    df = {r.feature: r.n for r in docs.select("text").mapInArrow(_frequencies, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()}  # a row a feature
+    df = {r.feature: r.n for r in known.select("text").mapInArrow(_frequencies, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()}  # a row a feature
     idf = np.array([np.log((1 + df[-1]) / (1 + df.get(f, 0))) + 1 for f in range(FEATURES)])
-    examples = []
-    for i, j, data, off in _small(pa.array([r.text for r in got], pa.string())):
-        of, f, w, has = _rows(data, off, idf)
-        at = np.searchsorted(of, np.arange(j - i + 1))
-        examples += [(np.append(f[at[r] : at[r + 1]], FEATURES), np.append(w[at[r] : at[r + 1]], 1.0), languages.index(got[i + r].label)) for r in range(j - i) if has[r]]
-    fit, held = [e for k, e in enumerate(examples) if k % 3], examples[::3]
+    run = F.expr(f"substring(text, 1 + cast(pmod(xxhash64(text), greatest(length(text) - {RUN_CHARS}, 1)) as int), {RUN_CHARS})")
+    both = F.explode(F.array(F.struct(F.col("text"), F.lit(False).alias("short")), F.struct(run.alias("text"), F.lit(True).alias("short"))))
+    sample = chosen.where("text IS NOT NULL").select("doc_id", "label", both.alias("t")).select("doc_id", "label", "t.text", "t.short")
+    got = sample.mapInArrow(_vectors(idf), VECTOR).collect()  # two vectors of at most FEATURES entries for each row of the bounded sample
+    got.sort(key=lambda r: (r.doc_id or 0, r.short, r.features, r.weights))
+    examples = {True: [], False: []}
+    for r in got:
+        f, w = np.frombuffer(r.features, np.int32), np.frombuffer(r.weights, np.float32)
+        examples[r.short].append((np.append(f, FEATURES), np.append(w, 1.0), languages.index(r.label), r.doc_id or 0))
+    # Held back by document, so that no short run comes from a text that the weights are fitted on.
+    fit, held = [e[:3] for e in examples[False] if e[3] % 3], [e for kind in examples.values() for e in kind if e[3] % 3 == 0]
+    if not fit or not held:
+        fit = held = [e[:3] for e in examples[False]]
+    if not fit:
+        return {"languages": []}
     weights = ftrl(fit, len(languages))
-    logits = np.array([x @ weights[f] for f, x, _ in held]).reshape(-1, len(languages))
-    return {"languages": languages, "weights": weights, "idf": idf, "temperature": _temperature(logits, np.array([e[2] for e in held])) if held else 1.0}
+    logits = np.array([e[1] @ weights[e[0]] for e in held]).reshape(-1, len(languages))
+    return {"languages": languages, "weights": weights, "idf": idf, "temperature": temperature(logits, np.array([e[2] for e in held]))}
 
 
 def identify(docs: DataFrame, model: dict) -> DataFrame:
@@ -200,5 +230,5 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = C.table(spark, sf_dir, "documents")
     docs = C.documents_only(table)
     rows = table.where(C.fold(F.col("doc_id"), 4) != 2).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    found = identify(docs, train(docs, rows))
+    found = identify(docs, train(rows))
     return found.select("doc_id", (C.fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")

@@ -6,6 +6,9 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
+from nightloom.llm import common as C
 from nightloom.llm import language, ngram_lm, quality, samples, toxicity
 from nightloom.llm import wordhash as W
 from nightloom.llm.elias_fano import EliasFano
@@ -82,11 +85,67 @@ def test_language_odd_tables(spark):
     learn = [(10 + i, t, la) for i, (t, la) in enumerate([("the and with", "en"), ("der die das und", "de"), ("le la les et", "fr"), ("nothing", None)] * 6)]
     rows = spark.createDataFrame(learn, "doc_id long, text string, lang string")
     for some, known in ((rows, {"en", "de", "fr"}), (rows.where("lang = 'en'"), {"en"}), (rows.limit(0), set())):
-        got = {r.doc_id: r for r in language.identify(docs, language.train(docs, some)).collect()}
+        got = {r.doc_id: r for r in language.identify(docs, language.train(some)).collect()}
         assert [got[i].lang_pred for i in (1, 2, 3, 4)] == ["und"] * 4
         assert {got[i].lang_pred for i in (5, 6)} <= (known or {"und"})
 
 
+def test_language_learns_from_its_rows_only(spark, tmp_path):
+    """Other texts and languages of held-out rows leave the model and all other predictions as they were."""
+    table = C.table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text", "lang")
+    held = C.fold(F.col("doc_id"), 4) == 2
+    other = table.withColumns({"text": F.when(held, F.concat(F.lit("qqq zzz xxx "), F.reverse("text"))).otherwise(F.col("text")), "lang": F.when(held, F.lit("xx")).otherwise(F.col("lang"))})
+    models, found = [], []
+    for k, t in enumerate((table, other)):
+        t.write.parquet(f"{tmp_path}/{k}/documents.parquet")
+        models.append(language.train(t.where(~held)))
+        found.append({r.doc_id: r for r in language.op9_language(spark, f"{tmp_path}/{k}").collect()})
+    for name in ("weights", "idf", "temperature"):
+        assert np.array_equal(models[0][name], models[1][name])
+    assert all(found[1][i] == r for i, r in found[0].items() if not r.held_out) and "xx" not in {r.lang_pred for r in found[1].values()}
+
+
+def test_language_scores_spread(spark):
+    table = C.table(spark, SF, "documents")
+    model = language.train(table.where(C.fold(F.col("doc_id"), 4) != 2))
+    assert np.exp(-7) < model["temperature"] < np.exp(7)
+    whole = duck(SF).sql("SELECT lang, arg_min(text, doc_id) FROM documents WHERE length(text) > 500 AND lang IS NOT NULL GROUP BY lang ORDER BY lang").fetchall()
+    texts = [t[k : k + 3000] for _, t in whole for k in (0,)] + [whole[0][1][:300] + " " + whole[1][1][:300]] + [t[20:26] for _, t in whole] + ["x", "aa 1"]
+    got = {r.doc_id: r.score for r in language.identify(H.table(spark, dict(enumerate(texts))), model).collect()}
+    n = len(whole)
+    assert len({round(s, 4) for s in got.values()}) > n and max(got.values()) < 1
+    assert np.mean([got[i] for i in range(n)]) > np.mean([got[i] for i in range(n + 1, 2 * n + 1)]) and got[n] < max(got[i] for i in range(n))
+
+
+def test_temperature_of_separated_rows_is_inside_its_bounds():
+    y = np.arange(90) % 3
+    for scale in (0.1, 1, 50):
+        t = language.temperature(scale * np.eye(3)[y], y)
+        p = np.exp(scale / t) / (np.exp(scale / t) + 2)
+        assert p == pytest.approx(91 / 93, abs=1e-3)
+
+
+def test_repeated_rows_ties_and_long_texts(spark):
+    """Every row is scored by its own text, rows that share all of doc_id and text alike, whatever the length."""
+    long = "lorem ipsum dolor " * 40_000
+    rows = [(1, "same text here"), (1, "same text here"), (1, None), (2, long), (None, "same text here")]
+    docs = H.table(spark, rows, extra=True)
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(1, 9)], LABELS)
+    learn = H.table(spark, [(i, ("good words about things " if i % 2 else "bad bad stuff ") * 30) for i in range(1, 9)])
+    langs = spark.createDataFrame([(i, "the and" if i % 2 else "der und", "en" if i % 2 else "de") for i in range(30)], "doc_id long, text string, lang string")
+    for got in (
+        quality.score_quality(docs, quality.train(learn, labels)),
+        toxicity.score_toxicity(docs, toxicity.train(learn, labels)),
+        language.identify(docs, language.train(langs)),
+        ngram_lm.score(docs, ngram_lm.train(docs)),
+    ):
+        got = got.collect()
+        assert sorted(str(r.doc_id) for r in got) == ["1", "1", "1", "2", "None"]
+        assert len({round(r.score, 12) for r in got if r.doc_id == 1}) <= 2 and all(math.isfinite(r.score) for r in got)
+    tie = {"languages": ["aa", "bb"], "weights": np.zeros((language.FEATURES + 1, 2)), "idf": np.ones(language.FEATURES), "temperature": 1.0}
+    assert {(r.lang_pred, r.score) for r in language.identify(docs, tie).where("doc_id = 2").collect()} == {("aa", 0.5)}
+
+
 def test_ftrl_is_sparse_and_separates():
     rng = np.random.default_rng(1)
     examples = [(np.append(rng.choice(50, 5, replace=False) + 50 * y, language.FEATURES), np.append(np.full(5, 0.4), 1.0), y) for y in rng.integers(0, 3, 300)]
