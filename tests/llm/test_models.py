@@ -4,6 +4,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
@@ -36,7 +37,33 @@ def test_toxicity_held_out(spark):
     rows = toxicity.op3_toxicity(spark, SF).collect()
     assert len(rows) == 1000 and all(0 <= r.score <= 1 for r in rows)
     assert all(r.held_out == (H.fold(r.doc_id, 4) == 2) for r in rows)
-    against_labels(rows, "toxic", 0.85)
+    against_labels(rows, "toxic", 0.95)
+    labels = dict(duck(SF).sql("SELECT doc_id, toxic FROM labels").fetchall())
+    toxic = [r.predicted for r in rows if r.held_out and labels.get(r.doc_id) == 1]
+    clean = [r.predicted for r in rows if r.held_out and labels.get(r.doc_id) == 0]
+    assert sum(toxic) >= 0.75 * len(toxic) and sum(clean) <= 0.03 * len(clean)
+
+
+def test_toxicity_neighbours_are_the_nearest_by_whole_vectors(spark):
+    """The evidence of every document of a table against dense vectors over all terms."""
+    docs = C.table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text")
+    model = toxicity.train(docs, C.table(spark, "/root/testdata/sf0.001", "labels"))
+    column = pa.array([r.text for r in docs.orderBy("doc_id").collect()], pa.string())
+    index = model["index"]
+    dense = np.zeros((len(index.ids), len(model["terms"])))
+    for e in range(len(index.ids)):
+        part = slice(index.edge[e], index.edge[e + 1])
+        dense[e, index.terms[part]] = index.weights[part]
+    assert np.allclose((dense**2).sum(axis=1), 1)
+    ids = [r.doc_id for r in docs.orderBy("doc_id").collect()]
+    got = {r.doc_id: r.evidence for r in toxicity.score_toxicity(docs, model).collect()}
+    some = 0
+    for row, terms, weight in toxicity._vectors(model["terms"], model["weight"], column):
+        cosine = dense[:, terms] @ weight
+        order = np.lexsort((index.ids, -np.round(cosine, 9)))[: toxicity.NEAREST]
+        assert got[ids[row]] == index.ids[order[cosine[order] > 0]].tolist()
+        some += 1
+    assert some > 150
 
 
 def test_language_held_out(spark):
@@ -167,8 +194,6 @@ def test_elias_fano(n, universe):
 
 def test_word_hashes():
     texts = ["Hello  WORLD\tfoo", None, "", " é x\n", "hello"]
-    import pyarrow as pa
-
     got = []
     for i, j, data, off in W.slices(pa.array(texts)):
         w = W.Words(data, off)
