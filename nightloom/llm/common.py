@@ -46,8 +46,11 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        sc_dir = sc.getCheckpointDir()
-        root = sc_dir if sc_dir else "/tmp/nightloom-checkpoints"
+        root = sc.getCheckpointDir()
+    if not root:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "/tmp/nightloom-checkpoints"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(root)
     return f"{root.rstrip('/')}/nightloom-{uuid.uuid4().hex}"
@@ -59,6 +62,16 @@ def delete_dir(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def keep_only(spark: SparkSession, path: str, *names: str) -> None:
+    """Deletes all that is in a folder but `names`: tables that no later step reads."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    store = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in store.listStatus(p):
+        if status.getPath().getName() not in names:
+            store.delete(status.getPath(), True)
+
+
 def stored(df: DataFrame, path: str) -> DataFrame:
     """df written to a shared folder and read again: cuts the lineage so that a lost executor costs no recomputation."""
     df.write.mode("overwrite").parquet(path)

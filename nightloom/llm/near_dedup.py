@@ -10,15 +10,19 @@
 3. Candidates are confirmed on full shingle sets made from the whole texts: first the most alike partner of each
    document, then, of the others, those that still join two different components.
 4. Where more documents share a shortest prefix than a row's neighbourhood holds, alike or not, a partner may stand
-   beyond the neighbours. All documents of such crowded prefixes are joined exactly on their shingles: each posts the
-   rarest fifth of its set, and pairs of different components that share a posting, with sizes and places that still
-   allow the threshold, are confirmed on full sets. Long posting lists are cut into blocks that spread over tasks.
-   Rows of a prefix that is not crowded are never cut apart by the range sort. So no partner is lost to the limit.
+   beyond the neighbours. All documents of such crowded prefixes are compared exactly on their shingles: each posts the
+   rarest fifth of its set and stands in one block, with others that hold its most common posting. A document visits
+   the blocks that hold any of its postings, but for lists in which its own component is the largest; there it is
+   counted against all residents at once, and pairs of different components that share enough postings for the
+   threshold are confirmed on full sets. Blocks and their visitors are cut into cells of bounded size, and no row is
+   made for a pair that falls short. Rows of a prefix that is not crowded are never cut apart by the range sort. So no
+   partner is lost to the limit.
 5. Components come from repeated contraction of the links, as joins and sums in Spark.
 
 Defined results: without words n_shingles is 0 and the document stands alone; with fewer words than a shingle the
 whole sequence is the one shingle; a row with a null doc_id is kept, with a null component; a repeated row
-is judged like its twin (and both have the same component); extra columns are ignored.
+is judged like its twin (and both have the same component); rows that share a doc_id but not the text are judged each
+by its own text, and a component is named by the least doc_id of its rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ from nightloom.llm import common as C
 from nightloom.llm import wordhash as H
 
 TURN = 4
-SIGNATURE_SCHEMA = "doc_id long, n_shingles long, d1 long, d2 long, signature binary"
+SIGNATURE_SCHEMA = "doc_id long, text_hash long, n_shingles long, d1 long, d2 long, signature binary"
 
 
 def _sets(words: H.Words, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,8 +70,8 @@ def _signer(width: int, values: int, seed: int):
                         signature[full, k] = np.minimum.reduceat((h * f) >> np.uint64(32), at)
                 rows = pa.FixedSizeBinaryArray.from_buffers(pa.binary(values * 4), j - i, [None, pa.py_buffer(signature.tobytes())])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(d[0]), pa.array(d[1]), rows.cast(pa.binary())],
-                    ["doc_id", "n_shingles", "d1", "d2", "signature"],
+                    [batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(n, pa.int64()), pa.array(d[0]), pa.array(d[1]), rows.cast(pa.binary())],
+                    ["doc_id", "text_hash", "n_shingles", "d1", "d2", "signature"],
                 )
 
     return sign
@@ -134,9 +138,9 @@ def _confirm(width: int):
 
 #: Shingles are called rare by the counts of this many ranges of their hashes: a table of bounded size.
 RANGES = 1 << 20
-#: Postings outside the main component, and of the whole list, that one block of the join brings together.
-BLOCK_FEW, BLOCK_ALL = 256, 4096
-POSTING_SCHEMA = "node long, part long, n int, token long, place int"
+#: Postings that a block of documents, or its visitors in one cell, hold in all, about.
+BLOCK_POSTINGS = 1 << 17
+POSTING_SCHEMA = "node long, part long, n int, token long"
 
 
 def _range_of(h: np.ndarray) -> np.ndarray:
@@ -160,7 +164,7 @@ def _range_counts(width: int):
 
 def _postings(width: int, counts: np.ndarray):
     """The prefix of each set, rarest shingles first: two sets at 80 in 100 share one of their first n - ceil(0.8 n) + 1.
-    A shingle that is alone in its range is in no other set and is left out; it keeps its place."""
+    A shingle that is alone in its range is in no other set and is left out."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,47 +177,76 @@ def _postings(width: int, counts: np.ndarray):
                 n = np.bincount(of, minlength=j - i)
                 place = np.arange(len(h)) - (np.cumsum(n) - n)[of]
                 good = (place <= n[of] - (4 * n[of] + 4) // 5) & (often > 1)
-                of, h, place = of[good], h[good], place[good]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(node[i + of]), pa.array(part[i + of]), pa.array(n[of].astype(np.int32)), pa.array(h.view(np.int64)), pa.array(place.astype(np.int32))],
-                    ["node", "part", "n", "token", "place"],
-                )
+                of, h = of[good], h[good]
+                yield pa.RecordBatch.from_arrays([pa.array(node[i + of]), pa.array(part[i + of]), pa.array(n[of].astype(np.int32)), pa.array(h.view(np.int64))], ["node", "part", "n", "token"])
 
     return post
 
 
+def _cell(table: pa.Table) -> pa.Table:
+    """Residents and visitors of a cell -> their pairs of different parts that may reach 80 in 100: a, b, x, y, alike."""
+    node, part, n = (table.column(c).to_numpy() for c in ("node", "part", "n"))
+    visits = table.column("visitor").to_numpy().astype(bool)
+    tokens = table.column("tokens").combine_chunks()
+    flat, edge = tokens.values.to_numpy(), tokens.offsets.to_numpy()
+    size = np.diff(edge)
+    of = np.repeat(np.arange(len(node)), size)
+    home = np.flatnonzero(~visits)
+    order = np.argsort(flat, kind="stable")
+    order = order[~visits[of[order]]]
+    sorted_, owner = flat[order], np.searchsorted(home, of[order])
+    found = []
+    step = max(1, (1 << 22) // max(len(home), 1))
+    guests = np.flatnonzero(visits)
+    for i in range(0, len(guests), step):
+        some = guests[i : i + step]
+        at = np.repeat(edge[some] - np.cumsum(size[some]) + size[some], size[some]) + np.arange(size[some].sum())
+        guest = np.repeat(np.arange(len(some)), size[some])
+        shared = np.zeros(len(some) * len(home), np.int32)
+        begin, end = np.searchsorted(sorted_, flat[at]), np.searchsorted(sorted_, flat[at], side="right")
+        for k in np.split(np.arange(len(at)), np.flatnonzero(np.diff(np.cumsum(end - begin) >> 22)) + 1):  # about 4 million meetings at once
+            m = end[k] - begin[k]
+            place = np.repeat(begin[k] - np.cumsum(m) + m, m) + np.arange(m.sum())
+            shared += np.bincount(np.repeat(guest[k], m) * len(home) + owner[place], minlength=len(shared)).astype(np.int32)
+        met = np.flatnonzero(shared)
+        a, b, alike = some[met // len(home)], home[met % len(home)], shared[met]
+        lo, hi = np.minimum(n[a], n[b]).astype(np.int64), np.maximum(n[a], n[b]).astype(np.int64)
+        # Beyond their prefixes two sets share at most what the one set has there whose prefix ends first.
+        good = (part[a] != part[b]) & (5 * lo >= 4 * hi) & (9 * (alike + (4 * hi + 4) // 5 - 1) >= 4 * (lo + hi))
+        found.append((a[good], b[good], alike[good]))
+    a, b, alike = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+    turn = node[a] > node[b]
+    a, b = np.where(turn, b, a), np.where(turn, a, b)
+    return pa.table({"a": node[a], "b": node[b], "x": part[a], "y": part[b], "alike": alike.astype(np.int64)})
+
+
 def _crowded_pairs(rows: DataFrame, width: int, path: str) -> DataFrame:
     """Every pair of rows (node, part, text) of different parts whose sets may reach 80 in 100: a, b, x, y (their parts),
     alike (shared prefix shingles). See step 4 above."""
     counts = np.zeros(RANGES, np.int64)
     got = rows.mapInArrow(_range_counts(width), "range int, n long").groupBy("range").agg(F.sum("n").alias("n")).where("n > 1").toPandas()  # RANGES rows at most
     counts[got["range"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
-    postings = rows.mapInArrow(_postings(width, np.minimum(counts, 2**31 - 1).astype(np.int32)), POSTING_SCHEMA)
-    # Sizes that the threshold allows differ by a quarter at most, so they stand in the same class or the next.
-    postings = C.stored(postings.withColumn("class", F.floor(F.log("n") / F.log(F.lit(1.3))).cast("int")), f"{path}/postings")
-    lists = postings.withColumn("at", F.explode(F.array(F.col("class"), F.col("class") - 1)))
-    parts = lists.groupBy("token", "at", "part").agg(F.count("*").alias("m"))
-    heads = parts.groupBy("token", "at").agg(F.sum("m").alias("all"), F.max(F.struct("m", "part")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-    heads = C.stored(
-        heads.select("token", "at", F.col("top.part").alias("main"), F.ceil((F.col("all") - F.col("top.m")) / BLOCK_FEW).cast("int").alias("n_few"), F.ceil(F.col("all") / BLOCK_ALL).cast("int").alias("n_all")),
-        f"{path}/heads",
-    )
-    lists = lists.join(heads, ["token", "at"])
-    spot = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    copies = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    named = lambda side: [F.col(c).alias(f"{c}_{side}") for c in ("node", "part", "n", "place", "class")]
-    few = lists.where("part <> main").select("token", "at", spot("n_few").alias("f"), copies("n_all").alias("g"), *named("a"))
-    every = lists.select("token", "at", "main", copies("n_few").alias("f"), spot("n_all").alias("g"), *named("b"))
-    met = few.join(every, ["token", "at", "f", "g"]).where(
-        "part_a <> part_b AND (part_b = main OR node_a < node_b) AND least(class_a, class_b) = at AND 5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)"
-    )
-    turned = F.col("node_a") > F.col("node_b")
-    first = lambda c: F.when(turned, F.col(f"{c}_b")).otherwise(F.col(f"{c}_a"))
-    second = lambda c: F.when(turned, F.col(f"{c}_a")).otherwise(F.col(f"{c}_b"))
-    met = met.select(first("node").alias("a"), second("node").alias("b"), first("part").alias("x"), second("part").alias("y"), (first("n") - first("place") - 1).alias("left_a"), (second("n") - second("place") - 1).alias("left_b"), (F.col("n_a") + F.col("n_b")).alias("sum"))
-    pairs = met.groupBy("a", "b", "x", "y", "sum").agg(F.count("*").alias("alike"), F.min("left_a").alias("left_a"), F.min("left_b").alias("left_b"))
-    # What both sets share beyond their prefixes comes after the last shared shingle.
-    return C.stored(pairs.where("9 * (alike + least(left_a, left_b)) >= 4 * sum").select("a", "b", "x", "y", "alike"), f"{path}/crowded")
+    postings = C.stored(rows.mapInArrow(_postings(width, np.minimum(counts, 2**31 - 1).astype(np.int32)), POSTING_SCHEMA), f"{path}/postings")
+    parts = postings.groupBy("token", "part").agg(F.count("*").alias("m"))
+    heads = parts.groupBy("token").agg(F.sum("m").alias("all"), F.max(F.struct("m", "part")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+    heads = C.stored(heads.select("token", "all", F.col("top.part").alias("main")), f"{path}/heads")
+    lists = C.stored(postings.join(heads, "token"), f"{path}/lists")
+    sets = lists.groupBy("node").agg(F.first("part").alias("part"), F.first("n").alias("n"), F.collect_list("token").alias("tokens"), F.max_by("token", F.struct("all", "token")).alias("block"))
+    sets = C.stored(sets, f"{path}/sets")
+    cells = lambda weight: F.ceil(F.sum(weight) / BLOCK_POSTINGS).cast("int")
+    spot = lambda k: F.pmod(F.xxhash64("node"), F.col(k)).cast("int")
+    homes = sets.select("node", "block", F.size("tokens").alias("size"))
+    homes = homes.join(homes.groupBy("block").agg(cells("size").alias("cut")), "block").select("node", "size", "block", spot("cut").alias("at"))
+    homes = C.stored(homes, f"{path}/homes")
+    where = lists.select("token", "node").join(homes, "node").select("token", "block", "at").distinct()
+    visits = C.stored(lists.where("part <> main").select("token", "node").join(where, "token").select("node", "block", "at").distinct(), f"{path}/visits")
+    sizes = homes.select("node", "size")
+    cut = visits.join(sizes, "node").groupBy("block", "at").agg(cells("size").alias("cut"))
+    guests = visits.join(cut, ["block", "at"]).select("node", "block", "at", spot("cut").alias("cell"), F.lit(True).alias("visitor"))
+    hosts = homes.join(cut, ["block", "at"]).select("node", "block", "at", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)).alias("cell"), F.lit(False).alias("visitor"))
+    met = guests.unionByName(hosts).join(sets.select("node", "part", "n", "tokens"), "node")
+    pairs = met.groupBy("block", "at", "cell").applyInArrow(_cell, "a long, b long, x long, y long, alike long")
+    return C.stored(pairs.groupBy("a", "b", "x", "y").agg(F.max("alike").alias("alike")), f"{path}/crowded")
 
 
 def components(links: DataFrame, path: str) -> DataFrame:
@@ -221,7 +254,7 @@ def components(links: DataFrame, path: str) -> DataFrame:
     hooks on its least neighbour, and links between what has become one node go."""
     links = C.stored(links.select("a", "b").where("a <> b").distinct(), f"{path}/links-0")
     labels = None
-    for k in range(1, 64):
+    for k in range(1, 64):  # each round at least halves the nodes that still have links
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("to"))
         least = C.stored(least, f"{path}/least-{k}")
@@ -244,11 +277,12 @@ def near_duplicates(docs: DataFrame, width: int = 4, orders: int = 12, near: int
     spark = docs.sparkSession
     path = C.shared_dir(spark)
     docs = C.documents_only(docs)
+    docs = docs.withColumn("text_hash", F.xxhash64("text"))
     signed = C.stored(docs.mapInArrow(_signer(width, orders * TURN, seed), SIGNATURE_SCHEMA), f"{path}/signed")
     named = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
-    groups = C.stored(
-        named.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature")), f"{path}/groups"
-    )
+    # A group of equal sets has a number of its own, which is fixed once it is written, and one row of it stands for all.
+    equal = named.groupBy("d1", "d2", "n_shingles").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.first("signature").alias("signature"))
+    groups = C.stored(equal.select("d1", "d2", "n_shingles", "row.doc_id", "row.text_hash", "signature", F.monotonically_increasing_id().alias("node")), f"{path}/groups")
 
     # The forest. Only documents that share a shortest prefix with another in some order are sorted in that order.
     turned = lambda t: F.concat(F.expr(f"substring(signature, {t} * {TURN * 4} + 1)"), F.expr(f"substring(signature, 1, {t} * {TURN * 4})"))
@@ -267,12 +301,13 @@ def near_duplicates(docs: DataFrame, width: int = 4, orders: int = 12, near: int
     pairs = C.stored(pairs.groupBy("a", "b").agg(F.max("alike").alias("alike")), f"{path}/pairs")
 
     # Confirmation, on the texts of the documents that any pair names or that are crowded.
-    ends = pairs.select("a").union(pairs.select("b")).union(crowd).distinct().withColumnRenamed("a", "doc_id")
-    texts = C.stored(docs.join(ends.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), f"{path}/texts")
+    ends = pairs.select("a").union(pairs.select("b")).union(crowd).distinct().withColumnRenamed("a", "node")
+    ends = groups.select("doc_id", "text_hash", "node").join(ends, "node")
+    texts = C.stored(docs.join(ends.hint("shuffle_hash"), ["doc_id", "text_hash"]).select("node", "text").dropDuplicates(["node"]), f"{path}/texts")
 
     def confirmed(some: DataFrame, name: str) -> DataFrame:
-        a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-        b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+        a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+        b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
         with_texts = some.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
         return C.stored(with_texts.mapInArrow(_confirm(width), "a long, b long"), f"{path}/{name}")
 
@@ -288,7 +323,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, orders: int = 12, near: int
     second = confirmed(rest, "second")
     links = first.unionByName(second)
     so_far = components(links, f"{path}/components-2")
-    rows = texts.withColumnRenamed("doc_id", "node").join(crowd, "node").join(so_far, "node", "left").select("node", F.coalesce("label", "node").alias("part"), "text")
+    rows = texts.join(crowd, "node").join(so_far, "node", "left").select("node", F.coalesce("label", "node").alias("part"), "text")
     met = _crowded_pairs(rows, width, path)
     # First the most alike partner of each document in each other component, then what still joins two components.
     each = met.select("a", "b", "y", "alike").union(met.select("b", "a", "x", "alike"))
@@ -301,7 +336,10 @@ def near_duplicates(docs: DataFrame, width: int = 4, orders: int = 12, near: int
     fourth = confirmed(rest.where(F.coalesce("x", "a") != F.coalesce("y", "b")), "fourth")
     labels = components(links.unionByName(fourth), f"{path}/components-4")
 
-    classes = groups.join(labels, "node", "left").select("d1", "d2", "n_shingles", F.coalesce("label", "node").alias("component_id"))
+    classes = groups.select("d1", "d2", "n_shingles", "node", F.col("doc_id").alias("least")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    names = classes.groupBy("label").agg(F.min("least").alias("component_id"))
+    classes = C.stored(classes.join(names, "label").select("d1", "d2", "n_shingles", "component_id"), f"{path}/classes")
+    C.keep_only(spark, path, "signed", "classes")
     alone = signed.where("doc_id IS NULL OR n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return named.select("doc_id", "d1", "d2", "n_shingles").join(classes, ["d1", "d2", "n_shingles"]).select("doc_id", "n_shingles", "component_id").unionByName(alone)
 

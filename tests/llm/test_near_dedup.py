@@ -46,6 +46,23 @@ def test_odd_tables(spark):
     assert got == sorted([("1", 3, 1), ("1", 3, 1), ("2", 3, 1), ("None", 3, None), ("None", 0, None)])
 
 
+def test_rows_that_share_an_id(spark):
+    """Each row goes by its own text, whatever the order of rows."""
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(5, a), (5, b), (3, a + " more"), (4, b + " more"), (9, b)]
+    for some in (rows, rows[::-1]):
+        got = sorted((r.doc_id, r.component_id) for r in near_dedup.near_duplicates(H.table(spark, some)).collect())
+        assert got == [(3, 3), (4, 4), (5, 3), (5, 4), (9, 4)]
+
+
+def test_crowded_cells_are_cut(spark, monkeypatch):
+    """The same crowd when a cell holds few postings."""
+    monkeypatch.setattr(near_dedup, "BLOCK_POSTINGS", 300)
+    texts = crowd()
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(H.table(spark, texts), near=1, least_alike=0.7).collect()}
+    assert got == {i: i - i % 2 for i in texts}
+
+
 def test_words_by_bit_parity_are_not_alike(spark):
     a = "".join("ab"[i.bit_count() % 2] for i in range(1024))
     rows = {1: a, 2: a.translate(str.maketrans("ab", "ba")), 3: a.upper()}
