@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import tempfile
@@ -34,8 +35,10 @@ def write(uri: str, arrays: list[np.ndarray]) -> None:
     store.move(draft, path)
 
 
+@functools.lru_cache(4096)
 def read(uri: str) -> list[np.ndarray]:
-    """A file that this machine can't open itself is fetched once into an unnamed local file."""
+    """A file that this machine can't open itself is fetched into an unnamed local file, once a worker process. Files are
+    never changed once they are written, so a name stands for its contents."""
     store, path = _open(uri)
     if isinstance(store, pafs.LocalFileSystem):
         file = open(path, "rb")  # noqa: SIM115  the mapping outlives it

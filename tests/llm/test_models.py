@@ -224,42 +224,65 @@ def test_words_by_bit_parity_in_the_models(spark):
     assert not terms[0] & terms[1]
 
 
-def model_of(texts):
-    c, b, n = Counter(), Counter(), len(texts)
-    for t in texts:
-        w = [*H.words(t), None]
-        c.update(w)
-        b.update(zip(["<s>", *w[:-1]], w, strict=True))
-    return c, b, n
-
-
-def test_language_model(spark):
+def brute_scores(texts, train, prune, order):
+    """id -> (n_tokens, n_known, base, score) by the formula, from plain counters of all n-grams."""
+    grams = [Counter() for _ in range(order + 1)]
+    tokens = {i: ["<s>", *H.words(t), None] for i, t in texts.items()}
+    for i in train:
+        t = tokens[i]
+        for k in range(1, order + 1):
+            grams[k].update(tuple(t[j : j + k]) for j in range(max(0, 2 - k), len(t) - k + 1))
+        grams[1][("<s>",)] += 1
+    n = sum(c for (w,), c in grams[1].items() if w != "<s>")
+    v = len(grams[1]) - (1 if train else 0)
+    p1 = lambda w: (grams[1][(w,)] + 0.1) / (n + 0.1 * (v + 1))
+    took, kept = [Counter() for _ in range(order + 1)], [{}, grams[1]]
+    for k in range(2, order + 1):
+        kept.append({g: c for g, c in grams[k].items() if c >= prune})
+        for g, c in kept[k].items():
+            took[k][g[:-1]] += c - 0.75
+
+    def p(context, w):
+        if not context:
+            return p1(w)
+        k = len(context) + 1
+        if context not in took[k]:
+            return p(context[1:], w)
+        of = grams[k - 1][context]
+        return (max(kept[k].get((*context, w), 0) - 0.75, 0)) / of + (1 - took[k][context] / of) * p(context[1:], w)
+
+    out = {}
+    for i, t in tokens.items():
+        score = sum(math.log10(p(tuple(t[max(0, j - order + 1) : j]), t[j])) for j in range(1, len(t)))
+        out[i] = len(t) - 1, sum(grams[1][(w,)] > 0 for w in t[1:]), sum(math.log10(p1(w)) for w in t[1:]), score
+    return out, n, v
+
+
+@pytest.mark.parametrize(("prune", "order"), [(2, 3), (1, 3), (3, 2), (2, 4)])
+def test_language_model(spark, prune, order):
     texts = dict(duck().sql("SELECT doc_id, text FROM documents").fetchall()) | {5000: None, 5001: "", 5002: "the the unseenword the", 5003: "unseenword " * 40}
     docs = H.table(spark, texts, extra=True).select("doc_id", "text")
-    train = {i: t for i, t in texts.items() if H.fold(i, 10) != 0}
-    model = ngram_lm.train(docs.where(docs.doc_id.isin(list(train))))
-    c, b, n = model_of(train.values())
-    total, v = sum(c.values()), len(c)
-    assert (model["n"], model["v"]) == (total, v)
-    p1 = lambda w: (c[w] + 0.1) / (total + 0.1 * (v + 1))
-    took = Counter()
-    for (a, _), m in b.items():
-        if m >= 2:
-            took[a] += m - 0.75
-    seen = dict(c) | {"<s>": n}
+    train = [i for i in texts if H.fold(i, 10) != 0]
+    model = ngram_lm.train(docs.where(docs.doc_id.isin(train)), prune, order)
+    want, n, v = brute_scores(texts, train, prune, order)
+    assert (model["n"], model["v"]) == (n, v) and len(model["above"]) == order - 1
+    off = 0.0
     for r in ngram_lm.score(docs, model).collect():
-        w = [*H.words(texts[r.doc_id]), None]
-        base = sum(math.log10(p1(x)) for x in w)
-        assert (r.n_tokens, r.n_known) == (len(w), sum(c[x] > 0 for x in w)) and r.base_score == pytest.approx(base)
-        exact = 0.0
-        for a, x in zip(["<s>", *w[:-1]], w, strict=True):
-            m, of = b[a, x] if b[a, x] >= 2 else 0, seen.get(a, 0)
-            exact += math.log10((m - 0.75 if m else 0) / of + (1 - took[a] / of) * p1(x)) if of else math.log10(p1(x))
-        assert r.score == pytest.approx(exact, abs=0.05 * len(w))
-    # After a frequent word the probabilities of all words and of one unknown word sum to 1.
-    back = 1 - took["the"] / seen["the"]
-    whole = sum((b["the", x] - 0.75 if b["the", x] >= 2 else 0) / seen["the"] + back * p1(x) for x in c) + back * p1("never seen")
-    assert whole == pytest.approx(1)
+        n_tokens, n_known, base, score = want[r.doc_id]
+        off += abs(r.score - score)
+        assert (r.n_tokens, r.n_known) == (n_tokens, n_known) and r.base_score == pytest.approx(base)
+        assert r.score == pytest.approx(score, abs=0.05 * n_tokens)
+    assert off < 0.003 * sum(x[0] for x in want.values())  # 8 bits a probability
+
+
+def test_counts_of_large_numbers():
+    rng = np.random.default_rng(3)
+    for most in (50, 2**33, 2**62):
+        c, w = (rng.integers(0, 6, 400) * (most // 6) for _ in range(2))
+        got = ngram_lm._counted(c, w)
+        assert dict(zip(zip(*(x.tolist() for x in got[:2]), strict=True), got[2].tolist(), strict=True)) == Counter(zip(c.tolist(), w.tolist(), strict=True))
+        again = ngram_lm._counted(*(np.concatenate([x, x]) for x in got))
+        assert (again[0] == got[0]).all() and (again[1] == got[1]).all() and (again[2] == 2 * got[2]).all()
 
 
 def test_language_model_of_nothing(spark):
