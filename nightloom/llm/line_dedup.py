@@ -4,7 +4,9 @@ A run holds one row per line key: its hash (two 64-bit words), how many document
 the document that keeps it. Batches are taken from the largest doc_ids downwards. Each new batch is
 anti-joined with the runs: a key that no run holds is new, and the batch's largest doc_id keeps it for good; a
 key that a run holds only adds to the count. The batch is then added as a run of its own on level 0; `fanout`
-runs of one level are merged into one run of the next.
+runs of one level are merged into one run of the next. The rows of a batch are written apart when lines are
+hashed, so each batch reads its own rows only; with five batches and a fanout of four, the first four runs are compacted
+and the fifth batch meets the level above.
 
 Defined results: a null or empty text is one empty line; a null doc_id ranks below every other id, and rows
 with the same doc_id count as one document; short keys are never dropped; extra columns are ignored.
@@ -74,7 +76,7 @@ class LineRuns:
             C.delete_dir(self.spark, name)
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 2, fanout: int = 4, carry: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 5, fanout: int = 4, carry: bool = False) -> DataFrame:
     """doc_id, text, lines (before), dropped_lines, kept_text: lines whose key of at least min_chars code points
     stands in at least min_docs documents go, except in the largest doc_id that holds the key. With carry,
     the columns of docs, with the kept text for the text (the others in a struct meanwhile, so that no name can clash)."""
@@ -89,20 +91,19 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     hashes = F.array_distinct(
         F.transform(F.filter(F.transform(lines, line_key), lambda k: F.length(k) >= min_chars), key_hash)
     )
-    keyed = C.stored(docs.select(rank.alias("rank"), F.explode(hashes).alias("h")).select("rank", "h.k1", "h.k2"), f"{path}/lines")
-    cuts = keyed.agg(F.percentile_approx("rank", [i / batches for i in range(1, batches)], 1000)).first()[0] if batches > 1 else []
-    bounds = [None, *sorted(set(cuts or ()), reverse=True), None]
+    ranks = docs.select(rank.alias("rank"))
+    cuts = ranks.agg(F.percentile_approx("rank", [i / batches for i in range(1, batches)], 1000)).first()[0] if batches > 1 else []
+    cuts = sorted(set(cuts or ()))
+    batch = len(cuts) - sum(((F.col("rank") > c).cast("int") for c in cuts), F.lit(0))  # the largest ids are batch 0
+    keyed = docs.select(rank.alias("rank"), F.explode(hashes).alias("h")).select("rank", "h.k1", "h.k2").withColumn("batch", batch.cast("int"))
+    keyed.write.partitionBy("batch").parquet(f"{path}/lines")
+    keyed = spark.read.schema("rank long, k1 long, k2 long, batch int").parquet(f"{path}/lines")
     runs = LineRuns(spark, f"{path}/runs", fanout)
-    for upper, lower in zip(bounds, bounds[1:], strict=False):
-        batch = keyed
-        if upper is not None:
-            batch = batch.where(F.col("rank") <= upper)
-        if lower is not None:
-            batch = batch.where(F.col("rank") > lower)
-        runs.add(batch.distinct().groupBy("k1", "k2").agg(F.count("*").alias("n_docs"), F.max("rank").alias("keeper")))
+    for k in range(len(cuts) + 1):
+        runs.add(keyed.where(F.col("batch") == k).select("rank", "k1", "k2").distinct().groupBy("k1", "k2").agg(F.count("*").alias("n_docs"), F.max("rank").alias("keeper")))
     # Written first, so that the join below has plain shuffles on both sides and a very common key can be split.
     common = C.stored(runs.merged().where(F.col("n_docs") >= min_docs).select("k1", "k2", "keeper"), f"{path}/common")
-    drops = keyed.join(common, ["k1", "k2"]).where(F.col("rank") != F.col("keeper")).groupBy("rank").agg(F.collect_set(F.struct("k1", "k2")).alias("drop"))
+    drops = keyed.drop("batch").join(common, ["k1", "k2"]).where(F.col("rank") != F.col("keeper")).groupBy("rank").agg(F.collect_set(F.struct("k1", "k2")).alias("drop"))
     kept = F.filter(
         lines,
         lambda x: C.once(
