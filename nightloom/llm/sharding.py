@@ -2,8 +2,10 @@
 
 Every row hashes into one of a fixed number of slots; rows' bytes are summed per slot, and a map from slot to
 shard, held in a table with a version on each state, deals the slots out. Rebalancing edits the map: slots move
-until the shards' bytes are near equal again, and all others stay where they are. The law that op6 keeps is
-`bytes`. Only the map (a fixed number of slots) reaches the driver.
+until the shards' bytes are near equal again, and all others stay where they are. A new table's map deals the slots out
+in turn (version 1); once the slots' bytes are known it is edited by them (version 2), and that version places the rows.
+The law that op6 keeps is `bytes`. Only the map (a fixed number of slots) reaches the driver. A row's slot comes from
+its doc_id and its text, so copies of one text spread over all slots: a hot group cannot fill a shard.
 
 Defined results: a null text has 0 bytes, so size 1, and the crc32 of an empty text; a null doc_id hashes like
 any value; rows that agree in all of doc_id and text land in one slot; extra columns are ignored.
@@ -99,7 +101,9 @@ def shard_documents(docs: DataFrame, shards: int = 8, slots: int = SLOTS) -> Dat
     path = C.shared_dir(spark)
     sized = C.stored(sized.withColumn("vslot", slot_of(slots, F.col("doc_id"), F.col("text_crc32"))), f"{path}/sized")
     totals = {r.vslot: (r.bytes, r.n) for r in sized.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()}
-    held = SlotMap(spark, f"{path}/map", slots).create({s: b for s, (b, _) in totals.items()}, shards)
+    held = SlotMap(spark, f"{path}/map", slots)
+    held.create({}, shards)
+    held = held.edit({s: b for s, (b, _) in totals.items()}, shards)
     first: dict[int, int] = {}
     rows = []
     for r in held.orderBy("slot").collect():
