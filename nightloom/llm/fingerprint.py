@@ -69,34 +69,47 @@ def likeness(a: Column, b: Column, size: int = SIZE) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(share)
 
 
-def with_next(docs: DataFrame, value: Column, bucket_rows: int = 32, most: int = 1000) -> DataFrame:
+#: Ranges of ids at each of two levels, at most; and rows of a range, about, as long as there are ranges.
+RANGES, RANGE_ROWS = 1000, 32
+
+
+def with_next(docs: DataFrame, value: Column, range_rows: int = RANGE_ROWS) -> DataFrame:
     """docs with `next`: value of the row that follows by doc_id; the first row's for the last.
 
-    The ids are cut at percentiles into ranges; a window orders each range by itself, and the first row of each
-    range also stands, marked, at the end of the one before. Only the cut points reach the driver."""
+    The ids are cut at percentiles into ranges, and these again, so there are up to RANGES^2 of them; a window orders each
+    range by itself, and the first row of each range also stands, marked, at the end of the one before. Rows that share
+    a doc_id are spread by their text's hash. The driver gets the cuts of the upper level; the others are sent to all tasks,
+    RANGES arrays of RANGES numbers at most."""
     low = F.coalesce(F.col("doc_id"), F.lit(-(2**63)).cast("long"))
-    ids = docs.select(low.alias("at"))
+    rows = docs.withColumns({"at": low, "tie": F.xxhash64("text")})
+    ids = rows.select("at", "tie")
     n = ids.count()
     if not n:
         return docs.withColumn("next", F.lit(None).cast(docs.select(value.alias("v")).schema["v"].dataType))
-    cut = max(1, min(most, n // bucket_rows))
-    cuts = sorted(set(ids.agg(F.percentile_approx("at", [i / cut for i in range(cut)], 100_000)).first()[0]))
-    cuts[0] = -(2**63)
-    bounds = F.array(*[F.lit(c).cast("long") for c in cuts])
-    spot = F.size(F.filter(bounds, lambda b: b <= low)) - 1
-    order = [F.col("at"), F.col("tie")]
-    ranged = docs.withColumns({"at": low, "tie": F.xxhash64("text"), "range": spot})
-    firsts = ranged.select("range", "at", "tie").groupBy("range").agg(F.min(F.struct("at", "tie")).alias("first"), F.max(F.struct("at", "tie")).alias("last")).orderBy("range").collect()
-    # One row a range, at most `most` of them.
-    names = [(r["range"], firsts[i - 1]["range"] if i else firsts[-1]["range"], r["first"]["at"], r["first"]["tie"]) for i, r in enumerate(firsts)]
-    before = ranged.sparkSession.createDataFrame(names, "range int, prior int, first_at long, first_tie long")
-    doubled = ranged.join(F.broadcast(before), "range").withColumn("is_first", (F.col("at") == F.col("first_at")) & (F.col("tie") == F.col("first_tie")))
-    places = F.when(F.col("is_first"), F.array(F.struct(F.col("range").alias("range"), F.lit(0).alias("late")), F.struct(F.col("prior").alias("range"), F.lit(1).alias("late")))).otherwise(
-        F.array(F.struct(F.col("range").alias("range"), F.lit(0).alias("late")))
-    )
-    dealt = doubled.withColumn("place", F.explode(places)).drop("range").withColumns({"range": F.col("place.range"), "late": F.col("place.late")})
-    window = W.partitionBy("range").orderBy("late", *order)
-    return dealt.withColumn("next", F.lead(value).over(window)).where("late = 0").select(*docs.columns, "next")
+    each = max(1, min(RANGES, int((n / range_rows) ** 0.5)))
+    points = [i / each for i in range(1, each)]
+    cuts = sorted(set(ids.agg(F.percentile_approx("at", points, 100_000)).first()[0])) if points else []
+    upper = lambda x: F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda b: b <= x)) if cuts else F.lit(0)
+    # A range whose ids are all the same one (repeated rows) is cut by the rows' hashes instead.
+    span = ids.withColumn("upper", upper(F.col("at"))).groupBy("upper")
+    lower = span.agg(*[F.percentile_approx(c, points or [0.5], 10_000).alias(c) for c in ("at", "tie")], (F.min("at") == F.max("at")).alias("one"))
+    lower = lower.select("upper", "one", F.array_distinct(F.when(F.col("one"), F.col("tie")).otherwise(F.col("at"))).alias("cuts"))
+    key = F.when(F.col("one"), F.col("tie")).otherwise(F.col("at"))
+    dealt = lambda some: some.withColumn("upper", upper(F.col("at"))).join(F.broadcast(lower), "upper").withColumn(
+        "range", F.col("upper").cast("long") * (RANGES + 1) + F.size(F.filter("cuts", lambda b: b <= key))
+    ).drop("cuts", "one")
+    # A row a range, at most RANGES^2; the driver gets a row for each of the upper level.
+    firsts = C.stored(dealt(ids).groupBy("upper", "range").agg(F.min(F.struct("at", "tie")).alias("first")), f"{C.shared_dir(docs.sparkSession)}/ranges")
+    tops = [r.last for r in firsts.groupBy("upper").agg(F.max("range").alias("last")).orderBy("upper").collect()]
+    ends = docs.sparkSession.createDataFrame([(top // (RANGES + 1), tops[i - 1]) for i, top in enumerate(tops)], "upper long, last long")
+    prior = F.coalesce(F.lag("range").over(W.partitionBy("upper").orderBy("range")), F.col("last"))
+    before = firsts.join(F.broadcast(ends), "upper").select("range", "first", prior.alias("prior"))
+    doubled = dealt(rows).drop("upper").join(F.broadcast(before), "range")
+    places = F.array(F.struct(F.col("range"), F.lit(0).alias("late")), F.struct(F.col("prior").alias("range"), F.lit(1).alias("late")))
+    is_first = F.struct("at", "tie") == F.col("first")
+    placed = doubled.withColumn("place", F.explode(F.when(is_first, places).otherwise(F.slice(places, 1, 1)))).drop("range").withColumns({"range": F.col("place.range"), "late": F.col("place.late")})
+    window = W.partitionBy("range").orderBy("late", "at", "tie")
+    return placed.withColumn("next", F.lead(value).over(window)).where("late = 0").select(*docs.columns, "next")
 
 
 def fingerprint_pairs(docs: DataFrame, size: int = SIZE) -> DataFrame:
@@ -110,11 +123,15 @@ def fingerprint_pairs(docs: DataFrame, size: int = SIZE) -> DataFrame:
     return made.select("doc_id", "n_chars", "edited", "sketch", "next_sketch", F.explode(F.array(sketch(F.col("edited"), size))).alias("edited_sketch"))
 
 
-def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = fingerprint_pairs(C.table(spark, sf_dir, "documents"))
+def op7_fingerprint_of(docs: DataFrame) -> DataFrame:
+    made = fingerprint_pairs(docs)
     a, b, c = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
     return made.select(
         "doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
         fingerprint(a).alias("fingerprint"), fingerprint(b).alias("edited_fingerprint"),
         likeness(a, b).alias("near_edited"), likeness(a, c).alias("near_next"),
-    )
+    )
+
+
+def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_fingerprint_of(C.table(spark, sf_dir, "documents"))
