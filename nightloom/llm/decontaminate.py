@@ -3,12 +3,14 @@
 Items and documents are sets of hashed five-word shingles (A-Z lower-cased). Items are partitioned by their
 number of shingles, in powers of two. The sketch of an item holds its least-hashed shingles, floor((1 - t) n) + 1
 of its n: a document that holds a share t of the item misses at most floor((1 - t) n), so it must hold one of
-the sketch, and the search loses nothing. A partition's sketches are only looked up in documents with enough
-shingles for its smallest item. Documents that hit a sketch are then checked exactly, on all shingles.
+the sketch, and the search loses nothing. A partition's sketches only count in documents with enough shingles for its
+smallest item. What hits are pairs of a document and an item; each pair is then checked exactly, on all shingles of
+the two. Whether sketches are sent to all tasks or dealt out with the documents' shingles is left to Spark, which
+knows the size of the stored sketches.
 
 Defined results: a text with fewer than five words has one shingle, the whole sequence; null and empty texts and
-items have none and match nothing; repeated items (same id) join their shingles; rows that share a doc_id count
-as one document; extra columns are ignored.
+items have none and match nothing; repeated items (same id) join their shingles; rows that share a doc_id are
+searched each by its own text, and the largest overlap with an item is reported; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,8 +21,6 @@ from pyspark.sql import functions as F
 from nightloom.llm import common as C
 
 WIDTH = 5
-#: Sketch entries that may be sent to every task; above this they are joined by shuffle.
-MOST_SENT = 20_000
 
 
 def shingles(text: Column, width: int = WIDTH) -> Column:
@@ -51,28 +51,19 @@ def sketches(sets: DataFrame, threshold: float) -> DataFrame:
 def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFrame:
     """doc_id, item_id, n_item, n_shared, containment of every pair with containment >= threshold."""
     spark = docs.sparkSession
-    docs = C.documents_only(docs)
+    docs = C.documents_only(docs).withColumn("row", F.xxhash64("doc_id", "text"))
     path = C.shared_dir(spark)
     sets = C.stored(item_sets(items), f"{path}/items")
-    found = C.stored(sketches(sets, threshold), f"{path}/sketches")
-    classes = found.groupBy("class").agg(F.min("n_item").alias("least"), F.sum(F.size("sketch")).alias("n")).collect()  # a row for each power of two
-    if sum(r.n for r in classes) <= MOST_SENT:
-        by_class = {r["class"]: r.all for r in found.groupBy("class").agg(F.array_distinct(F.flatten(F.collect_list("sketch"))).alias("all")).collect()}
-
-        def hit(s: Column) -> Column:
-            # A document that holds the share t of an item has at least t * n distinct shingles, so at least as many in all.
-            tests = [(F.size(s) >= int(threshold * r.least)) & F.arrays_overlap(s, F.array(*[F.lit(h) for h in by_class[r["class"]]])) for r in classes]
-            out = F.lit(False)
-            for t in tests:
-                out = out | t
-            return out
-
-        hits = docs.select("doc_id", F.explode(C.once(shingles(F.col("text")), lambda s: F.when(hit(s), F.array_distinct(s)))).alias("shingle"))
-    else:
-        every = C.stored(docs.select("doc_id", F.explode(F.array_distinct(shingles(F.col("text")))).alias("shingle")), f"{path}/shingles")
-        keys = found.select(F.explode("sketch").alias("shingle")).distinct()
-        hits = every.join(every.join(keys, "shingle", "left_semi").select("doc_id").distinct(), "doc_id", "left_semi")
-    shared = hits.distinct().join(sets, "shingle").groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"))
+    found = sketches(sets, threshold)
+    found = C.stored(found.join(found.groupBy("class").agg(F.min("n_item").alias("class_least")), "class"), f"{path}/sketches")
+    entries = C.stored(found.select(F.explode("sketch").alias("shingle"), "item_id", "class_least"), f"{path}/entries")
+    each = lambda some: some.select("row", "doc_id", F.explode(F.array(F.array_distinct(shingles(F.col("text"))))).alias("set"))  # noqa: E731  made once a row
+    looked = each(docs).select("row", F.size("set").alias("n_set"), F.explode("set").alias("shingle"))
+    pairs = looked.join(entries, "shingle").where(F.col("n_set") >= F.lit(threshold) * F.col("class_least") - 1e-9).select("row", "item_id").distinct()
+    pairs = C.stored(pairs, f"{path}/pairs")
+    hit = each(docs.join(pairs.select("row").distinct(), "row", "left_semi")).select("row", "doc_id", F.explode("set").alias("shingle")).distinct()
+    met = hit.join(pairs, "row").join(sets, ["item_id", "shingle"])
+    shared = met.groupBy("row", "doc_id", "item_id").agg(F.count("*").alias("n_shared")).groupBy("doc_id", "item_id").agg(F.max("n_shared").alias("n_shared"))
     sizes = found.select("item_id", "n_item")
     return (
         shared.join(sizes, "item_id")

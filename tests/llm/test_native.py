@@ -1,6 +1,7 @@
 """Line dedup, fingerprints and decontamination against brute force, with odd cases."""
 
 import hashlib
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -81,11 +82,22 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(H.table(spark, texts), items.limit(0)).count() == 0
 
 
-def test_leaks_by_shuffle_are_the_same(spark, monkeypatch):
+def test_leaks_by_shuffle_are_the_same(spark):
     docs, items = C.table(spark, DATA, "documents"), C.table(spark, DATA, "benchmark")
     sent = sorted(map(tuple, decontaminate.find_leaks(docs, items).collect()))
-    monkeypatch.setattr(decontaminate, "MOST_SENT", 0)
-    assert sorted(map(tuple, decontaminate.find_leaks(docs, items).collect())) == sent and sent
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert sorted(map(tuple, decontaminate.find_leaks(docs, items).collect())) == sent and sent
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_leaks_in_rows_that_share_an_id(spark):
+    item = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, item), (1, "something else"), (1, item), (2, " ".join(item.split()[:15])), (2, " ".join(item.split()[15:])), (None, item + " x" * 50_000)]
+    got = decontaminate.find_leaks(H.table(spark, rows, extra=True), spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_shared) for r in got) == [("1", 26), ("None", 26)]
 
 
 def test_fingerprint_edits(spark):
@@ -120,6 +132,48 @@ def test_syncmers_are_context_free(spark):
     assert fingerprint.anchors(H.table(spark, {1: None, 2: "  "})).count() == 0
 
 
+def test_fingerprints_against_brute_force(spark):
+    """Choice of syncmers, fingerprints and likeness restated over Spark's hashes of pairs."""
+    texts = {r[0]: r[1] for r in duck().sql("SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 60").fetchall()} | {900: None, 901: "a b c", 902: "é è ê ë " * 9, 903: "z" * 40}
+    docs = H.table(spark, texts)
+    words = {i: re.findall(fingerprint.TOKEN, t or "") for i, t in texts.items()}
+    pairs = sorted({p for w in words.values() for p in zip(w, w[1:])})
+    hashed = spark.createDataFrame(pairs, "a string, b string").select("a", "b", F.xxhash64("a", "b").alias("h"))
+    h = {(r.a, r.b): r.h for r in hashed.collect()}
+    chosen = {}
+    for i, w in words.items():
+        x = [h[p] for p in zip(w, w[1:])]
+        chosen[i] = [(k, x[k], x[k + 2]) for k in range(len(x) - 2) if min(x[k], x[k + 2]) <= x[k + 1]]
+    edges = sorted({c[1:] for cs in chosen.values() for c in cs})
+    anchor = {(r.a, r.b): r.h for r in spark.createDataFrame(edges, "a long, b long").select("a", "b", F.xxhash64("a", "b").alias("h")).collect()}
+    want = {i: [(k, anchor[a, b]) for k, a, b in cs] for i, cs in chosen.items()}
+    got = {}
+    for r in fingerprint.anchors(docs).collect():
+        got.setdefault(r.doc_id, []).append((r.place, r.anchor))
+    for i, w in words.items():
+        if len(w) >= 4:
+            assert sorted(got.get(i, [])) == want[i]
+        else:
+            assert len(got.get(i, [])) == (1 if w else 0)
+    made = {r.doc_id: r for r in fingerprint.op7_fingerprint_of(docs).collect()}
+    ids = sorted(texts)
+    sketch = {i: sorted({a & 0xFFFFFFFF for _, a in got.get(i, [])})[:128] for i in ids}
+    for i, after in zip(ids, ids[1:] + ids[:1], strict=True):
+        assert made[i].fingerprint == "".join(f"{x:08x}" for x in sketch[i])
+        union = sorted(set(sketch[i]) | set(sketch[after]))[:128]
+        both = set(sketch[i]) & set(sketch[after]) & set(union)
+        assert made[i].near_next == pytest.approx(len(both) / len(union) if union else 1.0)
+
+
+@pytest.mark.parametrize("range_rows", [1, 3, 50])
+def test_next_rows_across_ranges(spark, range_rows):
+    rows = [(None, "n"), (None, "m"), *[(5, f"t{k}") for k in range(40)], *[(10 + k, f"u{k}") for k in range(60)]]
+    docs = H.table(spark, rows).select("doc_id", "text").withColumn("tie", F.xxhash64("text"))
+    order = [(r.doc_id, r.text) for r in docs.orderBy(F.col("doc_id").asc_nulls_first(), "tie").collect()]
+    got = {(r.doc_id, r.text): r.next for r in fingerprint.with_next(docs.select("doc_id", "text"), F.col("text"), range_rows).collect()}
+    assert got == {a: b[1] for a, b in zip(order, order[1:] + order[:1], strict=True)}
+
+
 def test_fingerprint_of_few_rows(spark):
     assert fingerprint.fingerprint_pairs(H.empty(spark)).count() == 0
     one = fingerprint.fingerprint_pairs(H.table(spark, {7: "abcdef"})).first()
@@ -143,6 +197,18 @@ def test_sharding(spark):
     assert hashlib.sha256(str(sorted((r.doc_id, r.shard, r.slot) for r in got)).encode()).digest() == hashlib.sha256(str(sorted((r.doc_id, r.shard, r.slot) for r in sharding.shard_documents(H.table(spark, texts)).collect())).encode()).digest()
 
 
+def test_sharding_of_repeated_rows_and_null_ids(spark):
+    rows = [(None, "a"), (None, "a"), (None, None), (3, "b"), (3, "b"), (3, "c")] + [(k, "same text") for k in range(2000)]
+    got = sharding.shard_documents(H.table(spark, rows, extra=True)).collect()
+    assert len(got) == len(rows)
+    by = {}
+    for r in got:
+        by.setdefault(r.shard, []).append(r)
+    assert all(sorted(r.slot for r in part) == list(range(len(part))) for part in by.values())
+    loads = [sum(r.size for r in part) for part in by.values()]
+    assert len(loads) == 8 and max(loads) - min(loads) <= 60  # copies of one text spread over all shards
+
+
 def test_slot_maps_have_versions(spark, tmp_path):
     weights = {s: 100 + s % 7 for s in range(64)}
     held = sharding.SlotMap(spark, f"file://{tmp_path}/map", 64)
