@@ -16,15 +16,17 @@ KAPPA, PASSES, LEAST_SAMPLES, LEAST_SURVIVORS = 3.0, 3, 5, 3
 
 
 def _clip_pass(state: Column, kappa: float) -> Column:
-    """One rejection pass over struct(xs: array of struct(x, w), c, s, done)."""
+    """One rejection pass over struct(xs: array of struct(x, w), c, s, done, floor); floor: a pass was declined as it would leave too few."""
     def step(kept: Column) -> Column:
         xs = F.transform(kept, lambda e: e["x"])
-        stop = state["done"] | (state["s"] <= 0) | (F.size(kept) == F.size(state["xs"])) | (F.size(kept) < LEAST_SURVIVORS)
+        settled = state["done"] | (state["s"] <= 0) | (F.size(kept) == F.size(state["xs"]))
+        floor = ~settled & (F.size(kept) < LEAST_SURVIVORS)
+        stop = settled | floor
         moved = A.let(
             A.mean(xs),
-            lambda c: F.struct(kept.alias("xs"), c.alias("c"), A.sample_sd(xs, c).alias("s"), F.lit(False).alias("done")),
+            lambda c: F.struct(kept.alias("xs"), c.alias("c"), A.sample_sd(xs, c).alias("s"), F.lit(False).alias("done"), state["floor"].alias("floor")),
         )
-        still = F.struct(state["xs"].alias("xs"), state["c"].alias("c"), state["s"].alias("s"), F.lit(True).alias("done"))
+        still = F.struct(state["xs"].alias("xs"), state["c"].alias("c"), state["s"].alias("s"), F.lit(True).alias("done"), (state["floor"] | floor).alias("floor"))
         return F.when(stop, still).otherwise(moved)
 
     reach = F.lit(kappa) * state["s"]
@@ -32,11 +34,11 @@ def _clip_pass(state: Column, kappa: float) -> Column:
 
 
 def clipped(samples: Column, kappa: float = KAPPA, robust_seed: bool = True) -> Column:
-    """struct(xs, c, s, done) after the passes; samples: array of struct(x, w) sorted by x."""
+    """struct(xs, c, s, done, floor) after the passes; samples: array of struct(x, w) sorted by x."""
     def seed(xs: Column) -> Column:
         centre = A.averaged_median(xs) if robust_seed else A.mean(xs)
         spread = A.robust_sigma if robust_seed else A.sample_sd
-        return A.let(centre, lambda c: F.struct(samples.alias("xs"), c.alias("c"), spread(xs, c).alias("s"), F.lit(False).alias("done")))
+        return A.let(centre, lambda c: F.struct(samples.alias("xs"), c.alias("c"), spread(xs, c).alias("s"), F.lit(False).alias("done"), F.lit(False).alias("floor")))
 
     state = A.let(F.transform(samples, lambda e: e["x"]), seed)
     for _ in range(PASSES):
@@ -52,15 +54,17 @@ def _weighted(entries: Column) -> Column:
 
 
 def gather(df: DataFrame, by: list[str], sample: Column, weight: Column | None = None) -> DataFrame:
-    """by, samples: array of struct(x, w) sorted by x then w; null and NaN samples go, a missing weight is 1."""
+    """by, samples: array of struct(x, w) sorted by x then w; null and NaN samples go, a missing weight is 1. A pixel that no
+    frame covers keeps its row, with no samples."""
     x = sample.cast("double")
     w = F.coalesce(weight.cast("double"), F.lit(1.0)) if weight is not None else F.lit(1.0)
-    some = df.select(*by, x.alias("x"), w.alias("w")).where(F.col("x").isNotNull() & ~F.isnan("x"))
-    return some.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("x", "w"))).alias("samples"))
+    some = df.select(*by, x.alias("x"), w.alias("w"))
+    good = F.when(F.col("x").isNotNull() & ~F.isnan("x"), F.struct("x", "w"))
+    return some.groupBy(*by).agg(F.array_sort(F.collect_list(good)).alias("samples"))
 
 
 def combine(df: DataFrame, by: list[str], sample: Column, weight: Column | None = None, method: str = "sigma_clip", kappa: float = KAPPA) -> DataFrame:
-    """by, n, value, survivors of every pixel. Methods: sigma_clip, kappa_sigma, median, mean."""
+    """by, n, value, survivors of every pixel (value NaN where n is 0). Methods: sigma_clip, kappa_sigma, median, mean."""
     g = gather(df, by, sample, weight)
     xs = F.transform("samples", lambda e: e["x"])
     n = F.size("samples")
@@ -74,20 +78,24 @@ def combine(df: DataFrame, by: list[str], sample: Column, weight: Column | None
         many = A.let(done, lambda s: F.struct(s["xs"].alias("xs"), _weighted(s["xs"]).alias("value")))
         g = g.select(*by, n.alias("n"), F.when(n < LEAST_SAMPLES, few).otherwise(many).alias("r"))
         out = g.select(*by, "n", F.col("r.value").alias("value"), F.size("r.xs").alias("survivors"))
-    return out.select(*by, F.col("n").cast("long").alias("n"), "value", F.col("survivors").cast("long").alias("survivors"))
+    return out.select(*by, F.col("n").cast("long").alias("n"), F.coalesce("value", F.lit(float("nan"))).alias("value"), F.col("survivors").cast("long").alias("survivors"))
 
 
 def rejection_stats(df: DataFrame, by: list[str], sample: Column, kappa: float = KAPPA) -> DataFrame:
-    """One row: pixels, samples, rejected, below_floor, floor_hit. Partial sums merge, so it is a plain aggregate."""
+    """One row: pixels (uncovered ones too), samples, rejected, uncovered (no sample), below_floor (too few to clip), floor_hit (a
+    pass declined as it would leave too few), degenerate_spread (no median deviation). Partial sums merge."""
     g = gather(df, by, sample)
     n = F.size("samples")
-    done = A.let(clipped(F.col("samples"), kappa), lambda s: F.struct(F.size(s["xs"]).alias("kept"), s["s"].alias("s")))
-    g = g.select(n.alias("n"), F.when(n >= LEAST_SAMPLES, done).alias("r"))
+    xs = F.transform("samples", lambda e: e["x"])
+    done = A.let(clipped(F.col("samples"), kappa), lambda s: F.struct(F.size(s["xs"]).alias("kept"), s["floor"].alias("floor")))
+    flat = A.let(A.averaged_median(xs), lambda c: A.mad_sigma(xs, c)) <= 0
+    g = g.select(n.alias("n"), F.when(n >= LEAST_SAMPLES, done).alias("r"), F.when(n >= LEAST_SAMPLES, flat).alias("flat"))
     one = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("long")
     return g.agg(
-        F.count("*").alias("pixels"), F.sum("n").cast("long").alias("samples"),
+        F.count("*").alias("pixels"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("samples"),
         F.coalesce(F.sum(F.when(F.col("n") >= LEAST_SAMPLES, F.col("n") - F.col("r.kept"))), F.lit(0)).cast("long").alias("rejected"),
-        one(F.col("n") < LEAST_SAMPLES).alias("below_floor"), one(F.col("r.s") <= 0).alias("degenerate_spread"),
+        one(F.col("n") == 0).alias("uncovered"), one((F.col("n") > 0) & (F.col("n") < LEAST_SAMPLES)).alias("below_floor"),
+        one(F.col("r.floor")).alias("floor_hit"), one(F.col("flat")).alias("degenerate_spread"),
     )
 
 

@@ -1,4 +1,5 @@
-"""Stacking queries bound to lineitem: pixel = l_partkey, frame = l_suppkey, sample = l_extendedprice, weight = 1 + l_quantity / 50."""
+"""Stacking queries bound to lineitem: pixel = l_partkey, frame = l_suppkey, sample = l_extendedprice, weight = 1 + l_quantity / 50.
+In the clipped ones every 64th column of pixels is dead: its samples are NaN, so no frame covers it."""
 
 from __future__ import annotations
 
@@ -14,11 +15,16 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet")
 
 
+def _sample():
+    return F.when(F.col("l_partkey") % 64 == 13, F.lit(float("nan"))).otherwise(F.col("l_extendedprice"))
+
+
 def _combined(method: str, weighted: bool, kappa: float = KAPPA):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         weight = 1 + F.col("l_quantity") / 50 if weighted else None
-        out = robust.combine(_lines(spark, sf_dir), ["l_partkey"], F.col("l_extendedprice"), weight, method, kappa)
-        return out.withColumn("value", F.round("value", 6))
+        sample = _sample() if method in ("sigma_clip", "kappa_sigma") else F.col("l_extendedprice")
+        out = robust.combine(_lines(spark, sf_dir), ["l_partkey"], sample, weight, method, kappa)
+        return out.withColumn("value", F.round(F.nanvl("value", F.lit(None).cast("double")), 6))
 
     return query
 
@@ -27,17 +33,18 @@ def _clip_sql(seed_centre: str, seed_sigma: str, weighted: bool) -> str:
     """The three passes as common table expressions."""
     w = "1 + l_quantity / 50" if weighted else "1.0"
     order = f"l_extendedprice, {w}" if weighted else "l_extendedprice"
-    sql = f"""WITH g0 AS (SELECT l_partkey, list({{'x': l_extendedprice, 'w': {w}}} ORDER BY {order}) AS e FROM lineitem GROUP BY 1),
+    sql = f"""WITH g0 AS (SELECT l_partkey, coalesce(list({{'x': l_extendedprice, 'w': {w}}} ORDER BY {order}) FILTER (WHERE l_partkey % 64 <> 13), []) AS e FROM lineitem GROUP BY 1),
 g AS (SELECT *, list_transform(e, lambda r: r.x) AS xs FROM g0),
 m AS (SELECT *, {seed_centre} AS c FROM g),
 d AS (SELECT *, list_sort(list_transform(xs, lambda x: abs(x - c))) AS dev FROM m),
-p0 AS (SELECT l_partkey, e, len(e) AS n, list_median(xs) AS med, c, {seed_sigma} AS s, false AS done FROM d)"""
+p0 AS (SELECT l_partkey, e, len(e) AS n, list_median(xs) AS med, c, {seed_sigma} AS s, false AS done, false AS floor, list_median(dev) AS mad FROM d)"""
     for i in (1, 2, 3):
         p = f"p{i - 1}"
         sql += f""",
 k{i} AS (SELECT *, list_filter(e, lambda r: r.x >= c - {KAPPA} * s AND r.x <= c + {KAPPA} * s) AS k FROM {p}),
-h{i} AS (SELECT *, done OR s <= 0 OR len(k) = len(e) OR len(k) < 3 AS stop, list_avg(list_transform(k, lambda r: r.x)) AS mu FROM k{i}),
-p{i} AS (SELECT l_partkey, n, med, CASE WHEN stop THEN e ELSE k END AS e, CASE WHEN stop THEN c ELSE mu END AS c,
+h0{i} AS (SELECT *, done OR s <= 0 OR len(k) = len(e) AS settled FROM k{i}),
+h{i} AS (SELECT *, settled OR len(k) < 3 AS stop, NOT settled AND len(k) < 3 AS low, list_avg(list_transform(k, lambda r: r.x)) AS mu FROM h0{i}),
+p{i} AS (SELECT l_partkey, n, med, mad, floor OR low AS floor, CASE WHEN stop THEN e ELSE k END AS e, CASE WHEN stop THEN c ELSE mu END AS c,
   CASE WHEN stop THEN s ELSE sqrt(list_sum(list_transform(k, lambda r: (r.x - mu) * (r.x - mu))) / (len(k) - 1)) END AS s, stop AS done FROM h{i})"""
     return sql
 
@@ -50,7 +57,7 @@ SELECT l_partkey, n::BIGINT AS n, round(CASE WHEN n < 5 THEN med ELSE list_sum(l
 
 
 def rejection_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return robust.rejection_stats(_lines(spark, sf_dir), ["l_partkey"], F.col("l_extendedprice"), KAPPA)
+    return robust.rejection_stats(_lines(spark, sf_dir), ["l_partkey"], _sample(), KAPPA)
 
 
 def robust_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +103,7 @@ ORACLES = {
     "stack_kappa_sigma": _clip_sql("list_avg(xs)", SD, False) + VALUE,
     "stack_median": "SELECT l_partkey, count(*)::BIGINT AS n, round(median(l_extendedprice), 6) AS value, count(*)::BIGINT AS survivors FROM lineitem GROUP BY 1",
     "stack_weighted_mean": "SELECT l_partkey, count(*)::BIGINT AS n, round(sum(l_extendedprice * (1 + l_quantity / 50)) / sum(1 + l_quantity / 50), 6) AS value, count(*)::BIGINT AS survivors FROM lineitem GROUP BY 1",
-    "rejection_stats": _clip_sql("list_median(xs)", MAD, False) + " SELECT count(*)::BIGINT AS pixels, sum(n)::BIGINT AS samples, (sum(n - len(e)) FILTER (WHERE n >= 5))::BIGINT AS rejected, (count(*) FILTER (WHERE n < 5))::BIGINT AS below_floor, (count(*) FILTER (WHERE n >= 5 AND s <= 0))::BIGINT AS degenerate_spread FROM p3",
+    "rejection_stats": _clip_sql("list_median(xs)", MAD, False) + " SELECT count(*)::BIGINT AS pixels, sum(n)::BIGINT AS samples, (sum(n - len(e)) FILTER (WHERE n >= 5))::BIGINT AS rejected, (count(*) FILTER (WHERE n = 0))::BIGINT AS uncovered, (count(*) FILTER (WHERE n > 0 AND n < 5))::BIGINT AS below_floor, (count(*) FILTER (WHERE n >= 5 AND floor))::BIGINT AS floor_hit, (count(*) FILTER (WHERE n >= 5 AND mad <= 0))::BIGINT AS degenerate_spread FROM p3",
     "robust_stats": """WITH g AS (SELECT l_suppkey, list(l_extendedprice ORDER BY l_extendedprice) AS xs FROM lineitem GROUP BY 1),
 m AS (SELECT *, list_median(xs) AS m FROM g), d AS (SELECT *, list_transform(xs, lambda x: abs(x - m)) AS dev FROM m)
 SELECT l_suppkey, len(xs)::BIGINT AS n, round(m, 6) AS median, round(xs[len(xs) // 2 + 1], 6) AS upper_median, round(1.4826 * list_median(dev), 6) AS mad_sigma,
