@@ -89,18 +89,27 @@ def mtf(m: Column, x: Column) -> Column:
     return F.when(x <= 0, F.lit(0.0)).when(x >= 1, F.lit(1.0)).when(m <= 0, F.lit(1.0)).when(m >= 1, F.lit(0.0)).otherwise((m - 1.0) * x / ((2.0 * m - 1.0) * x - m))
 
 
+def stretch_of(levels: DataFrame, clip: float = SHADOWS_CLIP, target: float = TARGET_BACKGROUND) -> DataFrame:
+    """One row: shadows and midtone of a stretch, from the upper median and deviation of levels (n, 0 to 1)."""
+    m = _upper(levels, [], F.col("n"), "m")
+    d = levels.crossJoin(F.broadcast(m))
+    d = _upper(d, [], F.abs(F.col("n") - F.col("m")), "mad").crossJoin(F.broadcast(m))
+    s = A.MAD_TO_SIGMA * F.col("mad")
+    d = d.withColumn("shadows", F.when(s > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("m") + clip * s))).otherwise(F.lit(0.0)))
+    mid = F.greatest(F.lit(LEAST_MIDTONE), F.least(F.lit(1 - LEAST_MIDTONE), mtf(F.lit(target), (F.col("m") - F.col("shadows")) / (1.0 - F.col("shadows")))))
+    return d.select("shadows", F.when((F.col("mad") > 0) & (F.col("m") > F.col("shadows")), mid).otherwise(F.lit(0.5)).alias("midtone"))
+
+
+def stretched(n: Column, shadows: Column, midtone: Column) -> Column:
+    return F.when(n <= shadows, F.lit(0.0)).otherwise(mtf(midtone, (n - shadows) / (1.0 - shadows)))
+
+
 def autostretch(plane: DataFrame, black: float, white: float, clip: float = SHADOWS_CLIP, target: float = TARGET_BACKGROUND) -> DataFrame:
-    """plane with `grey` (0 to 255): shadows and midtone follow from the plane's upper median and deviation (one row each)."""
+    """plane with `stretched` (0 to 1) and `grey` (0 to 255)."""
     n = plane.withColumn("n", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("v") - black) / (white - black))))
-    d = n.crossJoin(F.broadcast(_upper(n, [], F.col("n"), "m")))
-    d = d.crossJoin(F.broadcast(_upper(d, [], F.abs(F.col("n") - F.col("m")), "mad")))
-    s = A.MAD_TO_SIGMA * F.col("mad")
-    shadows = F.when(s > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("m") + clip * s))).otherwise(F.lit(0.0))
-    d = d.withColumn("s", shadows)
-    mid = F.greatest(F.lit(LEAST_MIDTONE), F.least(F.lit(1 - LEAST_MIDTONE), mtf(F.lit(target), (F.col("m") - F.col("s")) / (1.0 - F.col("s")))))
-    d = d.withColumn("mid", F.when((F.col("mad") > 0) & (F.col("m") > F.col("s")), mid).otherwise(F.lit(0.5)))
-    grey = F.when(F.col("n") <= F.col("s"), F.lit(0.0)).otherwise(mtf(F.col("mid"), (F.col("n") - F.col("s")) / (1.0 - F.col("s"))))
-    return d.withColumn("stretched", grey).withColumn("grey", F.floor(F.col("stretched") * 255.0 + 0.5).cast("int")).drop("n", "m", "mad", "s", "mid")
+    d = n.crossJoin(F.broadcast(stretch_of(n.select("n"), clip, target)))
+    d = d.withColumn("stretched", stretched(F.col("n"), F.col("shadows"), F.col("midtone")))
+    return d.withColumn("grey", F.floor(F.col("stretched") * 255.0 + 0.5).cast("int")).drop("n", "shadows", "midtone")
 
 
 def disc(plane: DataFrame, by: list[str]) -> DataFrame:
