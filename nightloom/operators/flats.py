@@ -15,8 +15,13 @@ NOISE_STRIDE, LEAST_SIGMA = 7, 1e-6
 
 def judge_flats(samples: DataFrame, white: float) -> DataFrame:
     """frame, median, peak, kept: frames that are neither clipped nor dark and near the typical level (upper median of those)."""
-    g = samples.groupBy("frame").agg(F.array_sort(F.collect_list("v")).alias("s"))
-    g = g.select("frame", A.averaged_median(F.col("s")).alias("median"), A.index_percentile(F.col("s"), PEAK_PERCENTILE).alias("peak"))
+    # Counts of distinct values, of which a sensor has at most 65,536, so no frame is gathered whole.
+    counts = samples.where(F.col("v").isNotNull()).groupBy("frame", "v").agg(F.count("*").alias("m"))
+    frame = W.partitionBy("frame")
+    up = counts.withColumns({"upto": F.sum("m").over(frame.orderBy("v").rowsBetween(W.unboundedPreceding, 0)), "n": F.sum("m").over(frame)})
+    at = lambda place: F.min(F.when(F.col("upto") > place, F.col("v")))
+    half = (F.col("n") - 1) / 2
+    g = up.groupBy("frame").agg(((at(F.floor(half)) + at(F.ceil(half))) / 2.0).alias("median"), at(F.floor((F.col("n") - 1) * F.lit(PEAK_PERCENTILE))).alias("peak"))
     g = g.withColumn("usable", (F.col("peak") < MOST_PEAK * white) & (F.col("median") > LEAST_LEVEL * white))
     typical = g.where("usable").agg(A.upper_median(F.array_sort(F.collect_list("median"))).alias("typical"))  # one value a frame
     g = g.crossJoin(F.broadcast(typical))

@@ -80,7 +80,7 @@ def frame_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
 def focus_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     old = e.where("event_type = 'view'").groupBy(F.col("user_id").alias("camera")).agg(F.min("value").alias("hfr"))
-    new = e.where("event_type = 'click' AND user_id % 3 = 0").groupBy(F.col("user_id").alias("camera")).agg(F.max("value").alias("hfr"))
+    new = e.where("event_type = 'click' AND value > 60").groupBy(F.col("user_id").alias("camera")).agg(F.max("value").alias("hfr"))
     return D.upsert(old, new, "camera")
 
 
@@ -113,7 +113,7 @@ def flat_evenness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flat_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("session"), F.col("c_nationkey").alias("camera"), (F.col("c_custkey") % 5 * 100).alias("width"))
-    f = spark.read.parquet(f"{sf_dir}/nation.parquet").where("n_nationkey % 4 <> 0").select(F.col("n_nationkey").alias("camera"), F.col("n_name").alias("flat"), (F.col("n_regionkey") * 100).alias("flat_width"))
+    f = spark.read.parquet(f"{sf_dir}/nation.parquet").where("n_regionkey <> 4").select(F.col("n_nationkey").alias("camera"), F.col("n_name").alias("flat"), (F.col("n_regionkey") * 100).alias("flat_width"))
     return L.join_flats(s, f)
 
 
@@ -177,7 +177,7 @@ SELECT k AS c_custkey, frames, greatest(1, least(frames, ceil(frames * greatest(
     "frame_admission": f"""WITH {Q.FRAMES_SQL}, a AS (SELECT *, idx % 11 <> 0 AS ex, idx % 13 <> 0 AS re, CASE WHEN idx % 17 = 0 THEN 2000 ELSE 4096 END AS w FROM f),
 b AS (SELECT *, first_value(CASE WHEN ex AND re THEN w END IGNORE NULLS) OVER (PARTITION BY session ORDER BY ts, idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS fw FROM a)
 SELECT idx, CASE WHEN NOT ex THEN 'missing' WHEN NOT re THEN 'unreadable' WHEN fw <> w THEN 'wrong size' WHEN idx % 3 <> 0 AND idx % 19 = 0 THEN 'not a rotation' END AS skip_reason FROM b""",
-    "focus_store": """WITH o AS (SELECT user_id AS camera, min(value) AS hfr FROM events WHERE event_type = 'view' GROUP BY 1), n AS (SELECT user_id AS camera, max(value) AS hfr FROM events WHERE event_type = 'click' AND user_id % 3 = 0 GROUP BY 1)
+    "focus_store": """WITH o AS (SELECT user_id AS camera, min(value) AS hfr FROM events WHERE event_type = 'view' GROUP BY 1), n AS (SELECT user_id AS camera, max(value) AS hfr FROM events WHERE event_type = 'click' AND value > 60 GROUP BY 1)
 SELECT * FROM n UNION ALL SELECT * FROM o WHERE camera NOT IN (SELECT camera FROM n)""",
     "frame_description": f"WITH {Q.FRAMES_SQL} SELECT idx, concat_ws(' ', 'kind=' || kind, 'stars=' || star_count, 'override=' || included::VARCHAR) AS text FROM f",
     "log_tail": "SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 25",
@@ -186,7 +186,7 @@ SELECT * FROM n UNION ALL SELECT * FROM o WHERE camera NOT IN (SELECT camera FRO
     "flat_evenness": f"""WITH {PLANE}, r AS (SELECT avg(v) FILTER (WHERE abs(x + 0.5 - 32) <= 4 AND abs(y + 0.5 - 24) <= 4) AS c, avg(v) FILTER (WHERE (x < 8 OR x >= 56) AND (y < 8 OR y >= 40)) AS k FROM p)
 SELECT round(c, 6) AS centre, round(k, 6) AS corners, round(k / c, 6) AS ratio, CASE WHEN c IS NULL OR k IS NULL OR c = 0 THEN 'UNKNOWN' WHEN k / c < 0.25 THEN 'STEEP' WHEN k / c > 1.05 THEN 'INVERTED' ELSE 'EVEN' END AS verdict FROM r""",
     "flat_left_join": """SELECT c_custkey AS session, CASE WHEN n_regionkey * 100 = c_custkey % 5 * 100 THEN n_name END AS flat, CASE WHEN n_name IS NULL THEN 'no flat' WHEN n_regionkey * 100 <> c_custkey % 5 * 100 THEN 'wrong size' END AS note
-FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 4 <> 0) n ON c_nationkey = n_nationkey""",
+FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey <> 4) n ON c_nationkey = n_nationkey""",
     "noise_level": f"WITH {PLANE}, l AS (SELECT list(abs(v - 25) ORDER BY abs(v - 25)) AS s FROM p WHERE (y * 64 + x) % 7 = 0) SELECT round(greatest(1e-6, 1.4826::DOUBLE * s[len(s) // 2 + 1]), 6) AS sigma FROM l",
     "background_surface": f"""WITH {PLANE}, t AS (SELECT x // 16 AS tx, y // 16 AS ty, median(v) AS m FROM p GROUP BY 1, 2), a AS (SELECT x, y, (x + 0.5::DOUBLE) / 16 - 0.5 AS ax, (y + 0.5::DOUBLE) / 16 - 0.5 AS ay FROM p),
 b AS (SELECT *, greatest(0, least(2, floor(ax)))::BIGINT AS x0, greatest(0, least(1, floor(ay)))::BIGINT AS y0 FROM a), c AS (SELECT *, ax - x0 AS fx, ay - y0 AS fy FROM b),

@@ -141,12 +141,27 @@ STACKABLE = "s AS (SELECT * FROM f WHERE kind = 'LIGHT' AND coalesce(included, a
 BASE = f"WITH {FRAMES_SQL}, {STACKABLE}, {SCORES}"
 KEPT = f"{BASE}, r AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY weight DESC, idx) AS rn, count(*) OVER (PARTITION BY session) AS n FROM w), k AS (SELECT * FROM r WHERE rn <= greatest(1, ceil(n * 60 / 100.0)))"
 
+GATE = f"""WITH RECURSIVE {FRAMES_SQL}, g AS (SELECT session, idx, star_count AS n, NOT accepted AS failed, row_number() OVER (PARTITION BY session ORDER BY ts, idx) AS rn,
+  CASE WHEN sharpness > 200 THEN 'SATURATED' WHEN idx % 4 <> 0 AND (idx * 29 % 105) / 200.0::DOUBLE > 0.5::DOUBLE THEN 'BUMPED'
+    WHEN (hfr IS NULL OR hfr >= 1.5::DOUBLE) AND star_count > 0 AND (idx * 13 % 80) / 100.0::DOUBLE > 0.6::DOUBLE THEN 'TRAILED' WHEN idx % 37 = 0 THEN 'BUMPED' WHEN star_count < 8 THEN 'CLOUD' END AS early FROM f),
+t AS (SELECT session, 0::BIGINT AS rn, 0::BIGINT AS idx, []::INT[] AS recent, NULL::VARCHAR AS reason FROM g WHERE rn = 1
+  UNION ALL SELECT g.session, g.rn, g.idx, CASE WHEN early IS NULL AND NOT (len(recent) >= 3 AND n < list_sort(recent)[len(recent) // 2 + 1] * 0.5::DOUBLE) THEN list_append(recent, n)[-15:] ELSE recent END,
+    CASE WHEN early IS NOT NULL THEN early WHEN len(recent) >= 3 AND n < list_sort(recent)[len(recent) // 2 + 1] * 0.5::DOUBLE THEN 'CLOUD' WHEN failed THEN 'REGISTRATION' END FROM t JOIN g ON g.session = t.session AND g.rn = t.rn + 1)
+SELECT session, idx, reason IS NULL AS accepted, reason FROM t WHERE rn > 0"""
+SPIKES = f"""WITH RECURSIVE {FRAMES_SQL}, g AS (SELECT session, idx, hfr AS v, row_number() OVER (PARTITION BY session ORDER BY ts, idx) AS rn FROM f),
+t AS (SELECT session, 0::BIGINT AS rn, 0::BIGINT AS idx, []::DOUBLE[] AS recent, '' AS verdict FROM g WHERE rn = 1
+  UNION ALL SELECT session, rn, idx, CASE WHEN verdict = 'SPIKE' OR v IS NULL OR v < 0 THEN recent ELSE list_append(recent, v)[-12:] END, verdict FROM (
+    SELECT g.session, g.rn, g.idx, recent, v, CASE WHEN v IS NULL OR v < 0 OR len(recent) < 5 THEN 'UNKNOWN' WHEN v > greatest(list_sort(recent)[len(recent) // 2 + 1] * 3, list_sort(recent)[len(recent) // 2 + 1] + 0.4::DOUBLE) THEN 'SPIKE' ELSE 'STEADY' END AS verdict
+    FROM t JOIN g ON g.session = t.session AND g.rn = t.rn + 1))
+SELECT session, idx, verdict FROM t WHERE rn > 0"""
+
 QUERIES = {
     "stackable": stackable, "override": override, "frame_score": frame_score, "lunar_score": lunar_score, "keep_best": keep_best, "kept_semi": kept_semi, "dropped_anti": dropped_anti,
     "weight_join": weight_join, "session_medians": session_medians, "integration": integration, "focus_monitor": focus_monitor, "offset_accumulate": offset_accumulate,
     "leak_trend": leak_trend, "preview_mean": preview_mean, "thermal": thermal, "gyro_interval": gyro_interval, "frame_gate": frame_gate, "residual_spikes": residual_spikes,
 }
 ORACLES = {
+    "frame_gate": GATE, "residual_spikes": SPIKES,
     "stackable": f"WITH {FRAMES_SQL}, {STACKABLE} SELECT session, idx, hfr FROM s",
     "override": f"WITH {FRAMES_SQL}, o AS (SELECT session, idx, accepted, CASE WHEN kind = 'LIGHT' THEN CASE WHEN (star_count >= 30) <> accepted THEN star_count >= 30 END ELSE included END AS included FROM f) SELECT * FROM o WHERE included IS NOT NULL AND included <> accepted",
     "frame_score": f"{BASE} SELECT session, idx, round(sharpness_term, 9) AS sharpness_term, round(transparency_term, 9) AS transparency_term, round(darkness_term, 9) AS darkness_term, round(weight, 9) AS weight FROM w",

@@ -75,7 +75,8 @@ def rigid_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = G.brightest(_stars(spark, sf_dir))
     m = G.rigid_apply(F.col("x"), F.col("y"), F.col("frame").cast("double"), F.lit(12.0), F.lit(40.0))
     wrong = F.when(F.col("rank") % 4 == 0, F.lit(50.0) + F.col("rank")).otherwise(F.lit(0.0))
-    return R.rigid_fit(s.withColumn("m", m).select("frame", "x", "y", (F.col("m.x") + wrong).alias("u"), F.col("m.y").alias("v")))
+    got = R.rigid_fit(s.withColumn("m", m).select("frame", "x", "y", (F.col("m.x") + wrong).alias("u"), F.col("m.y").alias("v")))
+    return got.withColumns({c: F.round(c, 6) for c in ("rotation_deg", "dx", "dy")})
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,7 +175,8 @@ def phase_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The plane against itself moved around by the frame's number of pixels."""
     p = _plane(spark, sf_dir)
     frames = p.withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(5)))).select(F.col("frame").cast("long").alias("frame"), ((F.col("x") + F.col("frame")) % 64).alias("x"), ((F.col("y") + 2 * F.col("frame")) % 48).alias("y"), "v")
-    return R.phase_correlation(frames.join(p.withColumnRenamed("v", "w"), ["x", "y"]))
+    got = R.phase_correlation(frames.join(p.withColumnRenamed("v", "w"), ["x", "y"]))
+    return got.select("frame", F.round("dx").cast("long").alias("dx"), F.round("dy").cast("long").alias("dy"), "accepted")
 
 
 def detect_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,6 +198,15 @@ t1 AS (SELECT frame, s[1].v AS v0, s[2].v AS v1, s[3].v AS v2, s[1].d AS d0, s[2
 t2 AS (SELECT *, (v1.x - v0.x) * (v2.y - v0.y) - (v1.y - v0.y) * (v2.x - v0.x) AS cr FROM t1),
 t AS (SELECT frame, v0.star AS v0, v1.star AS v1, v2.star AS v2, d2 / d0 AS rl, d1 / d0 AS rs, cr < 0 AS clockwise FROM t2 WHERE d0 >= 5 AND d2 <= 10 * d0 AND abs(cr) >= 25)"""
 ORACLES = {
+    # What was planted: every match but each fourth moves as the frame does.
+    "rigid_fit": f"{STARS} SELECT frame, frame::DOUBLE AS rotation_deg, 12.0::DOUBLE AS dx, 40.0::DOUBLE AS dy, count(*) FILTER (WHERE rank % 4 <> 0)::BIGINT AS inliers, count(*)::BIGINT AS pairs FROM k WHERE rank <= 30 GROUP BY 1",
+    "phase_correlation": "SELECT range AS frame, range AS dx, 2 * range AS dy, true AS accepted FROM range(6)",
+    # All spans of rows: columns that are covered in the whole span, and their longest runs. Ties as in the operator: the first bottom, then right edge, the taller.
+    "largest_rectangle": f"""WITH {PLANE}, h AS (SELECT DISTINCT l_partkey % 64 AS x, l_suppkey % 48 AS y FROM lineitem WHERE l_quantity > 49 AND l_returnflag = 'R'),
+c AS (SELECT x, y FROM p ANTI JOIN h USING (x, y)), u AS (SELECT x, y, y - row_number() OVER (PARTITION BY x ORDER BY y) AS g FROM c), k AS (SELECT x, y AS bottom, y - min(y) OVER (PARTITION BY x, g) + 1 AS tall FROM u),
+s AS (SELECT x, bottom, unnest(range(1, tall + 1)) AS height FROM k), r AS (SELECT *, x - row_number() OVER (PARTITION BY bottom, height ORDER BY x) AS g FROM s),
+a AS (SELECT bottom, height, min(x) AS x0, max(x) AS x1 FROM r GROUP BY bottom, height, g)
+SELECT 0::BIGINT AS frame, x0::BIGINT AS "left", (bottom - height + 1)::BIGINT AS top, (x1 - x0 + 1)::BIGINT AS width, height::BIGINT AS height FROM a ORDER BY (x1 - x0 + 1) * height DESC, bottom, x1, height DESC LIMIT 1""",
     "brightest_k": f"{STARS} SELECT frame, star, rank FROM k WHERE rank <= 30",
     "triangles": f"{TRIANGLES} SELECT frame, v0, v1, v2, round(rl, 6) AS ratio_long, round(rs, 6) AS ratio_short, clockwise FROM t",
     "triangle_band_join": f"{TRIANGLES}, m AS (SELECT b.frame, unnest([a.v0, a.v1, a.v2]) AS ref, unnest([b.v0, b.v1, b.v2]) AS tgt FROM t a JOIN t b ON a.frame = 0 AND b.frame > 0 AND a.clockwise = b.clockwise AND abs(b.rl - a.rl) <= 0.02::DOUBLE AND abs(b.rs - a.rs) <= 0.02::DOUBLE) SELECT frame, ref, tgt, count(*)::BIGINT AS votes FROM m GROUP BY 1, 2, 3",

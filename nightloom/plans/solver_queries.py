@@ -87,7 +87,7 @@ def _brand_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def noise_bracket(spark: SparkSession, sf_dir: str) -> DataFrame:
     noise = _brand_noise(spark, sf_dir)
-    got = N.bracket(noise.select("p_brand", "iso"), noise.where("iso % 3 = 0"), "p_brand")
+    got = N.bracket(noise.select("p_brand", "iso"), noise.where("iso <= 40 AND NOT iso BETWEEN 11 AND 25"), "p_brand")
     return got.withColumn("read_noise", F.round("read_noise", 6))
 
 
@@ -174,7 +174,7 @@ SELECT s_suppkey, round(stops, 9) AS stops, round(sub, 9) AS sub, round(CASE WHE
     "exposure_choice": f"""{CANDIDATES}, u AS (SELECT *, min(rn) OVER (PARTITION BY site) AS quiet, bool_or(verdict = 'SKY_LIMITED') OVER (PARTITION BY site) AS any_good FROM t WHERE verdict <> 'BELOW_DUAL_GAIN')
 SELECT site, iso, round(exposure_seconds, 6) AS exposure_seconds, verdict FROM u WHERE CASE WHEN any_good THEN verdict = 'SKY_LIMITED' ELSE rn <= quiet * 1.1 END
 QUALIFY row_number() OVER (PARTITION BY site ORDER BY CASE WHEN any_good THEN -round_even(headroom_stops * 10, 0) END, CASE WHEN any_good THEN -exposure_seconds END, iso) = 1""",
-    "noise_bracket": f"""{BRAND}, k AS (SELECT * FROM n WHERE iso % 3 = 0),
+    "noise_bracket": f"""{BRAND}, k AS (SELECT * FROM n WHERE iso <= 40 AND NOT iso BETWEEN 11 AND 25),
 j AS (SELECT n.p_brand, n.iso, max(k.iso) FILTER (WHERE k.iso < n.iso) AS below, min(k.iso) FILTER (WHERE k.iso > n.iso) AS above, arg_max(k.rn, k.iso) FILTER (WHERE k.iso < n.iso) AS rb, arg_min(k.rn, k.iso) FILTER (WHERE k.iso > n.iso) AS ra,
   max(k.rn) FILTER (WHERE k.iso = n.iso) AS rs, arg_min(k.iso, abs(k.iso - n.iso) * 1000 + k.iso) AS nearest FROM n JOIN k ON n.p_brand = k.p_brand GROUP BY 1, 2)
 SELECT p_brand, iso, below, above, round(coalesce(rs, rb + (ra - rb) * (ln(iso) - ln(below)) / (ln(above) - ln(below)), rb, ra), 6) AS read_noise, nearest FROM j""",

@@ -14,7 +14,11 @@ EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, valu
 
 
 def _folder(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/nightloom-checkpoints"
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "/tmp/nightloom-checkpoints"
     return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -49,6 +53,7 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"stream_gate": stream_gate, "stream_running_mean": stream_running_mean, "stream_windows": stream_windows}
 ORACLES = {
+    "stream_gate": Q.GATE,
     "stream_running_mean": Q.ORACLES["preview_mean"],
     "stream_windows": "SELECT date_trunc('hour', ts) AS start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
 }
