@@ -165,6 +165,41 @@ def gate_stream(frames: DataFrame) -> DataFrame:
     return frames.groupBy("session").applyInPandasWithState(step, GATE_SCHEMA, "recent array<int>", "append", "NoTimeout")
 
 
+def residual_stream(frames: DataFrame, residual: str) -> DataFrame:
+    """Verdicts of residuals over a stream: the remembered steady ones of a session are its state."""
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        recent = list(state.get[0]) if state.exists else []
+        rows = pd.concat(list(parts)).sort_values(["ts", "idx"], kind="stable")
+        out = pd.DataFrame({"session": key[0], "idx": rows.idx.to_numpy(), "verdict": [residual_step(recent, x) for x in rows[residual]]})
+        state.update((recent,))
+        yield out
+
+    return frames.groupBy("session").applyInPandasWithState(step, RESIDUAL_SCHEMA, "recent array<double>", "append", "NoTimeout")
+
+
+def focus_stream(frames: DataFrame, reference_hfr: float) -> DataFrame:
+    """focus_status over a stream: the last valid measurements of a session, its median and its status are the state."""
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        recent, median, status = (list(state.get[0]), *state.get[1:]) if state.exists else ([], None, "UNKNOWN")
+        rows = pd.concat(list(parts)).sort_values(["ts", "idx"], kind="stable")
+        out = []
+        for r in rows.itertuples():
+            if pd.notna(r.hfr) and r.hfr > 0 and r.star_count >= FOCUS_STARS:
+                recent = [*recent, float(r.hfr)][-FOCUS_WINDOW:]
+                if len(recent) < FOCUS_LEAST:
+                    status = "UNKNOWN"
+                else:
+                    s = sorted(recent)
+                    median = (s[(len(s) - 1) // 2] + s[len(s) // 2]) / 2
+                    lost, drifting = (reference_hfr * k + FOCUS_MARGIN for k in (LOST, DRIFTING))
+                    status = "LOST" if median > lost else "DRIFTING" if median > drifting else "LOCKED"
+            out.append((median, status))
+        state.update((recent, median, status))
+        yield pd.DataFrame({"session": key[0], "idx": rows.idx.to_numpy(), "median_hfr": pd.Series([m for m, _ in out], dtype=float), "status": [x for _, x in out]})
+
+    return frames.groupBy("session").applyInPandasWithState(step, "session long, idx long, median_hfr double, status string", "recent array<double>, median double, status string", "append", "NoTimeout")
+
+
 def running_mean_stream(samples: DataFrame, depth: int = MEAN_DEPTH) -> DataFrame:
     """session, n, mean after every micro-batch. samples: session, ts, idx, value."""
     def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:

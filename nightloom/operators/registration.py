@@ -9,6 +9,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from nightloom.functions.arrays import MAD_TO_SIGMA
+from nightloom.operators.flats import LEAST_SIGMA, NOISE_STRIDE
+
 #: Fixed values of detection, correlation and consensus.
 LEAST_PIXELS, MOST_PIXELS = 3, 2000
 LEAST_PEAK_RATIO, EXCLUSION, MOST_RATIO = 50.0, 4, 10_000.0
@@ -22,48 +25,88 @@ def grid_of(rows: pd.DataFrame, fill: float = np.nan) -> np.ndarray:
 
 
 def label(mask: np.ndarray) -> np.ndarray:
-    """Numbers of 8-connected components (0 outside), by repeated minimum over neighbours."""
-    ids = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
+    """Numbers of 8-connected components (0 outside; a component has the number of its first cell, counted by rows from 1): runs
+    of each row are joined with those they touch in the next, and roots are halved until nothing changes."""
+    h, w = mask.shape
+    edge = np.diff(np.pad(mask, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    row, start = np.nonzero(edge == 1)
+    end = np.nonzero(edge == -1)[1]
+    if not len(row):
+        return np.zeros(mask.shape, int)
+    span = w + 2
+    first = np.searchsorted(row * span + end, (row + 1) * span + start)  # runs below that end at or after this one's start
+    past = np.searchsorted(row * span + start, (row + 1) * span + end, side="right")
+    n = np.maximum(past - first, 0)
+    a = np.repeat(np.arange(len(row)), n)
+    b = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+    root = np.arange(len(row))
     while True:
-        padded = np.pad(np.where(mask, ids, mask.size + 1), 1, constant_values=mask.size + 1)
-        h, w = mask.shape
-        least = np.min([padded[1 + dy : 1 + dy + h, 1 + dx : 1 + dx + w] for dy in (-1, 0, 1) for dx in (-1, 0, 1)], axis=0)
-        new = np.where(mask, least, 0)
-        if (new == ids).all():
-            return ids
-        ids = new
-
-
-def star_moments(v: np.ndarray, background: float, threshold: float) -> pd.DataFrame:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            break
+        np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (root[root] != root).any():
+            root = root[root]
+    ids = np.zeros(mask.shape, int)
+    length = end - start
+    at = np.repeat(row * w + start - np.cumsum(length) + length, length) + np.arange(length.sum())
+    ids.ravel()[at] = np.repeat((row * w + start + 1)[root], length)
+    return ids
+
+
+def background_of(v: np.ndarray, tile: int = 64) -> np.ndarray:
+    """The background under a plane: medians of tiles, bilinear between their centres and straight on beyond the outer ones."""
+    h, w = v.shape
+    down, across = -(-h // tile), -(-w // tile)
+    level = np.array([[np.nanmedian(v[r * tile : (r + 1) * tile, c * tile : (c + 1) * tile]) for c in range(across)] for r in range(down)])
+
+    def ends(n: int, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = (np.arange(n) + 0.5) / tile - 0.5
+        low = np.clip(np.floor(at).astype(int), 0, max(count - 2, 0))
+        return low, np.minimum(low + 1, count - 1), at - low if count > 1 else np.zeros(n)
+
+    (y0, y1, fy), (x0, x1, fx) = ends(h, down), ends(w, across)
+    top = level[y0][:, x0] + (level[y0][:, x1] - level[y0][:, x0]) * fx
+    low = level[y1][:, x0] + (level[y1][:, x1] - level[y1][:, x0]) * fx
+    return top + (low - top) * fy[:, None]
+
+
+def star_moments(v: np.ndarray, background: np.ndarray | float, threshold: np.ndarray | float) -> pd.DataFrame:
     """flux, x, y, hfr, eccentricity of each component above the threshold, brightest first."""
-    ids = label(v > threshold)
-    out = []
-    for k in np.unique(ids[ids > 0]):
-        ys, xs = np.nonzero(ids == k)
-        if not LEAST_PIXELS <= len(xs) <= MOST_PIXELS:
-            continue
-        w = v[ys, xs] - background
-        flux = w.sum()
-        if flux <= 0:
-            continue
-        x, y = (xs * w).sum() / flux, (ys * w).sum() / flux
-        a, b, c = max(0.0, (w * (xs - x) ** 2).sum() / flux), (w * (xs - x) * (ys - y)).sum() / flux, max(0.0, (w * (ys - y) ** 2).sum() / flux)
-        root = np.sqrt(((a - c) / 2) ** 2 + b * b)
-        major, minor = (a + c) / 2 + root, max(0.0, (a + c) / 2 - root)
-        out.append((flux, x, y, (w * np.hypot(xs - x, ys - y)).sum() / flux, np.sqrt(1 - minor / major) if major > 0 else 0.0))
-    return pd.DataFrame(sorted(out, reverse=True), columns=["flux", "x", "y", "hfr", "eccentricity"])
+    ys, xs = np.nonzero(v > threshold)
+    if not len(ys):
+        return pd.DataFrame(columns=["flux", "x", "y", "hfr", "eccentricity"], dtype=float)
+    _, k = np.unique(label(v > threshold)[ys, xs], return_inverse=True)
+    n = np.bincount(k)
+    w = v[ys, xs] - np.broadcast_to(background, v.shape)[ys, xs]
+    total = lambda values: np.bincount(k, values, minlength=len(n))
+    flux = total(w)
+    safe = np.where(flux > 0, flux, 1.0)
+    x, y = total(xs * w) / safe, total(ys * w) / safe
+    dx, dy = xs - x[k], ys - y[k]
+    a, b, c = np.maximum(0.0, total(w * dx**2) / safe), total(w * dx * dy) / safe, np.maximum(0.0, total(w * dy**2) / safe)
+    root = np.sqrt(((a - c) / 2) ** 2 + b * b)
+    major, minor = (a + c) / 2 + root, np.maximum(0.0, (a + c) / 2 - root)
+    ecc = np.sqrt(1 - np.divide(minor, major, out=np.ones_like(major), where=major > 0))
+    stars = pd.DataFrame({"flux": flux, "x": x, "y": y, "hfr": total(w * np.hypot(dx, dy)) / safe, "eccentricity": ecc})
+    good = (n >= LEAST_PIXELS) & (n <= MOST_PIXELS) & (flux > 0)
+    return stars[good].sort_values(list(stars.columns), ascending=False, ignore_index=True)
 
 
 STARS_SCHEMA = "frame long, star long, flux double, x double, y double, hfr double, eccentricity double"
 
 
 def detect_stars(planes: DataFrame, sigma: float = 5.0) -> DataFrame:
-    """Stars of each frame of planes (frame, x, y, v): the background is the median, the noise the median deviation."""
+    """Stars of each frame of planes (frame, x, y, v): the background follows the tiles' medians, the noise is the upper median
+    deviation from it over every seventh pixel."""
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         v = grid_of(rows)
-        level = np.nanmedian(v)
-        noise = max(1e-6, 1.4826 * np.nanmedian(np.abs(v - level)))
-        stars = star_moments(np.nan_to_num(v, nan=level), level, level + sigma * noise)
+        level = background_of(np.where(np.isnan(v), np.nanmedian(v), v))
+        off = np.sort(np.abs(v - level).ravel()[::NOISE_STRIDE])
+        off = off[~np.isnan(off)]
+        noise = max(LEAST_SIGMA, MAD_TO_SIGMA * float(off[len(off) // 2])) if len(off) else LEAST_SIGMA
+        stars = star_moments(np.where(np.isnan(v), level, v), level, level + sigma * noise)
         stars.insert(0, "frame", key[0])
         stars.insert(1, "star", np.arange(len(stars)))
         return stars

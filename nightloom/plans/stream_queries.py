@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nightloom.operators import monitors
 from nightloom.plans import frame_queries as Q
 from nightloom.streaming import frames as S
 
@@ -33,6 +34,21 @@ def stream_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("session long, idx long, accepted boolean, reason string").parquet(f"{out}/rows")
 
 
+def stream_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _folder(spark)
+    f = _events(spark, sf_dir).selectExpr(*Q.FRAME_COLUMNS).select("session", "ts", "idx", "hfr")
+    S.drain(monitors.residual_stream(f, "hfr"), f"{out}/rows", f"{out}/checkpoint")
+    return spark.read.schema(monitors.RESIDUAL_SCHEMA).parquet(f"{out}/rows")
+
+
+def stream_focus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _folder(spark)
+    f = _events(spark, sf_dir).selectExpr(*Q.FRAME_COLUMNS).select("session", "ts", "idx", "hfr", "star_count")
+    S.drain(monitors.focus_stream(f, 1.2), f"{out}/rows", f"{out}/checkpoint")
+    rows = spark.read.schema("session long, idx long, median_hfr double, status string").parquet(f"{out}/rows")
+    return rows.withColumn("median_hfr", F.round("median_hfr", 9))
+
+
 def stream_running_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _folder(spark)
     f = _events(spark, sf_dir).selectExpr(*Q.FRAME_COLUMNS)
@@ -51,9 +67,9 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "m.n", F.round("m.total", 4).alias("total"))
 
 
-QUERIES = {"stream_gate": stream_gate, "stream_running_mean": stream_running_mean, "stream_windows": stream_windows}
+QUERIES = {"stream_gate": stream_gate, "stream_residual": stream_residual, "stream_focus": stream_focus, "stream_running_mean": stream_running_mean, "stream_windows": stream_windows}
 ORACLES = {
-    "stream_gate": Q.GATE,
+    "stream_gate": Q.GATE, "stream_residual": Q.SPIKES, "stream_focus": Q.ORACLES["focus_monitor"],
     "stream_running_mean": Q.ORACLES["preview_mean"],
     "stream_windows": "SELECT date_trunc('hour', ts) AS start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
 }

@@ -1,6 +1,7 @@
 """NumPy kernels against planted truth or brute force, and raw files by round trip."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from nightloom.operators import planes as P
@@ -22,6 +23,61 @@ def test_labels_join_diagonals():
     assert len(np.unique(ids[ids > 0])) == 3 and ids[0, 0] == ids[1, 1]
 
 
+def test_labels_against_flooding():
+    rng = np.random.default_rng(2)
+    masks = [rng.random((17, 23)) < p for p in (0.1, 0.4, 0.6, 0.9)] + [np.zeros((3, 4), bool), np.ones((5, 5), bool)]
+    spiral = np.zeros((31, 31), bool)
+    for k in range(0, 15, 2):
+        spiral[k, k : 31 - k] = spiral[30 - k, k : 31 - k] = spiral[k : 31 - k, k] = spiral[k : 31 - k, 30 - k] = True
+    for m in [*masks, spiral]:
+        got, want = R.label(m), np.zeros(m.shape, int)
+        for y, x in zip(*np.nonzero(m), strict=True):
+            if not want[y, x]:
+                stack = [(y, x)]
+                while stack:
+                    b, a = stack.pop()
+                    if 0 <= b < m.shape[0] and 0 <= a < m.shape[1] and m[b, a] and not want[b, a]:
+                        want[b, a] = y * m.shape[1] + x + 1
+                        stack += [(b + i, a + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+        assert (got == want).all()
+
+
+def test_stars_over_a_sloping_sky(spark):
+    y, x = np.mgrid[0:128, 0:192].astype(float)
+    rng = np.random.default_rng(4)
+    stars = [(30.2, 40.6), (100.5, 90.1), (170.3, 20.8), (60.0, 110.0)]
+    v = 100 + x * 2 + y + rng.normal(0, 2, x.shape)
+    for a, b in stars:
+        v += 400 * np.exp(-((x - a) ** 2 + (y - b) ** 2) / 6)
+    v[5, 7] = np.nan
+    rows = pd.DataFrame({"frame": 1, "x": x.ravel().astype(int), "y": y.ravel().astype(int), "v": v.ravel()}).dropna()
+    got = R.detect_stars(spark.createDataFrame(rows), 6.0).orderBy("star").collect()
+    assert len(got) == 4 and all(min(np.hypot(r.x - a, r.y - b) for r in got) < 0.2 for a, b in stars)
+
+
+def test_common_area_against_points(spark):
+    motions = [(1, 0, 3.0, 10.0, -5.0), (1, 1, -4.0, -20.0, 12.0), (1, 2, 0.0, 0.0, 0.0), (2, 0, 0.0, 900.0, 0.0), (3, 0, 0.0, 128.0, 0.0)]
+    got = {r.session: r.fraction for r in R.common_area(spark.createDataFrame(motions, "session long, idx long, rotation_deg double, dx double, dy double"), 512.0, 384.0).collect()}
+    gy, gx = np.mgrid[0.5:384, 0.5:512]
+    inside = np.ones(gx.shape, bool)
+    for _, _, deg, dx, dy in motions[:3]:
+        t = np.radians(deg)
+        u, w = gx * np.cos(t) - gy * np.sin(t) + dx, gx * np.sin(t) + gy * np.cos(t) + dy
+        inside &= (u >= 0) & (u <= 512) & (w >= 0) & (w <= 384)
+    assert got[1] == pytest.approx(inside.mean(), abs=0.005) and got[2] == 0 and got[3] == pytest.approx(0.75)
+
+
+def test_uncovered_pixels_and_floors(spark):
+    from nightloom.operators import robust
+
+    rows = [("dead", None), ("dead", float("nan")), *[("two", x) for x in (1.0, 3.0)], *[("flat", 5.0) for _ in range(6)], *[("spread", x) for x in (1.0, 2.0, 3.0, 4.0, 5.0, 60.0)], *[("floor", x) for x in (0.0, 0.0, 10.0, 10.0, 20.0, 20.0)]]
+    df = spark.createDataFrame(rows, "pixel string, v double")
+    got = {r.pixel: r for r in robust.combine(df, ["pixel"], df.v).collect()}
+    assert (got["dead"].n, got["dead"].survivors) == (0, 0) and np.isnan(got["dead"].value) and got["two"].value == 2.0 and got["spread"].value == 3.0
+    s = robust.rejection_stats(df, ["pixel"], df.v, 0.1).first()
+    assert (s.pixels, s.samples, s.uncovered, s.below_floor, s.degenerate_spread) == (5, 20, 1, 1, 1) and s.floor_hit == 2
+
+
 def test_star_moments():
     y, x = np.mgrid[0:40, 0:60]
     v = 10 + 100 * np.exp(-((x - 20.3) ** 2 + (y - 15.6) ** 2) / 8) + 60 * np.exp(-((x - 45) ** 2 / 20 + (y - 25) ** 2 / 4))
@@ -146,4 +202,4 @@ def test_clip_stack_follows_the_column_rules(spark):
     df = spark.createDataFrame(rows, "p long, v double, w double")
     got = {r.p: r.value for r in robust.combine(df, ["p"], F.col("v"), F.col("w")).collect()}
     want = S.clip_stack(cube, w)
-    assert all((p not in got and np.isnan(want[p])) or abs(got[p] - want[p]) < 1e-9 for p in range(40))
+    assert all((np.isnan(got[p]) and np.isnan(want[p])) or abs(got[p] - want[p]) < 1e-9 for p in range(40))
