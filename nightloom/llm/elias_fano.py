@@ -6,8 +6,10 @@ import numpy as np
 
 U64 = np.uint64
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+#: By byte and k: the place of its k-th one, from the low end.
+_PLACE = np.array([[p[k] if k < len(p) else 0 for k in range(8)] for p in ([i for i in range(8) if b >> i & 1] for b in range(256))], np.int64)
 #: Bits of the upper part between two entries of its directory.
-STRIDE = 512
+STRIDE = 128
 
 
 class EliasFano:
@@ -15,6 +17,7 @@ class EliasFano:
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, rank: np.ndarray):
         self.n, self.low_bits, self.low, self.high, self.rank = n, low_bits, low, high, rank
+        self.zeros = np.arange(len(rank), dtype=np.int64) * STRIDE - rank
 
     @staticmethod
     def encode(values: np.ndarray, universe: int) -> EliasFano:
@@ -47,11 +50,11 @@ class EliasFano:
 
     def _select(self, k: np.ndarray, ones: bool) -> np.ndarray:
         """The place of the k-th (from 0) one or zero of the upper bits."""
-        marks = self.rank if ones else np.arange(len(self.rank), dtype=np.int64) * STRIDE - self.rank
+        marks = self.rank if ones else self.zeros
         block = np.searchsorted(marks, k, side="right") - 1
         left = k - marks[block]
         byte = block * (STRIDE // 8)
-        for step in (32, 16, 8, 4, 2, 1):  # halve the block by counting bits in its bytes
+        for step in (8, 4, 2, 1):  # halve the block by counting bits in its bytes
             count = self._ones(byte, step)
             count = count if ones else step * 8 - count
             go = left >= count
@@ -59,12 +62,7 @@ class EliasFano:
             byte = np.where(go, byte + step, byte)
         bits = self.high[np.minimum(byte, len(self.high) - 1)]
         bits = bits if ones else ~bits
-        place = np.zeros(len(k), np.int64)
-        for bit in range(8):
-            on = (bits >> np.uint8(bit)) & np.uint8(1)
-            place = np.where((on == 1) & (left == 0), bit, place)
-            left = left - on.astype(np.int64)
-        return byte * 8 + place
+        return byte * 8 + _PLACE[bits, np.clip(left, 0, 7)]
 
     def _ones(self, byte: np.ndarray, step: int) -> np.ndarray:
         if step == 1:

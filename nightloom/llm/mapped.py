@@ -49,7 +49,7 @@ def read(uri: str) -> list[np.ndarray]:
                 file.write(part)
         file.flush()
     with file:
-        whole = np.memmap(file, np.uint8, mode="r")
+        whole = np.asarray(np.memmap(file, np.uint8, mode="r"))  # plain arrays over the mapping
     n = int(whole[:15].tobytes())
     start = -(-(n + 16) // 64) * 64
     out = []

@@ -240,8 +240,10 @@ class Trie:
             # An n-gram is kept only where the one without its first word is, so the place among that one's followers names it.
             word = np.where(entry >= 0, entry - origin, -1)
             ask = np.flatnonzero(context >= 0)
-            order = np.lexsort((word[ask], context[ask]))
-            c, w = context[ask][order], word[ask][order]
+            c, w = context[ask], word[ask]
+            small = not len(c) or max(int(c.max()), int(w.max())) < 2**31 - 1
+            order = np.argsort(c << 32 | (w + 1)) if small else np.lexsort((w, c))
+            c, w = c[order], w[order]
             new = np.flatnonzero(np.concatenate([np.ones(min(len(c), 1), bool), (c[1:] != c[:-1]) | (w[1:] != w[:-1])]))
             found = level.find(c[new], w[new])
             back_at = np.empty(len(ask), np.int64)
@@ -267,9 +269,8 @@ def train(docs: DataFrame, prune: int = PRUNE, order: int = ORDER) -> dict:
     spark = docs.sparkSession
     path = C.shared_dir(spark)
     texts = docs.select("text")
-    counted = lambda keys_of: texts.mapInArrow(_tally(keys_of), COUNTS).groupBy("c", "w").agg(F.sum("n").alias("n"))
-    words = counted(lambda: lambda tokens, at: (np.zeros(len(tokens), np.int64), tokens.view(np.int64)))
-    words = C.stored(words.select(F.col("w").alias("key"), "n"), f"{path}/words")
+    words = texts.mapInArrow(_tally(lambda: lambda tokens, at: (np.zeros(len(tokens), np.int64), tokens.view(np.int64))), COUNTS)
+    words = C.stored(words.groupBy(F.col("w").alias("key")).agg(F.sum("n").alias("n")), f"{path}/words")
     v, n = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     if not v:
         return {"n": 0, "v": 0}
