@@ -58,8 +58,9 @@ def gather(df: DataFrame, by: list[str], sample: Column, weight: Column | None =
     frame covers keeps its row, with no samples."""
     x = sample.cast("double")
     w = F.coalesce(weight.cast("double"), F.lit(1.0)) if weight is not None else F.lit(1.0)
-    some = df.select(*by, x.alias("x"), w.alias("w"))
-    good = F.when(F.col("x").isNotNull() & ~F.isnan("x"), F.struct("x", "w"))
+    some = df.select(*by, F.struct(x.alias("x"), w.alias("w")).alias("sample of it"))  # a name that no key has
+    x = F.col("`sample of it`.x")
+    good = F.when(x.isNotNull() & ~F.isnan(x), F.col("`sample of it`"))
     return some.groupBy(*by).agg(F.array_sort(F.collect_list(good)).alias("samples"))
 
 

@@ -6,8 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nightloom.operators import editing, pose
+from nightloom.operators import editing, pose, robust
+from nightloom.operators import planes as P
 from nightloom.plans.geometry_queries import PLANE, _lines, _plane
+from nightloom.sources import tiff
 
 WIDTH, HEIGHT = 64, 48
 
@@ -106,7 +108,31 @@ def worst_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return editing.worst_lines(_coverage(spark, sf_dir), "x", WIDTH, HEIGHT, 3)
 
 
+def _raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A raw file for each line number: 64 columns by 48 rows, the last pixel always there."""
+    corner = spark.range(1, 8).select(F.col("id").alias("frame"), F.lit(WIDTH - 1).cast("long").alias("x"), F.lit(HEIGHT - 1).cast("long").alias("y"), F.lit(0.0).alias("v"))
+    p = _lines(spark, sf_dir).select(F.col("l_linenumber").cast("long").alias("frame"), "x", "y", F.col("l_quantity").alias("v")).unionByName(corner)
+    p = p.groupBy("frame", "x", "y").agg((64 + F.floor(F.max("v") * 8)).cast("int").alias("v"))
+    return tiff.encode_raw(p, "frame")
+
+
+def raw_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata of the raw files, the last of which breaks off."""
+    files = _raw_files(spark, sf_dir).withColumn("content", F.when(F.col("path") == "7", F.expr("substring(content, 1, 6)")).otherwise(F.col("content")))
+    m = tiff.metadata_of(files)
+    return m.select("path", "width", "height", "iso", F.element_at("black", 1).alias("black"), "exposure_seconds", F.col("error").isNotNull().alias("unreadable"))
+
+
+def source_to_master(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From raw files in bands through calibration and the median of the frames to a written master, which is read again."""
+    samples = tiff.pixels(tiff.bands_of(_raw_files(spark, sf_dir), 16))
+    master = robust.combine(samples.withColumn("v", P.calibrate(F.col("v"), F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(64.0))), ["x", "y"], F.col("v"), method="median")
+    files = tiff.encode_masters(master.select(F.lit("master").alias("name"), "x", "y", F.lit(0).alias("channel"), F.col("value").alias("v")), "name")
+    return tiff.linear_pixels(files, "name").select("x", "y", "v")
+
+
 QUERIES = {
+    "raw_scan": raw_scan, "source_to_master": source_to_master,
     "camera_roll": camera_roll, "plane_mapping": plane_mapping, "disc_align": disc_align, "night_levels": night_levels, "sky_from_adu": sky_from_adu, "stream_choice": stream_choice,
     "focus_verify": focus_verify, "lunar_focus": lunar_focus, "rotate_argb": rotate_argb, "unsharp": unsharp, "auto_edit": auto_edit, "coverage_report": coverage_report, "worst_columns": worst_columns,
 }
@@ -143,7 +169,10 @@ def _blur_sql(src: str, out: str, axis: str, size: int, value: str) -> str:
     return f"{out} AS (SELECT a.x, a.y, any_value(a.v) AS v, sum(b.{value}) // 5 AS {out}v FROM {src} a, (SELECT unnest([-2, -1, 0, 1, 2]) AS o) n JOIN {src} b ON {other} GROUP BY 1, 2)"
 
 
+RAW = "f AS (SELECT l_linenumber AS frame, l_partkey % 64 AS x, l_suppkey % 48 AS y, floor(max(l_quantity) * 8) AS v FROM lineitem GROUP BY 1, 2, 3)"
 ORACLES = {
+    "raw_scan": f"SELECT CAST(range AS VARCHAR) AS path, CASE WHEN range < 7 THEN {WIDTH} END AS width, CASE WHEN range < 7 THEN {HEIGHT} END AS height, CASE WHEN range < 7 THEN 800 END AS iso, CASE WHEN range < 7 THEN 64.0::DOUBLE END AS black, CASE WHEN range < 7 THEN 8.0::DOUBLE END AS exposure_seconds, range = 7 AS unreadable FROM range(1, 8)",
+    "source_to_master": f"WITH {GRID}, {RAW}, n AS (SELECT range AS frame FROM range(1, 8)) SELECT e.x, e.y, median(coalesce(v, 0.0))::DOUBLE AS v FROM e CROSS JOIN n LEFT JOIN f ON f.x = e.x AND f.y = e.y AND f.frame = n.frame GROUP BY 1, 2",
     "camera_roll": """WITH a AS (SELECT event_id, radians(event_id % 91) AS alt, radians(event_id * 7 % 360) AS az, sin(event_id::DOUBLE) AS vx, cos(event_id * 2.0::DOUBLE) AS vy, sin(event_id * 3.0::DOUBLE) AS vz FROM events),
 d AS (SELECT *, cos(alt) * sin(az) AS dx, cos(alt) * cos(az) AS dy, sin(alt) AS dz FROM a), l AS (SELECT *, sqrt(pow(dx * dz, 2) + pow(dy * dz, 2) + pow(1.0 - dz * dz, 2)) AS len FROM d),
 u AS (SELECT *, -dx * dz / len AS ux, -dy * dz / len AS uy, (1.0 - dz * dz) / len AS uz FROM l WHERE len >= 1e-6),

@@ -117,8 +117,8 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.dng").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
 
-def read_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each *.dng file under a path; `error` says why a file could not be read."""
+def metadata_of(files: DataFrame) -> DataFrame:
+    """A row for each file (path, content); `error` says why a file could not be read."""
     names = [c.split()[0] for c in METADATA_SCHEMA.split(", ")]
 
     def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -132,11 +132,16 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
             out = pd.DataFrame(rows, columns=names).astype(object)
             yield out.where(out.notna(), None)
 
-    return _files(spark, path).mapInPandas(parse, METADATA_SCHEMA)
+    return files.select("path", "content").mapInPandas(parse, METADATA_SCHEMA)
 
 
-def read_bands(spark: SparkSession, path: str, band_rows: int = 256) -> DataFrame:
-    """Rows of samples of every frame, a band of band_rows image rows in each."""
+def read_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each *.dng file under a path."""
+    return metadata_of(_files(spark, path))
+
+
+def bands_of(files: DataFrame, band_rows: int = 256) -> DataFrame:
+    """Rows of samples of every frame (path, content), a band of band_rows image rows in each."""
     def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for p, content in zip(part.path, part.content, strict=True):
@@ -147,7 +152,12 @@ def read_bands(spark: SparkSession, path: str, band_rows: int = 256) -> DataFram
                     rows = [(p, None, None, None, None, str(e))]
                 yield pd.DataFrame(rows, columns=["path", "top", "rows", "width", "samples", "error"]).astype(object)
 
-    return _files(spark, path).mapInPandas(parse, BAND_SCHEMA)
+    return files.select("path", "content").mapInPandas(parse, BAND_SCHEMA)
+
+
+def read_bands(spark: SparkSession, path: str, band_rows: int = 256) -> DataFrame:
+    """The bands of every *.dng file under a path."""
+    return bands_of(_files(spark, path), band_rows)
 
 
 def pixels(bands: DataFrame) -> DataFrame:
@@ -217,3 +227,26 @@ def encode_masters(planes: DataFrame, by: str) -> DataFrame:
         return pd.DataFrame({by: [key[0]], "content": [build_linear(v)]})
 
     return planes.groupBy(by).applyInPandas(run, f"{by} string, content binary")
+
+
+def encode_raw(planes: DataFrame, by: str, black: int = 64, white: int = 1023) -> DataFrame:
+    """path, content: the raw file of each frame. planes: by, x, y, v (whole numbers); a frame is one group, as it is one file, and
+    missing samples are black."""
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        v = np.full((int(rows.y.max()) + 1, int(rows.x.max()) + 1), black, np.int32)
+        v[rows.y.to_numpy(int), rows.x.to_numpy(int)] = rows.v
+        return pd.DataFrame({"path": [str(key[0])], "content": [build_raw(v, rows_per_strip=16, black=[black] * 4, white=white)]})
+
+    return planes.groupBy(by).applyInPandas(run, "path string, content binary")
+
+
+def linear_pixels(files: DataFrame, by: str, max_width: int | None = None) -> DataFrame:
+    """by, x, y, channel, v of every master (by, content), decimated to at most max_width columns."""
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for name, content in zip(part[by], part.content, strict=True):
+                v = read_linear(content, max_width)
+                y, x, c = np.indices(v.shape).reshape(3, -1)
+                yield pd.DataFrame({by: name, "x": x, "y": y, "channel": c, "v": v.ravel().astype(float)})
+
+    return files.select(by, "content").mapInPandas(run, f"{by} string, x long, y long, channel long, v double")
