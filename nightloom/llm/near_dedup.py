@@ -139,7 +139,7 @@ def _confirm(width: int):
 #: Shingles are called rare by the counts of this many ranges of their hashes: a table of bounded size.
 RANGES = 1 << 20
 #: Postings that a block of documents, or its visitors in one cell, hold in all, about.
-BLOCK_POSTINGS = 1 << 17
+BLOCK_POSTINGS = 1 << 15
 POSTING_SCHEMA = "node long, part long, n int, token long"
 
 
