@@ -10,13 +10,13 @@ A written folder holds
 A reader takes what the manifest lists and refuses another dictionary than the one an index names. One short document is
 read by its index entry and one ranged read (`TokenFile`).
 
-Documents are encoded once into a table in the shared folder, then dealt by ranges of (doc_id, ids, hash, row), so rows that
-share a doc_id spread over files too. A task writes its file as a stream under a name of its own and moves it in place, so
-a task that runs twice leaves one whole file.
+Documents are encoded once into a table of frames in the shared folder, then dealt by ranges of (doc_id, ids, hash, row), so
+rows that share a doc_id spread over files too. A task writes its file as a stream under a name of its own and moves it in
+place, so a task that runs twice leaves one whole file.
 
-Texts over CUT characters are encoded in pieces that end before a blank: the vocabulary drops white space and never
-joins across it, so ids are those of the whole text. That holds for vocabularies that split at white space first, such as the
-one the query uses.
+The tokenizers library encodes each distinct stretch between blanks once: the vocabulary drops white space and never joins
+across it, so joined stretches have the ids of the whole text. That holds for vocabularies that split at white space first,
+such as the one the query uses.
 
 Defined results: a null or empty text has the end id only; a null doc_id comes first; rows that share a doc_id stand by
 number of ids, then crc32; an empty table makes a manifest without files; very long texts are whole; extra columns are ignored.
@@ -29,13 +29,13 @@ import hashlib
 import itertools
 import json
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyarrow import fs as pafs
 from pyspark import TaskContext
@@ -43,15 +43,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nightloom.llm import common as C
+from nightloom.llm import wordhash as H
 
 VERSION, END = 1, 2
 #: Bounds of the sample that the dictionary is trained on: documents, pieces of each (spread over the whole document), ids of a piece.
 SAMPLE_DOCS, SAMPLE_PIECES, PIECE_IDS = 1000, 4, 1024
 DICTIONARY_BYTES, LEVEL = 1 << 16, 3
-#: Bytes of serialized ids in a file, about; characters that are encoded at a time.
-FILE_BYTES, CUT = 64 << 20, 200_000
+#: Bytes of frames in a file, about; bytes of texts and stretches that are encoded at a time; stretches that a worker remembers,
+#: and the characters beyond which it does not.
+FILE_BYTES, BLOCK_BYTES, AT_ONCE, REMEMBERED, LONG = 64 << 20, 16 << 20, 4096, 1_000_000, 64
+#: How the vocabulary names ids that end a word, and marks that are words of their own after an ASCII letter or digit.
+WORD_END, MARKS = "</w>", ".,;:!?"
 MANIFEST = "file string, documents long, ids long, start long"
-BLANK = re.compile("[ \n]")
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -68,86 +71,133 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def pieces_of(text: str) -> Iterator[str]:
-    """The text in pieces of at most CUT characters where blanks allow; every piece but the first begins with a blank."""
-    a = 0
-    while len(text) - a > CUT:
-        b = max(text.rfind(" ", a + 1, a + CUT), text.rfind("\n", a + 1, a + CUT))
-        if b < 0:
-            found = BLANK.search(text, a + CUT)
-            if not found:
-                break
-            b = found.start()
-        yield text[a:b]
-        a = b
-    yield text[a:]
-
-
-def encode_texts(path: str, texts: list[str | None]) -> list[np.ndarray]:
-    """The ids of each text, encoded some CUT characters at a time."""
-    tokenizer = _tokenizer(path)
-    out: list[list[np.ndarray]] = [[] for _ in texts]
-    waiting, owners, size = [], [], 0
-
-    def flush() -> None:
-        nonlocal size
-        for k, e in zip(owners, tokenizer.encode_batch_fast(waiting, add_special_tokens=False), strict=True):
-            out[k].append(np.array(e.ids, np.uint32))
-        waiting.clear()
-        owners.clear()
-        size = 0
-
-    for k, text in enumerate(texts):
-        for piece in pieces_of(text or ""):
-            waiting.append(piece)
-            owners.append(k)
-            size += len(piece)
-            if size >= CUT:
-                flush()
-    flush()
-    return [np.concatenate(parts) for parts in out]
-
-
-def encoded(docs: DataFrame, path: str, end: int = END) -> DataFrame:
-    """doc_id, n_tokens, crc, ids (serialized) of every row. Ids that fit in 16 bits take two bytes."""
-    width = 2 if _tokenizer(path).get_vocab_size() <= 1 << 16 and end < 1 << 16 else 4
+class Encoder:
+    """Encodes texts by their stretches between ASCII blanks, each distinct one once: the vocabulary drops white space and joins
+    nothing across it. A block's stretches are numbered by Arrow; the ids of a stretch are kept serialized, so that the ids of
+    a block are gathered by number, and a text's are a slice of them."""
+
+    def __init__(self, path: str, end: int = END) -> None:
+        self.tokenizer, self.width, self.kept = _tokenizer(path), id_width(path, end), {}
+        self.kind = f"<u{self.width}"
+        names = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(names.values()) + 1, bool)  # ids that end a word
+        self.closes[[i for name, i in names.items() if name.endswith(WORD_END)]] = True
+        self.end = np.array([end], self.kind)
+
+    def _apart(self, stretches: list[str]) -> None:
+        for w, e in zip(stretches, self.tokenizer.encode_batch_fast(stretches, add_special_tokens=False), strict=True):
+            self.kept[w] = np.array(e.ids, self.kind).tobytes()
+
+    def _words(self, words: list[str]) -> None:
+        """Stretches of letters, as one text; each gives one word, which ends where an id ends a word."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.int64)
+        at = np.flatnonzero(self.closes[ids]) + 1
+        if len(at) != len(words) or at[-1] != len(ids):  # a letter that the vocabulary's rules take apart
+            self._apart(words)
+            return
+        raw, at = ids.astype(self.kind).tobytes(), (at * self.width).tolist()
+        self.kept.update(zip(words, map(raw.__getitem__, map(slice, [0, *at[:-1]], at)), strict=True))
+
+    def _learn(self, stretches: list[str]) -> None:
+        # Marks after an ASCII letter or digit are words of their own, so what stands before them is shared.
+        parted = []
+        for w in stretches:
+            base = w.rstrip(MARKS)
+            parted.append((base, w[len(base) :]) if base and len(base) < len(w) and base[-1].isascii() and base[-1].isalnum() else (w, ""))
+        new = sorted({p for pair in parted for p in pair}.difference(self.kept, ("",)))
+        letters, others = [w for w in new if w.isalpha()], [w for w in new if not w.isalpha()]
+        for some, learn in ((letters, self._words), (others, self._apart)):
+            for a in range(0, len(some), AT_ONCE):
+                learn(some[a : a + AT_ONCE])
+        for w, (base, marks) in zip(stretches, parted, strict=True):
+            if marks:
+                self.kept[w] = self.kept[base] + self.kept[marks]
+
+    def __call__(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text, with the end id."""
+        texts = texts.fill_null("")
+        # A-Z go to lower case anyway, but for what could be one of the vocabulary's special words.
+        texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        if len(self.kept) + len(distinct) > REMEMBERED:
+            self.kept = {"": b""}
+        self.kept.setdefault("", b"")
+        got = list(map(self.kept.get, distinct))
+        new = [w for w, g in zip(distinct, got, strict=True) if g is None]
+        if new:
+            self._learn(new)
+            got = list(map(self.kept.__getitem__, distinct))
+        for w in new:
+            if len(w) > LONG:
+                self.kept.pop(w, None)
+        size = np.array([len(g) for g in got], np.int64) // self.width
+        flat, start = np.frombuffer(b"".join(got), self.kind), np.cumsum(size) - size
+        index = coded.indices.to_numpy(zero_copy_only=False)
+        length = size[index]
+        before = np.concatenate([[0], np.cumsum(length)])
+        ids = flat[np.repeat(start[index] - before[:-1], length) + np.arange(before[-1])]
+        at = before[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            yield np.append(ids[a:b], self.end)
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
-                ids = [np.append(x, np.uint32(end)) for x in encode_texts(path, part.column(1).to_pylist())]
-                crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]
-                raw = [x.astype(f"<u{width}").tobytes() for x in ids]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(crc, pa.int64()), pa.array(raw, pa.binary()), pa.array([width] * len(ids), pa.int32())], _ENCODED)
 
-    return C.documents_only(docs).mapInArrow(encode, "doc_id long, n_tokens long, crc long, ids binary, width int")
+@functools.lru_cache(2)
+def _encoder(path: str, end: int) -> Encoder:
+    """One encoder a worker process, which keeps what it has learned from task to task."""
+    return Encoder(path, end)
 
 
-_ENCODED = ["doc_id", "n_tokens", "crc", "ids", "width"]
+def id_width(path: str, end: int = END) -> int:
+    """Bytes of an id in the files."""
+    return 2 if max(_tokenizer(path).get_vocab_size(), end + 1) <= 1 << 16 else 4
 
 
-def train_dictionary(rows: DataFrame, total: int, width: int) -> bytes:
+def train_dictionary(docs: DataFrame, path: str, end: int = END) -> bytes:
     """A dictionary for serialized ids, from pieces of about SAMPLE_DOCS documents chosen by hash (all, where there are fewer)."""
-    share = F.lit(1.0 if total <= SAMPLE_DOCS else SAMPLE_DOCS / total)
-    chosen = rows.where(F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < share * (1 << 30)).select("doc_id", "crc", "ids")
-    size = PIECE_IDS * width
+    total = docs.count()
+    share = 1.0 if total <= SAMPLE_DOCS else SAMPLE_DOCS / total
+    chosen = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(path, end)
+        size = PIECE_IDS * encoder.width
         for batch in batches:
-            for doc_id, crc, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for ids in encoder(batch.column(1)):
+                raw = ids.tobytes()
                 places = range(0, len(raw), size)
                 places = places[:: max(1, -(-len(places) // SAMPLE_PIECES))]
-                yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([crc]), pa.array([[raw[p : p + size] for p in places]], pa.list_(pa.binary()))], ["doc_id", "crc", "pieces"])
+                yield pa.RecordBatch.from_arrays([pa.array([zlib.crc32(raw)]), pa.array([[raw[p : p + size] for p in places]], pa.list_(pa.binary()))], ["crc", "pieces"])
 
-    got = chosen.mapInArrow(cut, "doc_id long, crc long, pieces array<binary>").limit(2 * SAMPLE_DOCS).collect()  # 16 MB at most
-    some = [bytes(p) for r in sorted(got, key=lambda r: (r.crc, r.doc_id or 0)) for p in r.pieces]
+    got = chosen.mapInArrow(cut, "crc long, pieces array<binary>").limit(2 * SAMPLE_DOCS).collect()  # 16 MB at most
+    some = [bytes(p) for r in sorted(got, key=lambda r: (r.crc, len(r.pieces))) for p in r.pieces]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, some, level=LEVEL).as_bytes()
     except zstandard.ZstdError:  # too little to train on: the ids themselves are the dictionary
         return b"".join(some)[-DICTIONARY_BYTES:]
 
 
+def encoded(docs: DataFrame, path: str, folder: str, digest: str, end: int = END) -> DataFrame:
+    """doc_id, n_tokens, crc (of the ids as 32-bit integers), frame of every row."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(path, end)
+        packer = _codec(zstandard.ZstdCompressor, folder, digest, level=LEVEL, write_dict_id=False, write_checksum=False)
+        for batch in batches:
+            for i, j, _, _ in H.slices(batch.column(1), BLOCK_BYTES):
+                part = batch.slice(i, j - i)
+                n, crc, frame = [], [], []
+                for ids in encoder(part.column(1)):
+                    n.append(len(ids))
+                    crc.append(zlib.crc32(ids.astype("<u4").tobytes()))
+                    frame.append(packer.compress(ids.tobytes()))
+                columns = [pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(frame, pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", "n_tokens", "crc", "frame"])
+
+    return docs.mapInArrow(encode, "doc_id long, n_tokens long, crc long, frame binary")
+
+
 def _put(uri: str, write) -> None:
     """A file written under a name of its own, then moved."""
     store, path = pafs.FileSystem.from_uri(uri)
@@ -173,7 +223,7 @@ def _dictionary(folder: str, digest: str) -> zstandard.ZstdCompressionDict | Non
     raw = _whole(f"{folder}/dictionary-{digest}")
     if hashlib.sha256(raw).hexdigest() != digest:
         raise ValueError(f"{folder}: the dictionary is not the one that files were written with")
-    return zstandard.ZstdCompressionDict(raw) if raw else None
+    return _precomputed(raw) if raw else None
 
 
 def _codec(kind, folder: str, digest: str, **settings):
@@ -181,27 +231,32 @@ def _codec(kind, folder: str, digest: str, **settings):
     return kind(**settings, **({"dict_data": held} if held else {}))
 
 
+def _precomputed(raw: bytes) -> zstandard.ZstdCompressionDict:
+    held = zstandard.ZstdCompressionDict(raw)
+    held.precompute_compress(level=LEVEL)
+    return held
+
+
 def write_documents(docs: DataFrame, folder: str, path: str | None = None, end: int = END) -> DataFrame:
     """Writes the files of a table (doc_id, text) to a new folder that driver and executors share. Gives the manifest."""
-    spark = docs.sparkSession
-    rows = C.stored(encoded(docs, path or vocabulary(), end).withColumn("row", F.monotonically_increasing_id()), f"{folder}/encoded")
-    total, size, width = rows.agg(F.count("*"), F.sum(F.col("n_tokens") * F.col("width")), F.max("width")).first()
-    dictionary = train_dictionary(rows, total, width or 2)
+    spark, path = docs.sparkSession, path or vocabulary()
+    docs, width = C.documents_only(docs), id_width(path, end)
+    dictionary = train_dictionary(docs, path, end)
     digest = hashlib.sha256(dictionary).hexdigest()
     _put(f"{folder}/dictionary-{digest}", lambda out: out.write(dictionary))
+    rows = C.stored(encoded(docs, path, folder, digest, end).withColumn("row", F.monotonically_increasing_id()), f"{folder}/encoded")
+    size = rows.agg(F.sum(F.octet_length("frame"))).first()[0] or 0
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
-        packer = _codec(zstandard.ZstdCompressor, folder, digest, level=LEVEL, write_dict_id=False, write_checksum=False)
         name = f"part-{TaskContext.get().partitionId():05d}"
         ids, empty, lengths, at = [], [], [], [0]
 
         def frames(out) -> None:
             for batch in itertools.chain([first], batches):
-                for doc_id, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    frame = packer.compress(raw)
+                for doc_id, n, frame in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     out.write(frame)
                     ids.append(doc_id or 0)
                     empty.append(doc_id is None)
@@ -219,8 +274,8 @@ def write_documents(docs: DataFrame, folder: str, path: str | None = None, end:
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(ids)]), pa.array([sum(lengths)])], ["file", "documents", "ids"])
 
     by = ["doc_id", "n_tokens", "crc", "row"]
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // FILE_BYTES))
-    dealt = rows.select(*by, "ids").repartitionByRange(parts, *by).sortWithinPartitions(*by).select("doc_id", "n_tokens", "ids")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
+    dealt = rows.select(*by, "frame").repartitionByRange(parts, *by).sortWithinPartitions(*by).select("doc_id", "n_tokens", "frame")
     start, listed = 0, []
     for r in sorted(dealt.mapInArrow(write, "file string, documents long, ids long").collect()):  # one row a file
         listed.append((r.file, r.documents, r.ids, start))

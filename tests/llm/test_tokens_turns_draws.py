@@ -92,14 +92,26 @@ def test_dictionary_is_shared_and_helps(spark):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.sampled_from([*"aB'1 \n\t .,ßΣ́e漢<|>", "<|endoftext|>", "　"]), max_size=120).map("".join))
-def test_pieces_encode_like_the_whole(text):
-    old, T.CUT = T.CUT, 7
-    try:
-        assert "".join(T.pieces_of(text)) == text
-        assert T.encode_texts(T.vocabulary(), [text, None])[0].tolist() == library_ids(text)
-    finally:
-        T.CUT = old
+@given(st.lists(st.sampled_from([*"aBIs'1 \n\t .,?İⅷßΣ́e漢<|>", "<|endoftext|>", "　"]), max_size=120).map("".join))
+def test_stretches_encode_like_the_whole(text):
+    encoder = T._encoder(T.vocabulary(), 2)
+    texts = [text, None, text + "\x0b" + text]
+    for _ in range(2):
+        assert [x.tolist() for x in encoder(pa.array(["before", *texts])[1:])] == [[*library_ids(t or ""), 2] for t in texts]
+
+
+def test_encoder_on_whole_texts_and_forgetting(monkeypatch):
+    texts = [r[0] for r in duck().sql("SELECT text FROM documents").fetchall()]
+    want = [[*library_ids(t or ""), 2] for t in texts]
+    assert [x.tolist() for x in T.Encoder(T.vocabulary())(pa.array(texts))] == want
+    monkeypatch.setattr(T, "REMEMBERED", 3)
+    monkeypatch.setattr(T, "AT_ONCE", 5)
+    encoder = T.Encoder(T.vocabulary())
+    for k in range(0, 60, 3):
+        assert [x.tolist() for x in encoder(pa.array(texts[k : k + 3], pa.string()))] == want[k : k + 3]
+    for text in ("a b c", "İi İ. 'S It'S I'LL", "a " + "long" * 90, "ⅷ x², ª"):
+        assert [x.tolist() for x in encoder(pa.array([text]))] == [[*library_ids(text), 2]]
+    assert not any(len(w) > T.LONG for w in encoder.kept)
 
 
 @functools.cache
