@@ -1,11 +1,16 @@
 """Per-pixel robust combination of samples: clipped means, medians, weighted means and their rejection figures.
 
 Each takes a DataFrame with one row a sample and the names of its columns; a pixel's samples are gathered by one
-shuffle on the pixel (as many as there are frames) and folded with array expressions.
+shuffle on the pixel (as many as there are frames). Means and medians are array expressions; the rejection passes run on
+Arrow batches of gathered pixels, all pixels with equally many samples as one matrix.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,35 +20,86 @@ from nightloom.functions import arrays as A
 KAPPA, PASSES, LEAST_SAMPLES, LEAST_SURVIVORS = 3.0, 3, 5, 3
 
 
-def _clip_pass(state: Column, kappa: float) -> Column:
-    """One rejection pass over struct(xs: array of struct(x, w), c, s, done, floor); floor: a pass was declined as it would leave too few."""
-    def step(kept: Column) -> Column:
-        xs = F.transform(kept, lambda e: e["x"])
-        settled = state["done"] | (state["s"] <= 0) | (F.size(kept) == F.size(state["xs"]))
-        floor = ~settled & (F.size(kept) < LEAST_SURVIVORS)
-        stop = settled | floor
-        moved = A.let(
-            A.mean(xs),
-            lambda c: F.struct(kept.alias("xs"), c.alias("c"), A.sample_sd(xs, c).alias("s"), F.lit(False).alias("done"), state["floor"].alias("floor")),
-        )
-        still = F.struct(state["xs"].alias("xs"), state["c"].alias("c"), state["s"].alias("s"), F.lit(True).alias("done"), (state["floor"] | floor).alias("floor"))
-        return F.when(stop, still).otherwise(moved)
-
-    reach = F.lit(kappa) * state["s"]
-    return A.let(F.filter(state["xs"], lambda e: (e["x"] >= state["c"] - reach) & (e["x"] <= state["c"] + reach)), step)
-
-
-def clipped(samples: Column, kappa: float = KAPPA, robust_seed: bool = True) -> Column:
-    """struct(xs, c, s, done, floor) after the passes; samples: array of struct(x, w) sorted by x."""
-    def seed(xs: Column) -> Column:
-        centre = A.averaged_median(xs) if robust_seed else A.mean(xs)
-        spread = A.robust_sigma if robust_seed else A.sample_sd
-        return A.let(centre, lambda c: F.struct(samples.alias("xs"), c.alias("c"), spread(xs, c).alias("s"), F.lit(False).alias("done"), F.lit(False).alias("floor")))
-
-    state = A.let(F.transform(samples, lambda e: e["x"]), seed)
+def clip_rows(x: np.ndarray, kappa: float = KAPPA, robust_seed: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rejection passes for pixels (rows) with equally many samples, sorted: which samples survive, and for each pixel
+    whether a pass was declined as it would leave too few, and whether there is no median deviation."""
+    n = x.shape[1]
+    middle = lambda v: (v[:, (n - 1) // 2] + v[:, n // 2]) / 2
+    median = middle(x)
+    dev = np.abs(x - median[:, None])
+    mad = 1.4826 * middle(np.sort(dev, axis=1))
+    if robust_seed:
+        c, s = median.copy(), np.where(mad > 0, mad, 1.2533 * dev.mean(axis=1))
+    else:
+        c = x.mean(axis=1)
+        s = np.sqrt(((x - c[:, None]) ** 2).sum(axis=1) / (n - 1))
+    alive, floor, done = np.ones(x.shape, bool), np.zeros(len(x), bool), np.zeros(len(x), bool)
     for _ in range(PASSES):
-        state = A.let(state, lambda s: _clip_pass(s, kappa))
-    return state
+        on = np.flatnonzero(~done)
+        if not len(on):
+            break
+        y, reach = x[on], kappa * s[on]
+        keep = alive[on] & (y >= (c[on] - reach)[:, None]) & (y <= (c[on] + reach)[:, None])
+        k = keep.sum(axis=1)
+        settled = (s[on] <= 0) | (k == alive[on].sum(axis=1))
+        low = ~settled & (k < LEAST_SURVIVORS)
+        floor[on[low]] = True
+        done[on[settled | low]] = True
+        go = ~(settled | low)
+        on, keep, y, k = on[go], keep[go], y[go], k[go]
+        alive[on] = keep
+        c[on] = np.where(keep, y, 0.0).sum(axis=1) / k
+        s[on] = np.sqrt((np.where(keep, y - c[on][:, None], 0.0) ** 2).sum(axis=1) / (k - 1))
+    return alive, floor, mad <= 0
+
+
+def _by_size(samples: pa.ListArray, body: Callable[[np.ndarray, np.ndarray, np.ndarray], None]) -> np.ndarray:
+    """Calls body(rows, x, w) for the rows of each size from LEAST_SAMPLES up; gives all sizes."""
+    flat = samples.flatten()
+    x, w = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+    size = np.diff(samples.offsets.to_numpy())
+    at = np.concatenate([[0], np.cumsum(size)])
+    for n in np.unique(size):
+        if n >= LEAST_SAMPLES:
+            rows = np.flatnonzero(size == n)
+            cells = at[rows][:, None] + np.arange(n)
+            body(rows, x[cells], w[cells])
+    return size
+
+
+def _clip_batches(kappa: float, robust_seed: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Replaces the last column, samples, by value and survivors (null below LEAST_SAMPLES), floor and flat."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            value, kept, floor, flat = np.full(n, np.nan), np.zeros(n, np.int64), np.zeros(n, bool), np.zeros(n, bool)
+
+            def fold(rows: np.ndarray, x: np.ndarray, w: np.ndarray) -> None:
+                alive, floor[rows], flat[rows] = clip_rows(x, kappa, robust_seed)
+                kept[rows] = alive.sum(axis=1)
+                total = np.where(alive, w, 0.0).sum(axis=1)
+                weighted = np.where(alive, w * x, 0.0).sum(axis=1) / np.where(total > 0, total, 1.0)
+                value[rows] = np.where(total > 0, weighted, np.where(alive, x, 0.0).sum(axis=1) / kept[rows])
+
+            size = _by_size(batch.column(batch.num_columns - 1), fold)
+            few = size < LEAST_SAMPLES
+            columns = [pa.array(value, mask=few), pa.array(kept, mask=few), pa.array(floor), pa.array(flat)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], [*batch.schema.names[:-1], "value", "survivors", "floor", "flat"])
+
+    return run
+
+
+def _clipped(gathered: DataFrame, by: list[str], kappa: float, robust_seed: bool) -> DataFrame:
+    """by, n, low (the median of fewer samples than are clipped), value, survivors, floor, flat. Keys go through under numbers, so
+    that none can clash."""
+    keys = [f"k{i}" for i in range(len(by))]
+    n, xs = F.size("samples"), F.transform("samples", lambda e: e["x"])
+    plain = gathered.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(by, keys, strict=True)], n.alias("n"), F.when(n < LEAST_SAMPLES, A.averaged_median(xs)).alias("low"), "samples")
+    head = plain.drop("samples").schema
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in head) + ", value double, survivors long, floor boolean, flat boolean"
+    out = plain.mapInArrow(_clip_batches(kappa, robust_seed), schema)
+    return out.select(*[F.col(k).alias(c) for c, k in zip(by, keys, strict=True)], "n", "low", "value", "survivors", "floor", "flat")
 
 
 def _weighted(entries: Column) -> Column:
@@ -74,29 +130,21 @@ def combine(df: DataFrame, by: list[str], sample: Column, weight: Column | None
     elif method == "mean":
         out = g.select(*by, n.alias("n"), _weighted(F.col("samples")).alias("value"), n.alias("survivors"))
     else:
-        done = clipped(F.col("samples"), kappa, method == "sigma_clip")
-        few = F.struct(F.col("samples").alias("xs"), A.averaged_median(xs).alias("value"))
-        many = A.let(done, lambda s: F.struct(s["xs"].alias("xs"), _weighted(s["xs"]).alias("value")))
-        g = g.select(*by, n.alias("n"), F.when(n < LEAST_SAMPLES, few).otherwise(many).alias("r"))
-        out = g.select(*by, "n", F.col("r.value").alias("value"), F.size("r.xs").alias("survivors"))
+        r = _clipped(g, by, kappa, method == "sigma_clip")
+        out = r.select(*by, "n", F.coalesce("value", "low").alias("value"), F.coalesce("survivors", "n").alias("survivors"))
     return out.select(*by, F.col("n").cast("long").alias("n"), F.coalesce("value", F.lit(float("nan"))).alias("value"), F.col("survivors").cast("long").alias("survivors"))
 
 
 def rejection_stats(df: DataFrame, by: list[str], sample: Column, kappa: float = KAPPA) -> DataFrame:
     """One row: pixels (uncovered ones too), samples, rejected, uncovered (no sample), below_floor (too few to clip), floor_hit (a
     pass declined as it would leave too few), degenerate_spread (no median deviation). Partial sums merge."""
-    g = gather(df, by, sample)
-    n = F.size("samples")
-    xs = F.transform("samples", lambda e: e["x"])
-    done = A.let(clipped(F.col("samples"), kappa), lambda s: F.struct(F.size(s["xs"]).alias("kept"), s["floor"].alias("floor")))
-    flat = A.let(A.averaged_median(xs), lambda c: A.mad_sigma(xs, c)) <= 0
-    g = g.select(n.alias("n"), F.when(n >= LEAST_SAMPLES, done).alias("r"), F.when(n >= LEAST_SAMPLES, flat).alias("flat"))
+    g = _clipped(gather(df, by, sample), by, kappa, True)
     one = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("long")
     return g.agg(
         F.count("*").alias("pixels"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("samples"),
-        F.coalesce(F.sum(F.when(F.col("n") >= LEAST_SAMPLES, F.col("n") - F.col("r.kept"))), F.lit(0)).cast("long").alias("rejected"),
+        F.coalesce(F.sum(F.when(F.col("n") >= LEAST_SAMPLES, F.col("n") - F.col("survivors"))), F.lit(0)).cast("long").alias("rejected"),
         one(F.col("n") == 0).alias("uncovered"), one((F.col("n") > 0) & (F.col("n") < LEAST_SAMPLES)).alias("below_floor"),
-        one(F.col("r.floor")).alias("floor_hit"), one(F.col("flat")).alias("degenerate_spread"),
+        one(F.col("floor")).alias("floor_hit"), one(F.col("flat")).alias("degenerate_spread"),
     )
 
 

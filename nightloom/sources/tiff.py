@@ -1,22 +1,23 @@
-"""TIFF-shaped files: raw sensor frames (DNG) and linear float masters, read from and written to any store Spark reaches.
+"""The format of TIFF-shaped files: raw sensor frames (DNG) and linear float masters.
 
-Files come in through Spark's binaryFile source and are parsed in the tasks; a raw frame becomes one row a band of rows, so
-a burst of large frames spreads over tasks. Only uncompressed data is handled; anything else is an error of its own row.
+A directory is read from bytes or from an open file by ranges (`store.Ranges`); rows of an image come from the strips that
+hold them and no others. Only uncompressed data is handled. `frames.py` makes data sources of this.
 """
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed values of the formats: TIFF tags, sizes and codes of value types, the photometric code of sensor mosaics.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES = 256, 257, 258, 259, 262, 273, 277, 278, 279
+DESCRIPTION, PLANAR, FLOATS = 270, 284, 3
 SUBFILE, SUB_IFDS, SAMPLE_FORMAT, CFA_DIM, CFA_PATTERN, EXPOSURE, ISO, MODEL, BLACK, WHITE = 254, 330, 339, 33421, 33422, 33434, 34855, 50708, 50714, 50717
 KINDS = {1: "B", 2: "c", 3: "H", 4: "I", 5: "II", 7: "B", 9: "i", 10: "ii"}
 CFA_PHOTOMETRIC, PLAIN = 32803, 1
@@ -28,18 +29,21 @@ class TiffError(ValueError):
 
 @dataclass
 class Tiff:
-    """The directory of a file's bytes that holds its image."""
+    """The directory of a file that holds its image; data is sliced, so it may be bytes or ranges of an open file."""
 
-    data: bytes
+    data: Sequence
     order: str = "<"
     tags: dict[int, tuple[int, int, int]] = field(default_factory=dict)
 
+    def _unpack(self, kinds: str, at: int) -> tuple:
+        return struct.unpack(self.order + kinds, self.data[at : at + struct.calcsize("<" + kinds)])
+
     @staticmethod
-    def open(data: bytes, photometric: int | None = None) -> Tiff:
+    def open(data: Sequence, photometric: int | None = None) -> Tiff:
         order = {b"II": "<", b"MM": ">"}.get(bytes(data[:2]))
         if order is None or len(data) < 8:
             raise TiffError("not a TIFF: bad byte order")
-        magic, first = struct.unpack_from(order + "HI", data, 2)
+        magic, first = struct.unpack(order + "HI", data[2:8])
         if magic != 42:
             raise TiffError(f"not a TIFF: magic {magic}")
         t = Tiff(data, order)
@@ -55,38 +59,61 @@ class Tiff:
     def _directory(self, at: int) -> dict[int, tuple[int, int, int]]:
         if at + 2 > len(self.data):
             raise TiffError("directory lies outside the file")
-        (n,) = struct.unpack_from(self.order + "H", self.data, at)
+        (n,) = self._unpack("H", at)
         out = {}
         for i in range(n):
-            tag, kind, count = struct.unpack_from(self.order + "HHI", self.data, at + 2 + 12 * i)
+            tag, kind, count = self._unpack("HHI", at + 2 + 12 * i)
             if kind in KINDS:
                 size = struct.calcsize("<" + KINDS[kind]) * count
                 place = at + 2 + 12 * i + 8
-                out[tag] = (kind, count, place if size <= 4 else struct.unpack_from(self.order + "I", self.data, place)[0])
+                out[tag] = (kind, count, place if size <= 4 else self._unpack("I", place)[0])
         return out
 
-    def many(self, tag: int) -> list | None:
+    def count(self, tag: int) -> int:
+        return self.tags[tag][1] if tag in self.tags else 0
+
+    def many(self, tag: int, first: int = 0, last: int | None = None) -> list | None:
+        """A tag's values, or those from `first` to before `last`, without reading the others."""
         if tag not in self.tags:
             return None
         kind, count, at = self.tags[tag]
         if kind == 2:
             return [bytes(self.data[at : at + count]).split(b"\0")[0].decode("ascii", "replace")]
-        v = struct.unpack_from(self.order + KINDS[kind] * count, self.data, at)
+        last = count if last is None else min(last, count)
+        v = self._unpack(KINDS[kind] * (last - first), at + first * struct.calcsize("<" + KINDS[kind]))
         return [a / b if b else 0.0 for a, b in zip(v[::2], v[1::2], strict=True)] if kind in (5, 10) else list(v)
 
     def one(self, tag: int):
-        v = self.many(tag)
+        v = self.many(tag, 0, 1)
         return v[0] if v else None
 
-    def strips(self, dtype: str) -> np.ndarray:
-        offsets, sizes = self.many(STRIP_OFFSETS), self.many(STRIP_BYTES)
-        if offsets is None or sizes is None or len(offsets) != len(sizes):
+    def rows(self, top: int, count: int, dtype: str) -> np.ndarray:
+        """Samples of image rows [top, top + count) from the strips that overlap them. Strips that lie side by side are read at once."""
+        width, height = int(self.one(WIDTH)), int(self.one(HEIGHT))
+        count = max(0, min(count, height - top))
+        each = int(self.one(ROWS_PER_STRIP) or height)
+        first, last = top // each, -(-(top + count) // each)
+        if self.count(STRIP_OFFSETS) != self.count(STRIP_BYTES) or self.count(STRIP_OFFSETS) != -(-height // each):
             raise TiffError("strip offsets and sizes disagree")
-        parts = [self.data[int(o) : int(o) + int(n)] for o, n in zip(offsets, sizes, strict=True)]
-        return np.frombuffer(b"".join(parts), self.order + dtype)
-
-
-def raw_metadata(data: bytes) -> dict:
+        if not count:
+            return np.zeros((0, width), self.order + dtype)
+        offsets, sizes = self.many(STRIP_OFFSETS, first, last), self.many(STRIP_BYTES, first, last)
+        size = np.dtype(dtype).itemsize
+        parts, a = [], 0
+        for b in range(1, len(offsets) + 1):
+            if b == len(offsets) or offsets[b] != offsets[b - 1] + sizes[b - 1]:
+                parts.append(bytes(self.data[offsets[a] : offsets[b - 1] + sizes[b - 1]]))
+                if len(parts[-1]) != sum(sizes[a:b]):
+                    raise TiffError("strip lies outside the file")
+                a = b
+        v = np.frombuffer(b"".join(parts), self.order + dtype)
+        want = width * (min(last * each, height) - first * each)
+        if sum(sizes) != want * size:
+            raise TiffError(f"{len(v)} samples in strips that hold {want}")
+        return v.reshape(-1, width)[top - first * each : top - first * each + count]
+
+
+def raw_metadata(data: Sequence) -> dict:
     t = Tiff.open(data, CFA_PHOTOMETRIC)
     width, height = t.one(WIDTH), t.one(HEIGHT)
     if width is None or height is None:
@@ -101,63 +128,10 @@ def raw_metadata(data: bytes) -> dict:
     }
 
 
-def raw_samples(data: bytes) -> np.ndarray:
+def raw_samples(data: Sequence) -> np.ndarray:
+    """The samples of a whole frame."""
     m = raw_metadata(data)
-    v = Tiff.open(data, CFA_PHOTOMETRIC).strips("u2")
-    if len(v) != m["width"] * m["height"]:
-        raise TiffError(f"{len(v)} samples for {m['width']} x {m['height']}")
-    return v.reshape(m["height"], m["width"]).astype(np.int32)
-
-
-METADATA_SCHEMA = "path string, width int, height int, rows_per_strip int, cfa array<int>, black array<double>, white int, iso int, exposure_seconds double, model string, error string"
-BAND_SCHEMA = "path string, top int, rows int, width int, samples array<int>, error string"
-
-
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.dng").option("recursiveFileLookup", "true").load(path).select("path", "content")
-
-
-def metadata_of(files: DataFrame) -> DataFrame:
-    """A row for each file (path, content); `error` says why a file could not be read."""
-    names = [c.split()[0] for c in METADATA_SCHEMA.split(", ")]
-
-    def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = []
-            for p, content in zip(part.path, part.content, strict=True):
-                try:
-                    rows.append({"path": p, **raw_metadata(content)})
-                except (TiffError, struct.error) as e:
-                    rows.append({"path": p, "error": str(e)})
-            out = pd.DataFrame(rows, columns=names).astype(object)
-            yield out.where(out.notna(), None)
-
-    return files.select("path", "content").mapInPandas(parse, METADATA_SCHEMA)
-
-
-def read_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each *.dng file under a path."""
-    return metadata_of(_files(spark, path))
-
-
-def bands_of(files: DataFrame, band_rows: int = 256) -> DataFrame:
-    """Rows of samples of every frame (path, content), a band of band_rows image rows in each."""
-    def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for p, content in zip(part.path, part.content, strict=True):
-                try:
-                    v = raw_samples(content)
-                    rows = [(p, top, len(v[top : top + band_rows]), v.shape[1], v[top : top + band_rows].ravel(), None) for top in range(0, len(v), band_rows)]
-                except (TiffError, struct.error) as e:
-                    rows = [(p, None, None, None, None, str(e))]
-                yield pd.DataFrame(rows, columns=["path", "top", "rows", "width", "samples", "error"]).astype(object)
-
-    return files.select("path", "content").mapInPandas(parse, BAND_SCHEMA)
-
-
-def read_bands(spark: SparkSession, path: str, band_rows: int = 256) -> DataFrame:
-    """The bands of every *.dng file under a path."""
-    return bands_of(_files(spark, path), band_rows)
+    return Tiff.open(data, CFA_PHOTOMETRIC).rows(0, m["height"], "u2").astype(np.int32)
 
 
 def pixels(bands: DataFrame) -> DataFrame:
@@ -196,37 +170,28 @@ def build_raw(samples: np.ndarray, order: str = "<", rows_per_strip: int | None
     return (b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, 8) + _entries(tags(offsets), order) + b"".join(strips)
 
 
-def build_linear(v: np.ndarray) -> bytes:
-    """A float32 master (rows, columns, channels) as one uncompressed strip."""
-    h, w, c = v.shape
-    raw = v.astype("<f4").tobytes()
+def linear_header(width: int, height: int, channels: int, description: str = "") -> bytes:
+    """What stands before the values of a float32 master, which follow as one uncompressed strip, row by row."""
+    size = 4 * width * height * channels
+    text = description.encode("ascii", "replace")[:1023] + b"\0"
+    if size + 4096 > 1 << 32:
+        raise TiffError(f"{width} x {height} x {channels} does not fit the offsets of a TIFF")
 
     def tags(at: int) -> list[tuple[int, int, list]]:
         return [
-            (SUBFILE, 4, [0]), (WIDTH, 4, [w]), (HEIGHT, 4, [h]), (BITS, 3, [32] * c), (COMPRESSION, 3, [PLAIN]), (PHOTOMETRIC, 3, [2 if c == 3 else 1]), (STRIP_OFFSETS, 4, [at]),
-            (SAMPLES, 3, [c]), (ROWS_PER_STRIP, 4, [h]), (STRIP_BYTES, 4, [len(raw)]), (284, 3, [1]), (SAMPLE_FORMAT, 3, [3] * c), (296, 3, [1]),
+            (SUBFILE, 4, [0]), (WIDTH, 4, [width]), (HEIGHT, 4, [height]), (BITS, 3, [32] * channels), (COMPRESSION, 3, [PLAIN]), (PHOTOMETRIC, 3, [2 if channels == 3 else 1]), (DESCRIPTION, 2, [bytes([b]) for b in text]),
+            (STRIP_OFFSETS, 4, [at]), (SAMPLES, 3, [channels]), (ROWS_PER_STRIP, 4, [height]), (STRIP_BYTES, 4, [size]), (PLANAR, 3, [1]), (SAMPLE_FORMAT, 3, [FLOATS] * channels),
         ]
 
-    return b"II" + struct.pack("<HI", 42, 8) + _entries(tags(8 + len(_entries(tags(0))))) + raw
+    return b"II" + struct.pack("<HI", 42, 8) + _entries(tags(8 + len(_entries(tags(0)))))
 
 
-def read_linear(data: bytes, max_width: int | None = None) -> np.ndarray:
-    """A master's values, decimated to at most max_width columns (every n-th row and column)."""
-    t = Tiff.open(data)
-    c = int(t.one(SAMPLES) or 1)
-    v = t.strips("f4").reshape(int(t.one(HEIGHT)), int(t.one(WIDTH)), c)
-    step = -(-v.shape[1] // max_width) if max_width else 1
-    return v[::step, ::step]
-
-
-def encode_masters(planes: DataFrame, by: str) -> DataFrame:
-    """by, content: the file of each master. planes: by, x, y, channel, v; a master is one group, as it is one file."""
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        v = np.full((int(rows.y.max()) + 1, int(rows.x.max()) + 1, int(rows.channel.max()) + 1), np.nan, np.float32)
-        v[rows.y.to_numpy(int), rows.x.to_numpy(int), rows.channel.to_numpy(int)] = rows.v
-        return pd.DataFrame({by: [key[0]], "content": [build_linear(v)]})
-
-    return planes.groupBy(by).applyInPandas(run, f"{by} string, content binary")
+def linear_shape(t: Tiff) -> tuple[int, int, int, int]:
+    """Height, width, channels and where the values begin; anything but a master in one strip is an error."""
+    w, h, c = (int(t.one(tag) or 0) for tag in (WIDTH, HEIGHT, SAMPLES))
+    if w <= 0 or h <= 0 or c not in (1, 3) or (t.one(COMPRESSION) or PLAIN) != PLAIN or t.many(SAMPLE_FORMAT) != [FLOATS] * c or len(t.many(STRIP_OFFSETS) or []) != 1:
+        raise TiffError("not a linear master")
+    return h, w, c, int(t.one(STRIP_OFFSETS))
 
 
 def encode_raw(planes: DataFrame, by: str, black: int = 64, white: int = 1023) -> DataFrame:
@@ -238,15 +203,3 @@ def encode_raw(planes: DataFrame, by: str, black: int = 64, white: int = 1023) -
         return pd.DataFrame({"path": [str(key[0])], "content": [build_raw(v, rows_per_strip=16, black=[black] * 4, white=white)]})
 
     return planes.groupBy(by).applyInPandas(run, "path string, content binary")
-
-
-def linear_pixels(files: DataFrame, by: str, max_width: int | None = None) -> DataFrame:
-    """by, x, y, channel, v of every master (by, content), decimated to at most max_width columns."""
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for name, content in zip(part[by], part.content, strict=True):
-                v = read_linear(content, max_width)
-                y, x, c = np.indices(v.shape).reshape(3, -1)
-                yield pd.DataFrame({by: name, "x": x, "y": y, "channel": c, "v": v.ravel().astype(float)})
-
-    return files.select(by, "content").mapInPandas(run, f"{by} string, x long, y long, channel long, v double")

@@ -135,25 +135,6 @@ def test_raw_errors():
             tiff.raw_samples(bad)
 
 
-def test_files_through_spark(spark, tmp_path):
-    v = np.arange(12 * 8).reshape(8, 12)
-    (tmp_path / "a.dng").write_bytes(tiff.build_raw(v))
-    (tmp_path / "b.dng").write_bytes(b"junk file")
-    meta = {r.path.rsplit("/", 1)[1]: r for r in tiff.read_metadata(spark, str(tmp_path)).collect()}
-    assert meta["a.dng"].width == 12 and meta["a.dng"].error is None and meta["b.dng"].error
-    bands = tiff.read_bands(spark, str(tmp_path), 3)
-    assert bands.where("error IS NULL").count() == 3
-    got = {(r.x, r.y): r.v for r in tiff.pixels(bands).collect()}
-    assert got == {(x, y): float(v[y, x]) for y in range(8) for x in range(12)}
-
-
-def test_linear_masters(spark):
-    rows = [("m", x, y, c, float(x + 10 * y + 100 * c)) for x in range(6) for y in range(4) for c in range(3)]
-    made = tiff.encode_masters(spark.createDataFrame(rows, "name string, x int, y int, channel int, v double"), "name").first()
-    v = tiff.read_linear(made.content)
-    assert v.shape == (4, 6, 3) and v[2, 3, 1] == 123.0 and tiff.read_linear(made.content, 3).shape == (2, 3, 3)
-
-
 def test_stack_of_a_moving_sky(spark):
     from nightloom.operators import stack as S
 
