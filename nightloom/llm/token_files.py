@@ -49,9 +49,9 @@ VERSION, END = 1, 2
 #: Bounds of the sample that the dictionary is trained on: documents, pieces of each (spread over the whole document), ids of a piece.
 SAMPLE_DOCS, SAMPLE_PIECES, PIECE_IDS = 1000, 4, 1024
 DICTIONARY_BYTES, LEVEL = 1 << 16, 3
-#: Bytes of frames in a file, about; bytes of texts and stretches that are encoded at a time; stretches that a worker remembers,
-#: and the characters beyond which it does not.
-FILE_BYTES, BLOCK_BYTES, AT_ONCE, REMEMBERED, LONG = 64 << 20, 16 << 20, 4096, 1_000_000, 64
+#: Bytes of frames in a file, about; bytes of texts and stretches that are encoded at a time; stretches that a worker remembers
+#: beside those of a block, and the characters beyond which it does not.
+FILE_BYTES, BLOCK_BYTES, AT_ONCE, REMEMBERED, LONG = 64 << 20, 8 << 20, 4096, 400_000, 64
 #: How the vocabulary names ids that end a word, and marks that are words of their own after an ASCII letter or digit.
 WORD_END, MARKS = "</w>", ".,;:!?"
 MANIFEST = "file string, documents long, ids long, start long"
@@ -121,23 +121,25 @@ class Encoder:
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        if len(self.kept) + len(distinct) > REMEMBERED:
-            self.kept = {"": b""}
         self.kept.setdefault("", b"")
         got = list(map(self.kept.get, distinct))
         new = [w for w, g in zip(distinct, got, strict=True) if g is None]
         if new:
             self._learn(new)
             got = list(map(self.kept.__getitem__, distinct))
+        if len(self.kept) > REMEMBERED:  # what this block holds is what the next will ask for
+            self.kept = dict(zip(distinct, got, strict=True))
         for w in new:
             if len(w) > LONG:
                 self.kept.pop(w, None)
-        size = np.array([len(g) for g in got], np.int64) // self.width
-        flat, start = np.frombuffer(b"".join(got), self.kind), np.cumsum(size) - size
+        size = np.array([len(g) for g in got], np.int32) // self.width
+        flat, start = np.frombuffer(b"".join(got), self.kind), np.cumsum(size, dtype=np.int32) - size
         index = coded.indices.to_numpy(zero_copy_only=False)
         length = size[index]
-        before = np.concatenate([[0], np.cumsum(length)])
-        ids = flat[np.repeat(start[index] - before[:-1], length) + np.arange(before[-1])]
+        before = np.concatenate([[0], np.cumsum(length, dtype=np.int64)])
+        place = np.repeat((start[index] - before[:-1]).astype(np.int32), length)  # a block's ids fit 32 bits
+        place += np.arange(before[-1], dtype=np.int32)
+        ids = flat[place]
         at = before[split.offsets.to_numpy() - split.offsets[0].as_py()]
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             yield np.append(ids[a:b], self.end)
