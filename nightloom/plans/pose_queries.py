@@ -6,10 +6,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nightloom.operators import editing, pose, robust
+from nightloom.operators import editing, pose, stack
 from nightloom.operators import planes as P
 from nightloom.plans.geometry_queries import PLANE, _lines, _plane
-from nightloom.sources import tiff
+from nightloom.sources import frames, tiff
+from nightloom.sources.store import shared_folder
 
 WIDTH, HEIGHT = 64, 48
 
@@ -116,23 +117,56 @@ def _raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.encode_raw(p, "frame")
 
 
+def _raw_folder(spark: SparkSession, sf_dir: str) -> str:
+    """The raw files, written to the shared folder."""
+    folder = shared_folder(spark, "raw")
+    frames.write_files(_raw_files(spark, sf_dir).withColumnRenamed("path", "name"), folder, ".dng")
+    return folder
+
+
 def raw_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metadata of the raw files, the last of which breaks off."""
-    files = _raw_files(spark, sf_dir).withColumn("content", F.when(F.col("path") == "7", F.expr("substring(content, 1, 6)")).otherwise(F.col("content")))
-    m = tiff.metadata_of(files)
-    return m.select("path", "width", "height", "iso", F.element_at("black", 1).alias("black"), "exposure_seconds", F.col("error").isNotNull().alias("unreadable"))
+    """Metadata of the raw files, beside one that breaks off."""
+    folder = _raw_folder(spark, sf_dir)
+    broken = spark.range(1).select(F.lit("broken").alias("name"), F.lit(b"II*\x00\x08\x00").alias("content"))
+    frames.write_files(broken, folder, ".dng")
+    m = spark.read.format("raw_metadata").load(folder)
+    name = F.regexp_extract("path", r"([^/]+)\.dng$", 1)
+    return m.select(name.alias("path"), "width", "height", "iso", F.element_at("black", 1).alias("black"), "exposure_seconds", F.col("error").isNotNull().alias("unreadable"))
 
 
 def source_to_master(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From raw files in bands through calibration and the median of the frames to a written master, which is read again."""
-    samples = tiff.pixels(tiff.bands_of(_raw_files(spark, sf_dir), 16))
-    master = robust.combine(samples.withColumn("v", P.calibrate(F.col("v"), F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(64.0))), ["x", "y"], F.col("v"), method="median")
-    files = tiff.encode_masters(master.select(F.lit("master").alias("name"), "x", "y", F.lit(0).alias("channel"), F.col("value").alias("v")), "name")
-    return tiff.linear_pixels(files, "name").select("x", "y", "v")
+    """From raw files in bands of rows, through calibration, demosaicking, motions of whole pixels and the clipped combination by
+    tiles, to a master in a file, which is read again."""
+    bands = spark.read.format("raw_bands").option("band_rows", 10).load(_raw_folder(spark, sf_dir)).where("error IS NULL")
+    frame = F.regexp_extract("path", r"([^/]+)\.dng$", 1).cast("long")
+    black = F.element_at("black", 1)
+    bands = bands.select(F.lit(0).cast("long").alias("session"), frame.alias("frame"), "width", "height", "top", "rows", F.transform("samples", lambda v: v - black).alias("samples"))
+    motions = spark.range(1, 8).select(F.lit(0).cast("long").alias("session"), F.col("id").alias("frame"), F.lit(1.0).alias("weight"), F.lit(0.0).alias("rotation_deg"), (F.col("id") % 3 - 1.0).alias("dx"), (F.floor(F.col("id") / 3) - 1.0).alias("dy"))
+    master = stack.stack_bands(bands, motions, 16, kappa=1.5)
+    folder = shared_folder(spark, "master")
+    frames.write_masters(stack.master_bands(master, F.lit("master"), WIDTH, HEIGHT), folder, description="seven frames")
+    return frames.master_pixels(frames.read_masters(spark, folder, band_rows="10")).select("x", "y", "channel", F.nanvl("v", F.lit(None).cast("double")).alias("v"))
+
+
+def user_combiner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two combiners of a user's own, in partial and final stages, over seven planes in tiles of 16 by 64."""
+    p = _lines(spark, sf_dir).groupBy(F.col("l_linenumber").alias("frame"), "x", "y").agg(F.max("l_quantity").alias("v"))
+    row = p.groupBy("frame", "y").agg(F.map_from_entries(F.collect_list(F.struct("x", "v"))).alias("m"))
+    row = row.withColumn("values", F.transform(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda i: F.coalesce(F.try_element_at("m", i.cast("long")), F.lit(float("nan")))))
+    t = row.groupBy("frame", F.floor(F.col("y") / 16).alias("t")).agg(F.array_sort(F.collect_list(F.struct("y", "values"))).alias("rows"))
+    every = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.coalesce(F.get(F.filter("rows", lambda r: r["y"] == F.col("t") * 16 + i), 0)["values"], F.array_repeat(F.lit(float("nan")), WIDTH)))
+    tiles = t.select(
+        F.lit(0).cast("long").alias("session"), (F.col("t") * 16).cast("int").alias("top"), F.lit(0).alias("left"), F.col("frame").cast("long").alias("frame"), (F.col("frame") / 2.0).alias("weight"),
+        F.lit(16).alias("height"), F.lit(WIDTH).alias("width"), F.flatten(every).cast("array<float>").alias("values"),
+    )
+    cells = lambda m, name: m.select("top", F.posexplode("values").alias("i", "v")).select((F.col("i") % WIDTH).alias("x"), (F.col("top") + F.floor(F.col("i") / WIDTH)).alias("y"), F.round(F.nanvl(F.col("v").cast("double"), F.lit(None).cast("double")), 4).alias(name))
+    mean, trimmed = (stack.combine_with(tiles, c, channels=1) for c in (stack.WeightedMean(), stack.TrimmedMean()))
+    every = spark.range(WIDTH).withColumnRenamed("id", "x").crossJoin(spark.range(HEIGHT).withColumnRenamed("id", "y"))  # the plane's fixed grid
+    return every.join(cells(mean, "mean"), ["x", "y"], "left").join(cells(trimmed, "trimmed"), ["x", "y"], "left")
 
 
 QUERIES = {
-    "raw_scan": raw_scan, "source_to_master": source_to_master,
+    "raw_scan": raw_scan, "source_to_master": source_to_master, "user_combiner": user_combiner,
     "camera_roll": camera_roll, "plane_mapping": plane_mapping, "disc_align": disc_align, "night_levels": night_levels, "sky_from_adu": sky_from_adu, "stream_choice": stream_choice,
     "focus_verify": focus_verify, "lunar_focus": lunar_focus, "rotate_argb": rotate_argb, "unsharp": unsharp, "auto_edit": auto_edit, "coverage_report": coverage_report, "worst_columns": worst_columns,
 }
@@ -170,9 +204,31 @@ def _blur_sql(src: str, out: str, axis: str, size: int, value: str) -> str:
 
 
 RAW = "f AS (SELECT l_linenumber AS frame, l_partkey % 64 AS x, l_suppkey % 48 AS y, floor(max(l_quantity) * 8) AS v FROM lineitem GROUP BY 1, 2, 3)"
+
+
+def _master_sql() -> str:
+    """Demosaicking by weighted neighbours, motions of whole pixels, and three clipping passes at 1.5."""
+    sql = f"""WITH {GRID}, {RAW}, n AS (SELECT range AS frame FROM range(1, 8)), m AS (SELECT n.frame, e.x, e.y, coalesce(v, 0.0) AS v, CASE WHEN e.y % 2 = 0 THEN CASE WHEN e.x % 2 = 0 THEN 1 ELSE 0 END ELSE CASE WHEN e.x % 2 = 0 THEN 2 ELSE 1 END END AS site
+  FROM e CROSS JOIN n LEFT JOIN f ON f.x = e.x AND f.y = e.y AND f.frame = n.frame),
+o(i, j, k) AS (SELECT i.range - 1, j.range - 1, (2 - abs(i.range - 1)) * (2 - abs(j.range - 1)) FROM range(3) i, range(3) j),
+d AS (SELECT a.frame, a.x, a.y, c.range AS channel, CAST(CASE WHEN any_value(a.site) = any_value(c.range) THEN any_value(a.v) ELSE sum(b.v * k) FILTER (WHERE b.site = c.range) / (sum(k) FILTER (WHERE b.site = c.range)) END AS FLOAT)::DOUBLE AS v
+  FROM m a CROSS JOIN o JOIN m b ON b.frame = a.frame AND b.x = a.x + i AND b.y = a.y + j CROSS JOIN range(3) c GROUP BY a.frame, a.x, a.y, c.range),
+g AS (SELECT e.x, e.y, c.range AS channel, coalesce(list(v ORDER BY v) FILTER (WHERE v IS NOT NULL), []) AS e FROM e CROSS JOIN range(3) c CROSS JOIN n LEFT JOIN d ON d.frame = n.frame AND d.channel = c.range AND d.x = e.x + n.frame % 3 - 1 AND d.y = e.y + n.frame // 3 - 1 GROUP BY 1, 2, 3),
+q AS (SELECT *, list_median(e) AS c FROM g), w AS (SELECT *, list_transform(e, lambda x: abs(x - c)) AS dev FROM q),
+p0 AS (SELECT x, y, channel, e, len(e) AS n, c AS med, c, CASE WHEN list_median(dev) > 0 THEN 1.4826 * list_median(dev) ELSE 1.2533 * list_avg(dev) END AS s, false AS done FROM w)"""
+    for i in (1, 2, 3):
+        sql += f""",
+k{i} AS (SELECT *, list_filter(e, lambda r: r >= c - 1.5 * s AND r <= c + 1.5 * s) AS k FROM p{i - 1}), h{i} AS (SELECT *, done OR s <= 0 OR len(k) = len(e) OR len(k) < 3 AS stop, list_avg(k) AS mu FROM k{i}),
+p{i} AS (SELECT x, y, channel, n, med, CASE WHEN stop THEN e ELSE k END AS e, CASE WHEN stop THEN c ELSE mu END AS c, CASE WHEN stop THEN s ELSE sqrt(list_sum(list_transform(k, lambda r: (r - mu) * (r - mu))) / (len(k) - 1)) END AS s, stop AS done FROM h{i})"""
+    return sql + " SELECT x, y, channel, CAST(CASE WHEN n = 0 THEN NULL WHEN n < 5 THEN med ELSE list_sum(e) / len(e) END AS FLOAT)::DOUBLE AS v FROM p3"
+
+
 ORACLES = {
-    "raw_scan": f"SELECT CAST(range AS VARCHAR) AS path, CASE WHEN range < 7 THEN {WIDTH} END AS width, CASE WHEN range < 7 THEN {HEIGHT} END AS height, CASE WHEN range < 7 THEN 800 END AS iso, CASE WHEN range < 7 THEN 64.0::DOUBLE END AS black, CASE WHEN range < 7 THEN 8.0::DOUBLE END AS exposure_seconds, range = 7 AS unreadable FROM range(1, 8)",
-    "source_to_master": f"WITH {GRID}, {RAW}, n AS (SELECT range AS frame FROM range(1, 8)) SELECT e.x, e.y, median(coalesce(v, 0.0))::DOUBLE AS v FROM e CROSS JOIN n LEFT JOIN f ON f.x = e.x AND f.y = e.y AND f.frame = n.frame GROUP BY 1, 2",
+    "raw_scan": f"SELECT CASE WHEN range < 8 THEN CAST(range AS VARCHAR) ELSE 'broken' END AS path, CASE WHEN range < 8 THEN {WIDTH} END AS width, CASE WHEN range < 8 THEN {HEIGHT} END AS height, CASE WHEN range < 8 THEN 800 END AS iso, CASE WHEN range < 8 THEN 64.0::DOUBLE END AS black, CASE WHEN range < 8 THEN 8.0::DOUBLE END AS exposure_seconds, range = 8 AS unreadable FROM range(1, 9)",
+    "source_to_master": _master_sql(),
+    "user_combiner": f"""WITH {GRID}, p AS (SELECT l_linenumber AS k, l_partkey % 64 AS x, l_suppkey % 48 AS y, max(l_quantity) AS v FROM lineitem GROUP BY 1, 2, 3)
+SELECT e.x, e.y, round(CAST(sum(v * k / 2.0::DOUBLE) / sum(k / 2.0::DOUBLE) AS FLOAT)::DOUBLE, 4) AS mean, round(CAST(CASE WHEN count(v) >= 3 THEN (sum(v) - min(v) - max(v)) / (count(v) - 2) ELSE avg(v) END AS FLOAT)::DOUBLE, 4) AS trimmed
+FROM e LEFT JOIN p ON p.x = e.x AND p.y = e.y GROUP BY 1, 2""",
     "camera_roll": """WITH a AS (SELECT event_id, radians(event_id % 91) AS alt, radians(event_id * 7 % 360) AS az, sin(event_id::DOUBLE) AS vx, cos(event_id * 2.0::DOUBLE) AS vy, sin(event_id * 3.0::DOUBLE) AS vz FROM events),
 d AS (SELECT *, cos(alt) * sin(az) AS dx, cos(alt) * cos(az) AS dy, sin(alt) AS dz FROM a), l AS (SELECT *, sqrt(pow(dx * dz, 2) + pow(dy * dz, 2) + pow(1.0 - dz * dz, 2)) AS len FROM d),
 u AS (SELECT *, -dx * dz / len AS ux, -dy * dz / len AS uy, (1.0 - dz * dz) / len AS uz FROM l WHERE len >= 1e-6),

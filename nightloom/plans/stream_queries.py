@@ -2,47 +2,37 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nightloom.operators import monitors
 from nightloom.plans import frame_queries as Q
+from nightloom.sources.store import shared_folder
 from nightloom.streaming import frames as S
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def _folder(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "/tmp/nightloom-checkpoints"
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.file_stream(spark, sf_dir, EVENTS, "events.parquet")
 
 
 def stream_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _folder(spark)
+    out = shared_folder(spark, "stream")
     frames = Q._gate_columns(_events(spark, sf_dir).selectExpr(*Q.FRAME_COLUMNS))
     S.gate(frames, f"{out}/rows", f"{out}/checkpoint")
     return spark.read.schema("session long, idx long, accepted boolean, reason string").parquet(f"{out}/rows")
 
 
 def stream_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _folder(spark)
+    out = shared_folder(spark, "stream")
     f = _events(spark, sf_dir).selectExpr(*Q.FRAME_COLUMNS).select("session", "ts", "idx", "hfr")
     S.drain(monitors.residual_stream(f, "hfr"), f"{out}/rows", f"{out}/checkpoint")
     return spark.read.schema(monitors.RESIDUAL_SCHEMA).parquet(f"{out}/rows")
 
 
 def stream_focus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _folder(spark)
+    out = shared_folder(spark, "stream")
     f = _events(spark, sf_dir).selectExpr(*Q.FRAME_COLUMNS).select("session", "ts", "idx", "hfr", "star_count")
     S.drain(monitors.focus_stream(f, 1.2), f"{out}/rows", f"{out}/checkpoint")
     rows = spark.read.schema("session long, idx long, median_hfr double, status string").parquet(f"{out}/rows")
@@ -50,7 +40,7 @@ def stream_focus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_running_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _folder(spark)
+    out = shared_folder(spark, "stream")
     f = _events(spark, sf_dir).selectExpr(*Q.FRAME_COLUMNS)
     S.running_mean(f.select("session", "ts", "idx", F.when(F.col("accepted"), F.col("sharpness")).alias("value")), f"{out}/rows", f"{out}/checkpoint")
     rows = spark.read.schema("session long, n long, mean double, batch int").parquet(f"{out}/rows/*")
@@ -60,7 +50,7 @@ def stream_running_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Complete windows of a drained stream: the last one may still be open, so that one is left to the next run."""
-    out = _folder(spark)
+    out = shared_folder(spark, "stream")
     S.drain(S.windowed_counts(_events(spark, sf_dir)), f"{out}/rows", f"{out}/checkpoint", "update")
     rows = spark.read.schema("start timestamp, event_type string, n long, total double, batch int").parquet(f"{out}/rows/*")
     last = rows.groupBy("start", "event_type").agg(F.max_by(F.struct("n", "total"), "batch").alias("m"))

@@ -4,12 +4,24 @@ from __future__ import annotations
 
 import functools
 import os
+import uuid
 
 from pyarrow import fs as pafs
+from pyspark.sql import SparkSession
 
 PAGE = 4096
 
 
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder under spark.checkpoint.dir, which driver and executors share; a folder of its own is taken on a local master only."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "/tmp/nightloom-checkpoints"
+    return f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
 @functools.lru_cache(64)
 def _store(root: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(root if "://" in root else "file://" + os.path.abspath(root))

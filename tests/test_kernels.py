@@ -184,3 +184,104 @@ def test_clip_stack_follows_the_column_rules(spark):
     got = {r.p: r.value for r in robust.combine(df, ["p"], F.col("v"), F.col("w")).collect()}
     want = S.clip_stack(cube, w)
     assert all((np.isnan(got[p]) and np.isnan(want[p])) or abs(got[p] - want[p]) < 1e-9 for p in range(40))
+
+
+def moving(rng, h=60, w=44, n=6):
+    """Mosaics with motions, some cells missing, and their motions."""
+    frames, motions = [], []
+    for k in range(n):
+        v = rng.integers(-200, 5000, (h, w)).astype(float)
+        v[rng.random((h, w)) < 0.02] = np.nan
+        frames.append(v)
+        motions.append((1, k, 1.0 + k / 4, [0.0, 4.0, -7.5, 91.0, 0.3, 0.0][k], [0.0, 3.25, -2.5, 40.0, 0.1, 500.0][k], [0.0, -11.5, 6.0, 2.0, -0.7, 0.0][k]))
+    return frames, motions
+
+
+@pytest.mark.parametrize(("band", "tile", "pattern"), [(1, 16, "GRBG"), (7, 16, "RGGB"), (60, 32, "BGGR"), (13, 64, "GBRG")])
+def test_bands_stack_like_whole_frames(spark, band, tile, pattern):
+    from nightloom.operators import stack as S
+
+    frames, motions = moving(np.random.default_rng(band))
+    whole = spark.createDataFrame([(s, k, v.shape[1], [None if np.isnan(x) else x for x in v.ravel().tolist()], wt, r, dx, dy) for v, (s, k, wt, r, dx, dy) in zip(frames, motions, strict=True)],
+        "session long, frame long, width int, samples array<double>, weight double, rotation_deg double, dx double, dy double")
+    parts = [(1, k, 44, 60, top, len(v[top : top + band]), [None if np.isnan(x) else x for x in v[top : top + band].ravel().tolist()]) for k, v in enumerate(frames) for top in range(0, 60, band)]
+    bands = spark.createDataFrame(parts, "session long, frame long, width int, height int, top int, rows int, samples array<double>")
+    moves = spark.createDataFrame(motions, "session long, frame long, weight double, rotation_deg double, dx double, dy double")
+    cfa = S.PATTERNS[pattern]
+    key = lambda r: (r.frame, r.top, r.left)
+    a = sorted(S.warped_tiles(whole, tile, cfa).collect(), key=key)
+    b = sorted(S.band_tiles(bands, moves, tile, cfa).collect(), key=key)
+    assert [(*key(r), r.height, r.width, r.weight) for r in a] == [(*key(r), r.height, r.width, r.weight) for r in b]
+    for x, y in zip(a, b, strict=True):
+        np.testing.assert_array_equal(np.array(x["values"], np.float32), np.array(y["values"], np.float32))
+
+
+def test_unreadable_band_is_missing(spark):
+    from nightloom.operators import stack as S
+
+    parts = [(1, 0, 8, 40, top, 10, [1.0] * 80) for top in (0, 20, 30)]
+    bands = spark.createDataFrame(parts, "session long, frame long, width int, height int, top int, rows int, samples array<double>")
+    moves = spark.createDataFrame([(1, 0, 1.0, 0.0, 0.0, 0.0)], "session long, frame long, weight double, rotation_deg double, dx double, dy double")
+    got = {r.top: np.array(r["values"]).reshape(10, 8, 3) for r in S.band_tiles(bands, moves, 10).collect()}
+    assert sorted(got) == [0, 10, 20, 30] and np.isnan(got[10][2:8]).all() and (got[0][:8] == 1).all() and (got[30] == 1).all()
+
+
+def test_whole_numbers_are_truncated():
+    from nightloom.operators import stack as S
+
+    v = np.array([[10.7, -5000.0, 3.2, 70000.0], [1.0, np.nan, 2.9, 4.0]])
+    got = S.demosaic_whole_numbers(v, S.PATTERNS["RGGB"])
+    assert got[0, 0, 0] == 10 and got[0, 1, 1] == -S.PEDESTAL and got[0, 2, 0] == 3 and got[0, 3, 1] == 65535 - S.PEDESTAL and not np.isnan(got[1, 1]).all()
+
+
+def test_patterns_put_colours_in_place():
+    from nightloom.operators import stack as S
+
+    for name, cfa in S.PATTERNS.items():
+        site = np.tile(np.array(cfa).reshape(2, 2), (4, 4))
+        planes = S.demosaic(np.choose(site, [10.0, 20.0, 30.0]), cfa)
+        assert (planes == [10.0, 20.0, 30.0]).all(), name
+        assert (S.demosaic(np.choose(site, [10.0, 20.0, 30.0])[1:], cfa, first_row=1) == [10.0, 20.0, 30.0]).all()
+
+
+def test_users_resampler(spark):
+    from nightloom.operators import stack as S
+
+    def nearest(planes, rotation, dx, dy, rows, first, height):
+        return planes[rows[0] - first : rows[1] - first]
+
+    v = np.arange(40 * 8, dtype=float).reshape(40, 8)
+    bands = spark.createDataFrame([(1, 0, 8, 40, t, 10, v[t : t + 10].ravel().tolist()) for t in range(0, 40, 10)], "session long, frame long, width int, height int, top int, rows int, samples array<double>")
+    moves = spark.createDataFrame([(1, 0, 1.0, 0.0, 0.0, 0.0)], "session long, frame long, weight double, rotation_deg double, dx double, dy double")
+    own = S.Resampler(demosaic=lambda m, cfa, first: np.repeat(m[..., None], 3, axis=2), warp=nearest, halo=0, reach=0)
+    got = {r.top: np.array(r["values"]).reshape(-1, 8, 3) for r in S.band_tiles(bands, moves, 16, resampler=own).collect()}
+    np.testing.assert_array_equal(np.concatenate([got[t] for t in sorted(got)])[..., 1], v)
+
+
+def test_users_combiner(spark, monkeypatch):
+    from nightloom.operators import stack as S
+
+    rng = np.random.default_rng(2)
+    cube = rng.normal(size=(9, 2, 4, 5, 3))
+    cube[rng.random(cube.shape) < 0.4] = np.nan
+    rows = [(1, 4 * t, 0, f, 1.0 + f, 4, 5, cube[f, t].ravel().tolist()) for f in range(9) for t in range(2)]
+    tiles = spark.createDataFrame(rows, S.TILES).repartition(4)
+    for limit in (1, 1 << 20):  # states are passed on at once, or all at the end
+        monkeypatch.setattr(S, "STATE_BYTES", limit)
+        got = {r.top: r for r in S.combine_with(tiles, S.WeightedMean()).collect()}
+        trimmed = {r.top: r for r in S.combine_with(tiles, S.TrimmedMean()).collect()}
+        for t in range(2):
+            x, w = cube[:, t], np.where(np.isfinite(cube[:, t]), np.arange(1.0, 10).reshape(-1, 1, 1, 1), 0)
+            with np.errstate(all="ignore"):
+                mean = np.nansum(x * w, axis=0) / w.sum(axis=0)
+                n = np.isfinite(x).sum(axis=0)
+                cut = np.where(n >= 3, (np.nansum(x, axis=0) - np.nanmin(x, axis=0) - np.nanmax(x, axis=0)) / (n - 2), np.nansum(x, axis=0) / n)
+            np.testing.assert_allclose(np.array(got[4 * t]["values"]).reshape(4, 5, 3), mean, rtol=1e-5)
+            np.testing.assert_allclose(np.array(trimmed[4 * t]["values"]).reshape(4, 5, 3), cut, rtol=1e-4, atol=1e-6)
+            assert got[4 * t].frames == 9
+
+    class NoMerge:
+        fields, init, update, finish = ("a",), None, None, None
+
+    with pytest.raises(TypeError, match="merge"):
+        S.combine_with(tiles, NoMerge())
