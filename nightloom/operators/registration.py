@@ -3,11 +3,14 @@ phase correlation, rigid consensus, the largest covered rectangle, the common ar
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from nightloom.functions.arrays import MAD_TO_SIGMA
 from nightloom.operators.flats import LEAST_SIGMA, NOISE_STRIDE
@@ -247,16 +250,102 @@ def area(polygon: np.ndarray) -> float:
     return float(abs((x * np.roll(y, -1) - y * np.roll(x, -1)).sum()) / 2)
 
 
+AREA_STATE = "xs array<double>, ys array<double>, frames long"
+
+
+class CommonArea:
+    """What some turned frames have in common, as a convex polygon in the reference's coordinates: an associative, commutative
+    fold, so that parts of a session may be folded anywhere and merged in any order. A frame without a motion counts, but
+    narrows nothing."""
+
+    def __init__(self, width: float, height: float, polygon: np.ndarray | None = None, frames: int = 0) -> None:
+        self.corners = np.array([[0, 0], [width, 0], [width, height], [0, height]], float)
+        self.polygon = self.corners if polygon is None else polygon
+        self.frames = frames
+
+    def include(self, rotation_deg: np.ndarray, dx: np.ndarray, dy: np.ndarray) -> None:
+        """Frames' motions, as arrays."""
+        self.frames += len(dx)
+        known = ~(np.isnan(rotation_deg) | np.isnan(dx) | np.isnan(dy))
+        t = -np.radians(rotation_deg[known])
+        x, y = self.corners[:, 0] - dx[known, None], self.corners[:, 1] - dy[known, None]
+        footprints = np.stack([x * np.cos(t)[:, None] - y * np.sin(t)[:, None], x * np.sin(t)[:, None] + y * np.cos(t)[:, None]], axis=2)
+        while len(footprints) and len(self.polygon):
+            # Only footprints that a corner of the polygon lies outside of narrow it.
+            a, b = footprints[:, :, None], np.roll(footprints, -1, axis=1)[:, :, None]
+            p = self.polygon[None, None]
+            side = (b[..., 0] - a[..., 0]) * (p[..., 1] - a[..., 1]) - (b[..., 1] - a[..., 1]) * (p[..., 0] - a[..., 0])
+            cuts = np.flatnonzero((side < 0).any(axis=(1, 2)))
+            if not len(cuts):
+                break
+            deepest = cuts[np.argmin(side[cuts].min(axis=(1, 2)))]
+            self.polygon = clip_convex(self.polygon, footprints[deepest])
+            footprints = np.delete(footprints[cuts], np.flatnonzero(cuts == deepest), axis=0)
+
+    def merge(self, other: CommonArea) -> CommonArea:
+        self.frames += other.frames
+        self.polygon = clip_convex(self.polygon, other.polygon) if len(other.polygon) >= 3 and len(self.polygon) else np.zeros((0, 2))
+        return self
+
+    @property
+    def fraction(self) -> float:
+        return min(1.0, area(self.polygon) / area(self.corners))
+
+    def state(self) -> tuple[list[float], list[float], int]:
+        return *(v.tolist() for v in self.polygon.T), int(self.frames)
+
+    @staticmethod
+    def of(width: float, height: float, xs, ys, frames: int) -> CommonArea:
+        return CommonArea(width, height, np.column_stack([np.asarray(xs, float), np.asarray(ys, float)]).reshape(-1, 2), int(frames))
+
+
+#: Frames that are folded at a time, and the partial areas of a session that one task merges before the last step.
+FOLD_ROWS, MERGE_WAYS = 4096, 64
+
+
 def common_area(motions: DataFrame, width: float, height: float) -> DataFrame:
-    """session, frames, fraction: what all turned frames of a session (session, idx, rotation_deg, dx, dy) have in common."""
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        frame = np.array([[0, 0], [width, 0], [width, height], [0, height]], float)
-        polygon = frame
-        for r in rows.sort_values("idx").itertuples():
-            t = -np.radians(r.rotation_deg)
-            rot = np.array([[np.cos(t), -np.sin(t)], [np.sin(t), np.cos(t)]])
-            if len(polygon):
-                polygon = clip_convex(polygon, (frame - [r.dx, r.dy]) @ rot.T)
-        return pd.DataFrame([(key[0], len(rows), area(polygon) / (width * height))], columns=["session", "frames", "fraction"])
-
-    return motions.groupBy("session").applyInPandas(run, "session long, frames long, fraction double")
+    """session, frames, fraction: what all turned frames of a session (session, idx, rotation_deg, dx, dy) have in common.
+
+    Every task folds its frames to one small polygon a session; polygons meet in two steps, in MERGE_WAYS groups a session and
+    then by session. No task holds a session's frames."""
+    schema = f"session long, way int, {AREA_STATE}"
+
+    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, CommonArea] = {}
+        for part in parts:
+            for session, rows in part.groupby("session", sort=False, dropna=False):
+                known = held.setdefault(session, CommonArea(width, height))
+                values = rows[["rotation_deg", "dx", "dy"]].to_numpy(float)
+                for a in range(0, len(values), FOLD_ROWS):
+                    known.include(*values[a : a + FOLD_ROWS].T)
+        part_id = TaskContext.get().partitionId()
+        yield pd.DataFrame([(s, part_id % MERGE_WAYS, *a.state()) for s, a in held.items()], columns=["session", "way", "xs", "ys", "frames"])
+
+    def merged(rows: pd.DataFrame) -> CommonArea:
+        areas = [CommonArea.of(width, height, r.xs, r.ys, r.frames) for r in rows.itertuples()]
+        out = areas[0]
+        for a in areas[1:]:
+            out = out.merge(a)
+        return out
+
+    def some(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(*key, *merged(rows).state())], columns=["session", "way", "xs", "ys", "frames"])
+
+    def whole(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        a = merged(rows)
+        return pd.DataFrame([(key[0], a.frames, a.fraction)], columns=["session", "frames", "fraction"])
+
+    partial = motions.select(F.col("session").cast("long").alias("session"), "rotation_deg", "dx", "dy").mapInPandas(fold, schema)
+    return partial.groupBy("session", "way").applyInPandas(some, schema).groupBy("session").applyInPandas(whole, "session long, frames long, fraction double")
+
+
+def common_area_stream(motions: DataFrame, width: float, height: float) -> DataFrame:
+    """session, frames, fraction after every micro-batch: the polygon and the count of a session are its state."""
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        known = CommonArea.of(width, height, *state.get) if state.exists else CommonArea(width, height)
+        for part in parts:
+            known.include(*part[["rotation_deg", "dx", "dy"]].to_numpy(float).T)
+        state.update(known.state())
+        yield pd.DataFrame([(key[0], known.frames, known.fraction)], columns=["session", "frames", "fraction"])
+
+    return motions.groupBy("session").applyInPandasWithState(step, "session long, frames long, fraction double", AREA_STATE, "update", "NoTimeout")

@@ -165,10 +165,17 @@ def largest_rectangle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.largest_covered(c, "frame")
 
 
+AREA_WIDTH, AREA_HEIGHT = 512.0, 384.0
+
+
+def area_motions(e: DataFrame) -> DataFrame:
+    """A motion for each event; errors have none."""
+    turn = F.when(F.col("event_type") != "error", F.col("value") / 100)
+    return e.select(F.col("user_id").alias("session"), F.col("event_id").alias("idx"), turn.alias("rotation_deg"), (F.col("event_id") % 40 - 20.0).alias("dx"), (F.col("event_id") % 30 - 15.0).alias("dy"))
+
+
 def common_area(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    m = e.select(F.col("user_id").alias("session"), F.col("event_id").alias("idx"), (F.col("value") / 100).alias("rotation_deg"), (F.col("event_id") % 40 - 20.0).alias("dx"), (F.col("event_id") % 30 - 15.0).alias("dy"))
-    return R.common_area(m, 512.0, 384.0)
+    return R.common_area(area_motions(spark.read.parquet(f"{sf_dir}/events.parquet")), AREA_WIDTH, AREA_HEIGHT).withColumn("fraction", F.round("fraction", 6))
 
 
 def phase_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,7 +204,26 @@ TRIANGLES = STARS + """, t0 AS (SELECT a.frame, list_sort([
 t1 AS (SELECT frame, s[1].v AS v0, s[2].v AS v1, s[3].v AS v2, s[1].d AS d0, s[2].d AS d1, s[3].d AS d2 FROM t0),
 t2 AS (SELECT *, (v1.x - v0.x) * (v2.y - v0.y) - (v1.y - v0.y) * (v2.x - v0.x) AS cr FROM t1),
 t AS (SELECT frame, v0.star AS v0, v1.star AS v1, v2.star AS v2, d2 / d0 AS rl, d1 / d0 AS rs, cr < 0 AS clockwise FROM t2 WHERE d0 >= 5 AND d2 <= 10 * d0 AND abs(cr) >= 25)"""
+# Clips by one edge of one frame after the other.
+SIDE = "((h.bx - h.ax) * ({p}.y - h.ay) - (h.by_ - h.ay) * ({p}.x - h.ax))"
+AREA = f"""WITH RECURSIVE m AS (SELECT user_id AS session, event_id AS idx, event_type <> 'error' AS known, -radians(value / 100) AS t, event_id % 40 - 20.0::DOUBLE AS dx, event_id % 30 - 15.0::DOUBLE AS dy FROM events),
+c(e, x0, y0, x1, y1) AS (VALUES (0, 0.0::DOUBLE, 0.0::DOUBLE, {AREA_WIDTH}::DOUBLE, 0.0::DOUBLE), (1, {AREA_WIDTH}, 0.0, {AREA_WIDTH}, {AREA_HEIGHT}), (2, {AREA_WIDTH}, {AREA_HEIGHT}, 0.0, {AREA_HEIGHT}), (3, 0.0, {AREA_HEIGHT}, 0.0, 0.0)),
+h AS (SELECT session, row_number() OVER (PARTITION BY session ORDER BY idx, e) AS k, (x0 - dx) * cos(t) - (y0 - dy) * sin(t) AS ax, (x0 - dx) * sin(t) + (y0 - dy) * cos(t) AS ay, (x1 - dx) * cos(t) - (y1 - dy) * sin(t) AS bx, (x1 - dx) * sin(t) + (y1 - dy) * cos(t) AS by_
+  FROM m CROSS JOIN c WHERE known),
+r AS (SELECT DISTINCT user_id AS session, 0::BIGINT AS k, [{{'x': 0.0::DOUBLE, 'y': 0.0::DOUBLE}}, {{'x': {AREA_WIDTH}::DOUBLE, 'y': 0.0::DOUBLE}}, {{'x': {AREA_WIDTH}::DOUBLE, 'y': {AREA_HEIGHT}::DOUBLE}}, {{'x': 0.0::DOUBLE, 'y': {AREA_HEIGHT}::DOUBLE}}] AS p FROM events
+  UNION ALL
+  SELECT r.session, h.k, flatten(list_transform(range(1, len(p) + 1), lambda i: list_concat(CASE WHEN {SIDE.format(p="p[i]")} >= 0 THEN [p[i]] ELSE [] END,
+    CASE WHEN ({SIDE.format(p="p[i]")} >= 0) <> ({SIDE.format(p="p[i % len(p) + 1]")} >= 0) THEN [{{'x': p[i].x + (p[i % len(p) + 1].x - p[i].x) * {SIDE.format(p="p[i]")} / ({SIDE.format(p="p[i]")} - {SIDE.format(p="p[i % len(p) + 1]")}),
+      'y': p[i].y + (p[i % len(p) + 1].y - p[i].y) * {SIDE.format(p="p[i]")} / ({SIDE.format(p="p[i]")} - {SIDE.format(p="p[i % len(p) + 1]")})}}] ELSE [] END))) FROM r JOIN h ON h.session = r.session AND h.k = r.k + 1),
+z AS (SELECT session, arg_max(p, k) AS p FROM r GROUP BY 1), n AS (SELECT session, count(*) AS frames FROM m GROUP BY 1)
+SELECT session, frames, round(coalesce(abs(list_sum(list_transform(range(1, len(p) + 1), lambda i: p[i].x * p[i % len(p) + 1].y - p[i].y * p[i % len(p) + 1].x))) / 2, 0.0) / {AREA_WIDTH * AREA_HEIGHT}, 6)::DOUBLE AS fraction FROM z JOIN n USING (session)"""
+MATCHES = f"""{TRIANGLES.replace("FROM embeddings)", "FROM embeddings), s9 AS (SELECT * FROM s UNION ALL SELECT -1, star, x * cos(radians(8.25::DOUBLE)) - y * sin(radians(8.25::DOUBLE)) + 12, x * sin(radians(8.25::DOUBLE)) + y * cos(radians(8.25::DOUBLE)) + 40, flux, u, v FROM s WHERE frame = 0)").replace("AS rank FROM s)", "AS rank FROM s9)")},
+m AS (SELECT b.frame, unnest([a.v0, a.v1, a.v2]) AS ref, unnest([b.v0, b.v1, b.v2]) AS tgt FROM t a JOIN t b ON a.frame = 0 AND b.frame <> 0 AND a.clockwise = b.clockwise AND abs(b.rl - a.rl) <= 0.02::DOUBLE AND abs(b.rs - a.rs) <= 0.02::DOUBLE),
+w AS (SELECT frame, ref, tgt, count(*)::BIGINT AS votes FROM m GROUP BY 1, 2, 3), q AS (SELECT ref, count(*) AS chances FROM (SELECT unnest([v0, v1, v2]) AS ref FROM t WHERE frame = 0) GROUP BY 1),
+f AS (SELECT w.* FROM w JOIN q USING (ref) WHERE votes >= 2 AND votes >= chances * 0.25::DOUBLE QUALIFY row_number() OVER (PARTITION BY frame, ref ORDER BY votes DESC, tgt) = 1)
+SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY frame, tgt ORDER BY votes DESC, ref) = 1"""
 ORACLES = {
+    "common_area": AREA, "asterism_match": MATCHES,
     # What was planted: every match but each fourth moves as the frame does.
     "rigid_fit": f"{STARS} SELECT frame, frame::DOUBLE AS rotation_deg, 12.0::DOUBLE AS dx, 40.0::DOUBLE AS dy, count(*) FILTER (WHERE rank % 4 <> 0)::BIGINT AS inliers, count(*)::BIGINT AS pairs FROM k WHERE rank <= 30 GROUP BY 1",
     "phase_correlation": "SELECT range AS frame, range AS dx, 2 * range AS dy, true AS accepted FROM range(6)",

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nightloom.operators import monitors
+from nightloom.operators import geometry as G
+from nightloom.operators import live, monitors
+from nightloom.operators import registration as R
 from nightloom.plans import frame_queries as Q
+from nightloom.plans import geometry_queries as GQ
 from nightloom.sources.store import shared_folder
 from nightloom.streaming import frames as S
 
@@ -57,8 +60,75 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "m.n", F.round("m.total", 4).alias("total"))
 
 
-QUERIES = {"stream_gate": stream_gate, "stream_residual": stream_residual, "stream_focus": stream_focus, "stream_running_mean": stream_running_mean, "stream_windows": stream_windows}
+def stream_common_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shared_folder(spark, "stream")
+    S.drain(R.common_area_stream(GQ.area_motions(_events(spark, sf_dir)), GQ.AREA_WIDTH, GQ.AREA_HEIGHT), f"{out}/rows", f"{out}/checkpoint", "update")
+    rows = spark.read.schema("session long, frames long, fraction double, batch int").parquet(f"{out}/rows/*")
+    last = rows.groupBy("session").agg(F.max_by(F.struct("frames", "fraction"), "batch").alias("m"))
+    return last.select("session", "m.frames", F.round("m.fraction", 6).alias("fraction"))
+
+
+LIVE_FRAMES, SENSOR = 10, (4096, 3072)
+
+
+def _live_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten frames of every label's stars, as a session: too few stars, the reference, six turned and moved copies, two stars over a
+    plane that was moved around, two stars and no plane. The plane is that of lineitem, one row of a fixed size."""
+    stars = F.transform(F.array_sort(F.collect_list(F.struct("rank", "x", "y", "flux"))), lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y"), s["flux"].alias("flux")))
+    base = G.brightest(GQ._stars(spark, sf_dir)).groupBy(F.col("frame").alias("session")).agg(stars.alias("all"))
+    cells = GQ._plane(spark, sf_dir).select((F.col("y") * 64 + F.col("x")).cast("int").alias("i"), "v")
+    plane = cells.agg(F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("m"))  # 64 by 48 cells
+
+    def rolled(dx: int, dy: int):
+        at = lambda i: F.pmod(F.floor(i / 64) - dy, F.lit(48)) * 64 + F.pmod(i % 64 - dx, F.lit(64))
+        return F.transform(F.sequence(F.lit(0), F.lit(64 * 48 - 1)), lambda i: F.coalesce(F.try_element_at("m", at(i).cast("int")), F.lit(0.0)).cast("float"))
+
+    planes = plane.select(rolled(0, 0).alias("still"), rolled(3, -2).alias("moved"))
+    f = base.crossJoin(F.broadcast(planes)).withColumn("idx", F.explode(F.sequence(F.lit(0), F.lit(LIVE_FRAMES - 1)))).withColumn("idx", F.col("idx").cast("long"))
+    cx, cy = ((n - 1) / 2 for n in SENSOR)
+    t = F.radians(F.col("idx") * 0.75)
+    moved = F.transform("all", lambda s: F.struct(
+        ((s["x"] - cx) * F.cos(t) - (s["y"] - cy) * F.sin(t) + cx + F.col("idx") * 11 - 30).alias("x"), ((s["x"] - cx) * F.sin(t) + (s["y"] - cy) * F.cos(t) + cy + 7 - F.col("idx") * 5).alias("y"), s["flux"].alias("flux")))
+    k = F.col("idx")
+    return f.select(
+        "session", F.timestamp_seconds(k).alias("ts"), "idx", F.when(k == 0, F.slice("all", 1, 5)).when(k == 1, F.col("all")).when(k < 8, moved).otherwise(F.slice("all", 1, 2)).alias("stars"),
+        F.when(k < 8, F.col("still")).when(k == 8, F.col("moved")).alias("plane"), F.when(k < 9, 64).alias("plane_width"), F.lit(2.0).alias("bin"), F.lit(SENSOR[0]).alias("width"), F.lit(SENSOR[1]).alias("height"),
+    )
+
+
+def _outcomes(rows: DataFrame) -> DataFrame:
+    # A correlated shift is read to the pixel.
+    near = lambda c: F.when(F.col("outcome") == "CORRELATED", F.round(c, 0)).otherwise(F.round(c, 4)) + 0.0
+    return rows.select("session", "idx", "outcome", *[near(c).alias(c) for c in ("rotation_deg", "dx", "dy")], (F.col("inliers") >= 8).alias("fitted"), "verdict", "reason")
+
+
+def live_registration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _outcomes(live.register(_live_frames(spark, sf_dir)))
+
+
+def stream_registration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same frames as a stream in three micro-batches: files of the shared folder, in order of frames."""
+    out = shared_folder(spark, "stream")
+    frames = _live_frames(spark, sf_dir)
+    for n, (a, b) in enumerate(((0, 2), (2, 6), (6, LIVE_FRAMES))):
+        frames.where((F.col("idx") >= a) & (F.col("idx") < b)).withColumn("n", F.lit(n)).repartition(1).write.mode("append").partitionBy("n").parquet(f"{out}/frames")
+    schema = spark.read.parquet(f"{out}/frames").drop("n").schema
+    with S.rocks(spark):
+        for n in range(3):  # each run takes what is there and goes on from the checkpoint
+            source = spark.readStream.schema(schema).parquet(f"{out}/frames/n={{{','.join(map(str, range(n + 1)))}}}")
+            S.drain(live.register_stream(source), f"{out}/rows", f"{out}/checkpoint")
+    return _outcomes(spark.read.schema(live.OUTCOME).parquet(f"{out}/rows"))
+
+
+# What was planted: the outcome, the motion and, after five residuals, the verdict of each frame.
+LIVE = f"""WITH s AS (SELECT label::BIGINT AS session, count(*) >= 8 AS able FROM embeddings GROUP BY 1), f AS (SELECT session, able, range AS idx FROM s, range({LIVE_FRAMES})),
+o AS (SELECT *, CASE WHEN NOT able OR idx = 0 THEN 'STARVED' WHEN idx = 1 THEN 'REFERENCE' WHEN idx < 8 THEN 'ASTERISM' WHEN idx = 8 THEN 'CORRELATED' ELSE 'FAILED' END AS outcome FROM f)
+SELECT session, idx, outcome, CASE outcome WHEN 'ASTERISM' THEN round(idx * 0.75::DOUBLE, 4) WHEN 'CORRELATED' THEN 0.0::DOUBLE END AS rotation_deg, CASE outcome WHEN 'ASTERISM' THEN idx * 11 - 30.0::DOUBLE WHEN 'CORRELATED' THEN 6.0::DOUBLE END AS dx,
+  CASE outcome WHEN 'ASTERISM' THEN 7.0::DOUBLE - idx * 5 WHEN 'CORRELATED' THEN -4.0::DOUBLE END AS dy, outcome = 'ASTERISM' AS fitted, CASE WHEN outcome = 'ASTERISM' AND idx >= 7 THEN 'STEADY' ELSE 'UNKNOWN' END AS verdict,
+  CASE WHEN outcome IN ('CORRELATED', 'FAILED') THEN '{live.NO_MATCH}' END AS reason FROM o"""
+QUERIES = {"live_registration": live_registration, "stream_registration": stream_registration, "stream_common_area": stream_common_area, "stream_gate": stream_gate, "stream_residual": stream_residual, "stream_focus": stream_focus, "stream_running_mean": stream_running_mean, "stream_windows": stream_windows}
 ORACLES = {
+    "live_registration": LIVE, "stream_registration": LIVE, "stream_common_area": GQ.AREA,
     "stream_gate": Q.GATE, "stream_residual": Q.SPIKES, "stream_focus": Q.ORACLES["focus_monitor"],
     "stream_running_mean": Q.ORACLES["preview_mean"],
     "stream_windows": "SELECT date_trunc('hour', ts) AS start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +15,18 @@ def file_stream(spark: SparkSession, path: str, schema: str, name_glob: str = "*
     return spark.readStream.schema(schema).option("pathGlobFilter", name_glob).option("maxFilesPerTrigger", files_a_batch).parquet(path)
 
 
+@contextlib.contextmanager
+def rocks(spark: SparkSession) -> Iterator[None]:
+    """State of several kinds and timers need the RocksDB store; the session's own choice comes back afterwards."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def drain(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
     """Runs a stream over what is there now and writes its rows as Parquet. Updates are written batch by batch, each with its
     number, and a batch that runs twice replaces itself."""
