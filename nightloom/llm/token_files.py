@@ -31,7 +31,7 @@ import json
 import os
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -100,18 +100,20 @@ class Encoder:
 
     def _learn(self, stretches: list[str]) -> None:
         # Marks after an ASCII letter or digit are words of their own, so what stands before them is shared.
-        parted = []
+        marked = {}
         for w in stretches:
-            base = w.rstrip(MARKS)
-            parted.append((base, w[len(base) :]) if base and len(base) < len(w) and base[-1].isascii() and base[-1].isalnum() else (w, ""))
-        new = sorted({p for pair in parted for p in pair}.difference(self.kept, ("",)))
-        letters, others = [w for w in new if w.isalpha()], [w for w in new if not w.isalpha()]
+            if w[-1] in MARKS:
+                base = w.rstrip(MARKS)
+                if base and base[-1].isascii() and base[-1].isalnum():
+                    marked[w] = base
+        new = {w for w in stretches if w not in marked}.union(marked.values(), (w[len(base) :] for w, base in marked.items())).difference(self.kept)
+        letters = [w for w in new if w.isalpha()]
+        others = list(new.difference(letters))
         for some, learn in ((letters, self._words), (others, self._apart)):
             for a in range(0, len(some), AT_ONCE):
                 learn(some[a : a + AT_ONCE])
-        for w, (base, marks) in zip(stretches, parted, strict=True):
-            if marks:
-                self.kept[w] = self.kept[base] + self.kept[marks]
+        for w, base in marked.items():
+            self.kept[w] = self.kept[base] + self.kept[w[len(base) :]]
 
     def __call__(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text, with the end id."""
@@ -192,7 +194,7 @@ def encoded(docs: DataFrame, path: str, folder: str, digest: str, end: int = END
                 n, crc, frame = [], [], []
                 for ids in encoder(part.column(1)):
                     n.append(len(ids))
-                    crc.append(zlib.crc32(ids.astype("<u4").tobytes()))
+                    crc.append(zlib.crc32(ids.astype("<u4")))
                     frame.append(packer.compress(ids.tobytes()))
                 columns = [pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(frame, pa.binary())]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", "n_tokens", "crc", "frame"])
@@ -334,8 +336,8 @@ def _manifest(spark: SparkSession, folder: str) -> DataFrame:
     return files.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "file")
 
 
-def read_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, start (ids of all documents before), n_tokens, ids of every document of a written folder."""
+def _read(spark: SparkSession, folder: str, table: Callable[[list[tuple]], pa.RecordBatch], schema: str) -> DataFrame:
+    """A table of (doc_id, start, ids) of the documents of a written folder, about a million ids at a time."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -343,36 +345,39 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
                 held: list[tuple] = []
                 size = 0
                 for doc_id, ids in TokenFile(folder, name).all():
-                    held.append((doc_id, start, len(ids), ids.astype(np.int32)))
+                    held.append((doc_id, start, ids))
                     start += len(ids)
                     size += len(ids)
                     if size >= 1 << 20:
-                        yield _batch(held)
+                        yield table(held)
                         held, size = [], 0
                 if held:
-                    yield _batch(held)
+                    yield table(held)
 
-    return _manifest(spark, folder).select("file", "start").mapInArrow(read, "doc_id long, start long, n_tokens long, ids array<int>")
+    return _manifest(spark, folder).select("file", "start").mapInArrow(read, schema)
 
 
-def _batch(held: list[tuple]) -> pa.RecordBatch:
-    doc_id, start, n, ids = zip(*held, strict=True)
-    at = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-    columns = [pa.array(doc_id, pa.int64()), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(ids)))]
-    return pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids"])
+def _with_ids(held: list[tuple]) -> pa.RecordBatch:
+    doc_id, start, ids = zip(*held, strict=True)
+    n = [len(x) for x in ids]
+    flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(np.concatenate(ids).astype(np.int32)))
+    return pa.RecordBatch.from_arrays([pa.array(doc_id, pa.int64()), pa.array(start, pa.int64()), pa.array(n, pa.int64()), flat], ["doc_id", "start", "n_tokens", "ids"])
 
 
-def digests(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 (of the ids as little-endian 32-bit integers), read back from the files."""
+def _with_crc(held: list[tuple]) -> pa.RecordBatch:
+    doc_id, start, ids = zip(*held, strict=True)
+    columns = [doc_id, start, [len(x) for x in ids], [zlib.crc32(x.astype("<u4")) for x in ids]]
+    return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in columns], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(3)
-            flat, at = ids.values.to_numpy(), ids.offsets.to_numpy()
-            got = [zlib.crc32(flat[a:b].astype("<u4").tobytes()) for a, b in zip(at, at[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(got, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return read_documents(spark, folder).mapInArrow(crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
+def read_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, start (ids of all documents before), n_tokens, ids of every document of a written folder."""
+    return _read(spark, folder, _with_ids, "doc_id long, start long, n_tokens long, ids array<int>")
+
+
+def digests(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 (of the ids as little-endian 32-bit integers), read back from the files."""
+    return _read(spark, folder, _with_crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
