@@ -48,10 +48,16 @@ def sketches(sets: DataFrame, threshold: float) -> DataFrame:
     return grouped.select("item_id", "n_item", F.floor(F.log2(F.col("n_item"))).cast("int").alias("class"), F.slice("all", F.lit(1), (miss + 1).cast("int")).alias("sketch"))
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """doc_id, item_id, n_item, n_shared, containment of every pair with containment >= threshold."""
+def row_key(docs: DataFrame) -> Column:
+    """Names a row by its doc_id and its text: rows that share both share their verdict."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def _matches(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """row, doc_id, item_id, n_item, n_shared of every row and item with containment >= threshold."""
     spark = docs.sparkSession
-    docs = C.documents_only(docs).withColumn("row", F.xxhash64("doc_id", "text"))
+    docs = C.documents_only(docs)
+    docs = docs.withColumn("row", row_key(docs))
     path = C.shared_dir(spark)
     sets = C.stored(item_sets(items), f"{path}/items")
     found = sketches(sets, threshold)
@@ -63,13 +69,24 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> Dat
     pairs = C.stored(pairs, f"{path}/pairs")
     hit = each(docs.join(pairs.select("row").distinct(), "row", "left_semi")).select("row", "doc_id", F.explode("set").alias("shingle")).distinct()
     met = hit.join(pairs, "row").join(sets, ["item_id", "shingle"])
-    shared = met.groupBy("row", "doc_id", "item_id").agg(F.count("*").alias("n_shared")).groupBy("doc_id", "item_id").agg(F.max("n_shared").alias("n_shared"))
-    sizes = found.select("item_id", "n_item")
-    return (
-        shared.join(sizes, "item_id")
-        .select("doc_id", "item_id", F.col("n_item").cast("long").alias("n_item"), "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"))
-        .where(F.col("n_shared") >= F.lit(threshold) * F.col("n_item") - 1e-9)
-    )
+    shared = met.groupBy("row", "doc_id", "item_id").agg(F.count("*").alias("n_shared")).join(found.select("item_id", F.col("n_item").cast("long").alias("n_item")), "item_id")
+    return shared.where(F.col("n_shared") >= F.lit(threshold) * F.col("n_item") - 1e-9)
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """doc_id, item_id, n_item, n_shared, containment of every pair with containment >= threshold."""
+    shared = _matches(docs, items, threshold).groupBy("doc_id", "item_id", "n_item").agg(F.max("n_shared").alias("n_shared"))
+    return shared.select("doc_id", "item_id", "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"))
+
+
+def drop_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """The rows of docs, with all their columns, whose own text holds no item."""
+    leaks = _matches(docs, items, threshold).select(F.col("row").alias(_ROW)).distinct()
+    return docs.withColumn(_ROW, row_key(docs)).join(leaks.hint("shuffle_hash"), _ROW, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+#: The name of a row's key beside a table's own columns.
+_ROW = "nightloom row"
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,8 @@ the document that keeps it. Batches are taken from the largest doc_ids downwards
 anti-joined with the runs: a key that no run holds is new, and the batch's largest doc_id keeps it for good; a
 key that a run holds only adds to the count. The batch is then added as a run of its own on level 0; `fanout`
 runs of one level are merged into one run of the next. The rows of a batch are written apart when lines are
-hashed, so each batch reads its own rows only; with five batches and a fanout of four, the first four runs are compacted
-and the fifth batch meets the level above.
+hashed, so each batch reads its own rows only. A batch takes BATCH_BYTES of texts, or a share of the table where that would
+make more than MOST_BATCHES.
 
 Defined results: a null or empty text is one empty line; a null doc_id ranks below every other id, and rows
 with the same doc_id count as one document; short keys are never dropped; extra columns are ignored.
@@ -76,10 +76,17 @@ class LineRuns:
             C.delete_dir(self.spark, name)
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 5, fanout: int = 4, carry: bool = False) -> DataFrame:
+#: Bytes of texts in a batch, about, and the most batches: then batches grow with the table.
+BATCH_BYTES, MOST_BATCHES = 100 << 20, 64
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int | None = None, fanout: int = 4, carry: bool = False) -> DataFrame:
     """doc_id, text, lines (before), dropped_lines, kept_text: lines whose key of at least min_chars code points
     stands in at least min_docs documents go, except in the largest doc_id that holds the key. With carry,
-    the columns of docs, with the kept text for the text (the others in a struct meanwhile, so that no name can clash)."""
+    the columns of docs, with the kept text for the text (the others in a struct meanwhile, so that no name can clash).
+
+    What goes is joined by the places of lines: a row learns which of its lines go, by place, and takes the others by place, so
+    its work grows with its lines. Rows are named by doc_id and text, so rows that share a doc_id spread."""
     spark = docs.sparkSession
     columns = docs.columns
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.struct(F.col("doc_id"), *[F.col(f"`{c}`") for c in columns if c not in ("doc_id", "text")]).alias("row")] if carry else []))
@@ -87,34 +94,35 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     path = C.shared_dir(spark)
     low = F.lit(-(2**63)).cast("long")
     rank = F.coalesce(F.col("doc_id"), low)
+    key = F.xxhash64("doc_id", "text")
     lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
-    hashes = F.array_distinct(
-        F.transform(F.filter(F.transform(lines, line_key), lambda k: F.length(k) >= min_chars), key_hash)
-    )
+    named = lambda x, i, row: C.once(line_key(x), lambda k: F.when(F.length(k) >= min_chars, F.struct(row.alias("key"), i.alias("at"), key_hash(k).alias("h"))))
+    # The row's key is made before its lines are told apart, so that no line carries the text.
+    hashes = C.once(key, lambda row: F.filter(F.transform(lines, lambda x, i: named(x, i, row)), lambda h: h.isNotNull()))
+    if batches is None:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        batches = min(MOST_BATCHES, -(-size // BATCH_BYTES) or 1)
     ranks = docs.select(rank.alias("rank"))
     cuts = ranks.agg(F.percentile_approx("rank", [i / batches for i in range(1, batches)], 1000)).first()[0] if batches > 1 else []
     cuts = sorted(set(cuts or ()))
     batch = len(cuts) - sum(((F.col("rank") > c).cast("int") for c in cuts), F.lit(0))  # the largest ids are batch 0
-    keyed = docs.select(rank.alias("rank"), F.explode(hashes).alias("h")).select("rank", "h.k1", "h.k2").withColumn("batch", batch.cast("int"))
+    keyed = docs.select(rank.alias("rank"), F.explode(hashes).alias("h")).select("rank", "h.key", "h.at", "h.h.k1", "h.h.k2").withColumn("batch", batch.cast("int"))
     keyed.write.partitionBy("batch").parquet(f"{path}/lines")
-    keyed = spark.read.schema("rank long, k1 long, k2 long, batch int").parquet(f"{path}/lines")
+    keyed = spark.read.schema("rank long, key long, at int, k1 long, k2 long, batch int").parquet(f"{path}/lines")
     runs = LineRuns(spark, f"{path}/runs", fanout)
     for k in range(len(cuts) + 1):
         runs.add(keyed.where(F.col("batch") == k).select("rank", "k1", "k2").distinct().groupBy("k1", "k2").agg(F.count("*").alias("n_docs"), F.max("rank").alias("keeper")))
     # Written first, so that the join below has plain shuffles on both sides and a very common key can be split.
     common = C.stored(runs.merged().where(F.col("n_docs") >= min_docs).select("k1", "k2", "keeper"), f"{path}/common")
-    drops = keyed.drop("batch").join(common, ["k1", "k2"]).where(F.col("rank") != F.col("keeper")).groupBy("rank").agg(F.collect_set(F.struct("k1", "k2")).alias("drop"))
-    kept = F.filter(
-        lines,
-        lambda x: C.once(
-            line_key(x), lambda k: (F.length(k) < min_chars) | ~F.array_contains(F.col("drop"), key_hash(k))
-        ),
-    )
-    joined = docs.withColumn("rank", rank).join(drops.hint("shuffle_hash"), "rank", "left")
-    # The kept lines come in an array of one, so that they are made once for both columns that use them.
+    drops = keyed.drop("batch").join(common, ["k1", "k2"]).where(F.col("rank") != F.col("keeper")).groupBy("key").agg(F.collect_set("at").alias("drop"))
+    joined = docs.withColumn("key", key).join(drops.hint("shuffle_hash"), "key", "left")
+    # What stays comes in an array of one, so that it is made once for the columns that use it.
+    places = lambda all_: F.array_except(F.sequence(F.lit(0), F.size(all_) - 1), F.col("drop"))
+    stay = lambda all_: F.when(F.col("drop").isNull(), all_).otherwise(F.transform(places(all_), lambda i: all_[i]))
+    split = C.once(lines, lambda all_: F.struct(F.size(all_).alias("n"), stay(all_).alias("kept")))
     out = (
-        joined.select("doc_id", "text", *beside, F.size(lines).cast("long").alias("lines"), F.explode(F.array(F.when(F.col("drop").isNull(), lines).otherwise(kept))).alias("kept_lines"))
-        .select("doc_id", "text", *beside, "lines", (F.col("lines") - F.size("kept_lines")).alias("dropped_lines"), F.array_join("kept_lines", "\n").alias("kept_text"))
+        joined.select("doc_id", "text", *beside, F.explode(F.array(split)).alias("split"))
+        .select("doc_id", "text", *beside, F.col("split.n").cast("long").alias("lines"), (F.col("split.n") - F.size("split.kept")).cast("long").alias("dropped_lines"), F.array_join("split.kept", "\n").alias("kept_text"))
     )
     return out.select(*[F.col("kept_text" if c == "text" else f"row.`{c}`").alias(c) for c in columns]) if carry else out
 

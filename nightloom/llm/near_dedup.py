@@ -344,6 +344,24 @@ def near_duplicates(docs: DataFrame, width: int = 4, orders: int = 12, near: int
     return named.select("doc_id", "d1", "d2", "n_shingles").join(classes, ["d1", "d2", "n_shingles"]).select("doc_id", "n_shingles", "component_id").unionByName(alone)
 
 
+#: The name of a row's number beside a table's own columns.
+_ROW = "nightloom row"
+
+
+def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
+    """The rows of docs, with all their columns, one of each component: that with the least doc_id (a null last), of equal ones
+    the first written. Rows are numbered, so that texts under one doc_id, copies under none and repeated rows are rows of
+    their own; a row without words stays."""
+    path = C.shared_dir(docs.sparkSession)
+    rows = C.stored(docs.withColumn(_ROW, F.monotonically_increasing_id()), f"{path}/numbered")
+    classes = near_duplicates(rows.select(F.col(f"`{_ROW}`").alias("doc_id"), "text"), width)
+    ids = rows.select(F.col(f"`{_ROW}`").alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
+    ranked = classes.select(F.col("doc_id").alias("row"), "component_id").join(ids, "row")
+    first = ranked.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("first"))
+    kept = first.select(F.col("first.row").alias(_ROW))
+    return rows.join(kept.hint("shuffle_hash"), _ROW, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(C.table(spark, sf_dir, "documents"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

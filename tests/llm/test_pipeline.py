@@ -39,7 +39,7 @@ def test_stages(spark):
 
 
 def test_odd_rows(spark):
-    docs = H.table(spark, [(1, None), (2, ""), (None, "some text of a null id"), (3, "good words here"), (3, "good words here")], extra=True)
+    docs = H.table(spark, [(1, None), (2, ""), (None, "some text of a null id"), (3, "good words here"), (3, "other words there")], extra=True)
     for _, stage in P.STAGES[1:4]:
         out = stage(spark, docs, DATA)
         assert out.columns == docs.columns
