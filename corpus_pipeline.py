@@ -40,16 +40,13 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies (five-word shingles), the smallest doc_id."""
-    classes = near_dedup.near_duplicates(_text(docs), width=5)
-    gone = classes.where("doc_id <> component_id").select("doc_id").distinct()
-    return _like(docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti"), docs)
+    """One row of each component of near copies (five-word shingles): that with the smallest doc_id."""
+    return near_dedup.keep_one(docs, width=5)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item (0.8 of its five-word shingles)."""
-    gone = decontaminate.find_leaks(docs, C.table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return _like(docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti"), docs)
+    """Rows whose own text holds no benchmark item (0.8 of its five-word shingles)."""
+    return decontaminate.drop_leaks(docs, C.table(spark, sf_dir, "benchmark"))
 
 
 def sentence_piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
