@@ -121,17 +121,19 @@ def separation_degrees(alt_a: Column, az_a: Column, alt_b: Column, az_b: Column)
 
 
 def night_plan(nights: DataFrame, by: str) -> DataFrame:
-    """Every night with its group's reference (most integration among nights with frames, ties by folder) and a verdict.
+    """Every night with its group's reference (most integration among nights with frames, ties by folder) and a verdict; where no
+    night of a group has frames, there is no reference and each is REJECT_EMPTY.
 
     nights: by, folder, camera, integration_seconds, frames, altitude, azimuth. The reference is one row a group."""
     reference = (
         nights.where("frames > 0").groupBy(by)
         .agg(F.max_by(F.struct("folder", "camera", "altitude", "azimuth"), F.struct("integration_seconds", "folder")).alias("ref"))
     )
-    n = nights.join(reference, by)
+    n = nights.join(reference, by, "left")
     apart = separation_degrees(F.col("ref.altitude"), F.col("ref.azimuth"), F.col("altitude"), F.col("azimuth"))
     verdict = (
-        F.when(F.col("folder") == F.col("ref.folder"), F.lit("REFERENCE"))
+        F.when(F.col("ref").isNull(), F.lit("REJECT_EMPTY"))
+        .when(F.col("folder") == F.col("ref.folder"), F.lit("REFERENCE"))
         .when(F.col("camera") != F.col("ref.camera"), F.lit("REJECT_CAMERA"))
         .when(apart > MAX_POINTING_DEGREES, F.lit("REJECT_POINTING"))
         .when(F.col("frames") <= 0, F.lit("REJECT_EMPTY"))

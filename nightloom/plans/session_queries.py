@@ -78,7 +78,7 @@ def sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def night_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.night_plan(sessions(spark, sf_dir).withColumn("frames", F.col("lights") - 10), "target")
+    return S.night_plan(sessions(spark, sf_dir).withColumn("frames", F.col("lights") - 25), "target")
 
 
 def _settings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -149,10 +149,10 @@ SELECT folder, (l + d + m)::BIGINT AS total_bytes, CASE WHEN best IS NULL THEN N
     "distinct_cameras": f"{SQL} SELECT DISTINCT camera, state FROM s WHERE camera <> ''",
     "day_naming": f"{SQL}, n AS (SELECT folder, strftime(started, '%Y-%m-%d') AS day, row_number() OVER (PARTITION BY strftime(started, '%Y-%m-%d') ORDER BY started, folder) AS n FROM s) SELECT folder, CASE WHEN n = 1 THEN day ELSE day || '-' || n END AS day_name FROM n",
     "sanitise": "SELECT p_partkey, coalesce(nullif(left(trim(regexp_replace(trim(' /' || p_name || '/' || p_brand || '/*/' || p_type || '/?'), '[^A-Za-z0-9._-]+', '-', 'g'), '-'), 48), ''), 'session') AS name FROM part",
-    "night_plan": f"""{SQL}, n AS (SELECT *, lights - 10 AS frames FROM s), r AS (SELECT target, arg_max({{'folder': folder, 'camera': camera, 'alt': altitude, 'az': azimuth}}, (integration_seconds, folder)) AS ref FROM n WHERE frames > 0 GROUP BY 1),
-j AS (SELECT n.*, ref, abs(azimuth - ref.az) AS turn FROM n JOIN r USING (target)),
+    "night_plan": f"""{SQL}, n AS (SELECT *, lights - 25 AS frames FROM s), r AS (SELECT target, arg_max({{'folder': folder, 'camera': camera, 'alt': altitude, 'az': azimuth}}, (integration_seconds, folder)) AS ref FROM n WHERE frames > 0 GROUP BY 1),
+j AS (SELECT n.*, ref, abs(azimuth - ref.az) AS turn FROM n LEFT JOIN r USING (target)),
 k AS (SELECT *, sqrt(pow(altitude - ref.alt, 2) + pow((CASE WHEN turn > 180 THEN 360 - turn ELSE turn END) * cos(radians((altitude + ref.alt) / 2)), 2)) AS apart FROM j)
-SELECT target, folder, ref.folder AS reference, CASE WHEN folder = ref.folder THEN 'REFERENCE' WHEN camera <> ref.camera THEN 'REJECT_CAMERA' WHEN apart > 15 THEN 'REJECT_POINTING' WHEN frames <= 0 THEN 'REJECT_EMPTY' ELSE 'INCLUDE' END AS verdict FROM k""",
+SELECT target, folder, ref.folder AS reference, CASE WHEN ref IS NULL THEN 'REJECT_EMPTY' WHEN folder = ref.folder THEN 'REFERENCE' WHEN camera <> ref.camera THEN 'REJECT_CAMERA' WHEN apart > 15 THEN 'REJECT_POINTING' WHEN frames <= 0 THEN 'REJECT_EMPTY' ELSE 'INCLUDE' END AS verdict FROM k""",
     "version_diff": f"WITH {SETTINGS} SELECT p_partkey, setting, a, b FROM d WHERE a IS DISTINCT FROM b",
     "staleness": f"WITH {SETTINGS} SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN 'UNKNOWN' WHEN bool_or(a IS DISTINCT FROM b) THEN 'STALE' ELSE 'CURRENT' END AS verdict FROM d GROUP BY 1",
     "next_version": f"{SQL} SELECT target, max(folder::BIGINT) + 1 AS next_id, arg_max(state, folder::BIGINT) AS current_label FROM s GROUP BY 1",

@@ -45,6 +45,45 @@ def listing(uri: str, suffix: str) -> list[tuple[str, int]]:
     return sorted((f.path, f.size) for f in found if f.type == pafs.FileType.File and f.path.endswith(suffix) and not hidden(f.path))
 
 
+def put(uri: str, content: bytes) -> None:
+    """A file written under a name of its own, then moved in place: a reader sees the old one or the new one, whole."""
+    store, path = open_store(uri)
+    store.create_dir(os.path.dirname(path), recursive=True)
+    draft = f"{os.path.dirname(path)}/_{uuid.uuid4().hex}"
+    with store.open_output_stream(draft) as out:
+        out.write(content)
+    store.move(draft, path)
+
+
+def get(uri: str) -> bytes | None:
+    store, path = open_store(uri)
+    if store.get_file_info(path).type != pafs.FileType.File:
+        return None
+    with store.open_input_stream(path) as f:
+        return f.read()
+
+
+def exists(uri: str) -> bool:
+    store, path = open_store(uri)
+    return store.get_file_info(path).type != pafs.FileType.NotFound
+
+
+def inside(root: str, name: str) -> str:
+    """The URI of a folder of root; a name that leads elsewhere is refused."""
+    if not name or name in (".", "..") or "/" in name or "\\" in name or name[0] == "_":
+        raise ValueError(f"not a folder of {root}: {name!r}")
+    return f"{root.rstrip('/')}/{name}"
+
+
+def delete(uri: str) -> bool:
+    """Whether there was a folder, which is gone now."""
+    store, path = open_store(uri)
+    there = store.get_file_info(path).type == pafs.FileType.Directory
+    if there:
+        store.delete_dir(path)
+    return there
+
+
 class Ranges:
     """An open file that is sliced like bytes. Small reads come from pages that are kept, large ones go straight to the file;
     bytes_read says what was asked of the store, known whether the file's header could be read."""

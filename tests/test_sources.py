@@ -144,3 +144,38 @@ def test_named_files(spark, tmp_path):
         frames.write_files(rows.withColumn("content", F.when(F.col("name") != "f07", F.col("content"))).withColumn("name", F.concat(F.lit("z"), "name")), f"file://{tmp_path}/x", ".bin")
     assert len(left(tmp_path / "x")) == 20
     assert frames.register(spark).read.format("linear_bands").load(f"file://{tmp_path}/x").count() == 0
+
+
+def test_flat_library(spark, tmp_path):
+    from nightloom.sources.library import FlatLibrary
+
+    flats = FlatLibrary(spark, f"file://{tmp_path}/store")
+    assert flats.cameras().count() == 0 and flats.info("0") is None and flats.flat("0", 40, 30) is None
+    v = np.random.default_rng(1).random((30, 40, 1)).astype("f4")
+    bands = lambda x: master(spark, x, rows=7).select("top", "values")
+    flats.save("0", bands(v), 40, 30, frames=16, iso=800)
+    flats.save("back/wide", bands(v + 1), 40, 30, frames=9)
+    got = np.concatenate([np.array(r["values"], np.float32) for r in flats.flat("0", 40, 30, band_rows="8").orderBy("top").collect()]).reshape(30, 40, 1)
+    np.testing.assert_array_equal(got, v)
+    assert flats.flat("0", 30, 40) is None and flats.flat("0", 80, 60) is None
+    assert sorted((r.camera, r.frames, r.iso) for r in flats.cameras().collect()) == [("0", 16, 800), ("back/wide", 9, None)]
+    flats.save("0", bands(v[:20]), 40, 20, frames=5)  # takes the old one's place
+    assert flats.flat("0", 40, 30) is None and flats.flat("0", 40, 20).count() == 1 and flats.info("0")["frames"] == 5
+    assert flats.delete("0") and not flats.delete("0") and [r.camera for r in flats.cameras().collect()] == ["back/wide"]
+
+
+def test_session_store(spark, tmp_path):
+    from nightloom.sources.library import SessionStore
+
+    sessions = SessionStore(spark, f"file://{tmp_path}/sessions")
+    assert sessions.folders().count() == 0
+    assert [sessions.create("2024-05-01"), sessions.create("2024-05-01"), sessions.create("2024-05-03")] == ["2024-05-01", "2024-05-01-2", "2024-05-03"]
+    sessions.write_log("2024-05-03", {"lights": 3})
+    frames.write_files(spark.createDataFrame([("f1", b"x" * 100), ("f2", b"y" * 50)], "name string, content binary"), f"file://{tmp_path}/sessions/2024-05-03", ".dng")
+    assert sessions.read_log("2024-05-03") == {"lights": 3} and sessions.read_log("none") is None
+    assert [(r.folder, r.files, r.size_bytes) for r in sessions.folders().collect()] == [("2024-05-03", 3, 163), ("2024-05-01-2", 1, 2), ("2024-05-01", 1, 2)]
+    for bad in ("", "..", "a/b", "/etc"):
+        with pytest.raises(ValueError, match="not a folder"):
+            sessions.delete(bad)
+    assert sessions.delete("2024-05-01") and not sessions.delete("2024-05-01") and sessions.folders().count() == 2
+    assert not [p for p in left(tmp_path) if p.startswith("_")]
