@@ -51,7 +51,7 @@ SAMPLE_DOCS, SAMPLE_PIECES, PIECE_IDS = 1000, 4, 1024
 DICTIONARY_BYTES, LEVEL = 1 << 16, 3
 #: Bytes of frames in a file, about; bytes of texts and stretches that are encoded at a time; stretches that a worker remembers
 #: beside those of a block, and the characters beyond which it does not.
-FILE_BYTES, BLOCK_BYTES, AT_ONCE, REMEMBERED, LONG = 64 << 20, 8 << 20, 4096, 400_000, 64
+FILE_BYTES, BLOCK_BYTES, AT_ONCE, REMEMBERED, LONG = 64 << 20, 8 << 20, 4096, 800_000, 64
 #: How the vocabulary names ids that end a word, and marks that are words of their own after an ASCII letter or digit.
 WORD_END, MARKS = "</w>", ".,;:!?"
 MANIFEST = "file string, documents long, ids long, start long"
