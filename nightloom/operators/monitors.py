@@ -233,3 +233,18 @@ def interval_join(points: DataFrame, spans: DataFrame, by: list[str], at: str, s
     p = points.withColumn("_slot", slot(at))
     s = spans.withColumn("_slot", F.explode(F.sequence(slot(start), slot(end))))
     return s.join(p, [*by, "_slot"]).where((F.col(at) > F.col(start)) & (F.col(at) <= F.col(end))).drop("_slot")
+
+
+def interval_join_stream(points: DataFrame, spans: DataFrame, by: list[str], at: str, start: str, end: str, longest: str, late: str) -> DataFrame:
+    """interval_join of two streams (times are timestamps). Each side has a watermark `late` behind its newest row, and rows behind
+    it are dropped; no span may be longer than `longest`, so a point is kept until the spans' watermark is that far beyond it,
+    and a span until the points' watermark has passed its end."""
+    too_long = F.raise_error(F.lit(f"a span is longer than {longest}"))
+    s = spans.withColumn(end, F.when(F.col(end) > F.col(start) + F.expr(f"INTERVAL {longest}"), too_long.cast("timestamp")).otherwise(F.col(end))).withWatermark(end, late).alias("s")
+    p = points.withWatermark(at, late).alias("p")
+    same = [F.col(f"s.{c}") == F.col(f"p.{c}") for c in by]
+    inside = (F.col(f"p.{at}") > F.col(f"s.{start}")) & (F.col(f"p.{at}") <= F.col(f"s.{end}")) & (F.col(f"p.{at}") >= F.col(f"s.{end}") - F.expr(f"INTERVAL {longest}"))
+    on = inside
+    for c in same:
+        on = on & c
+    return s.join(p, on).select(*[F.col(f"s.{c}") for c in spans.columns], *[F.col(f"p.{c}") for c in points.columns if c not in by])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nightloom.operators import geometry as G
-from nightloom.operators import live, monitors
+from nightloom.operators import live, monitors, pointing
 from nightloom.operators import registration as R
 from nightloom.plans import frame_queries as Q
 from nightloom.plans import geometry_queries as GQ
@@ -68,6 +68,27 @@ def stream_common_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select("session", "m.frames", F.round("m.fraction", 6).alias("fraction"))
 
 
+def stream_gyro(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks as exposures of six hours, views as gyro samples, as two streams: the samples that fall into each exposure."""
+    out = shared_folder(spark, "stream")
+    e = _events(spark, sf_dir).withColumn("t", F.col("ts").cast("timestamp"))
+    gyro = e.where("event_type = 'view'").select("user_id", "t", F.col("value").alias("tilt"))
+    spans = e.where("event_type = 'click'").select("user_id", "event_id", F.col("t").alias("t_start"), (F.col("t") + F.expr("INTERVAL 6 HOURS")).alias("t_end"))
+    S.drain(monitors.interval_join_stream(gyro, spans, ["user_id"], "t", "t_start", "t_end", "6 HOURS", "1 hour"), f"{out}/rows", f"{out}/checkpoint")
+    rows = spark.read.schema("user_id long, event_id long, t_start timestamp, t_end timestamp, t timestamp, tilt double").parquet(f"{out}/rows")
+    return rows.groupBy("event_id").agg(F.count("*").alias("n_samples"), F.min("tilt").alias("low"), F.max("tilt").alias("high"))
+
+
+def pointing_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as directions: an average by user that takes a sample every six hours at most."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    ms = F.unix_millis((F.col("ts") - F.lit("2000-01-01").cast("timestamp_ntz") + F.lit("2000-01-01 00:00:00+00:00").cast("timestamp")))
+    turn, up = F.radians(F.col("value") * 3), F.radians(F.col("event_id") % 80)
+    s = e.select(F.col("user_id").alias("session"), ms.alias("ts"), F.col("event_id").alias("idx"), (F.cos(up) * F.sin(turn)).alias("x"), (F.cos(up) * F.cos(turn)).alias("y"), F.sin(up).alias("z"))
+    got = pointing.average(s, interval_ms=6 * 3_600_000, block_ms=90 * 86_400_000)
+    return got.select("session", "idx", *[F.round(c, 6).alias(c) for c in "xyz"])
+
+
 LIVE_FRAMES, SENSOR = 10, (4096, 3072)
 
 
@@ -126,8 +147,18 @@ o AS (SELECT *, CASE WHEN NOT able OR idx = 0 THEN 'STARVED' WHEN idx = 1 THEN '
 SELECT session, idx, outcome, CASE outcome WHEN 'ASTERISM' THEN round(idx * 0.75::DOUBLE, 4) WHEN 'CORRELATED' THEN 0.0::DOUBLE END AS rotation_deg, CASE outcome WHEN 'ASTERISM' THEN idx * 11 - 30.0::DOUBLE WHEN 'CORRELATED' THEN 6.0::DOUBLE END AS dx,
   CASE outcome WHEN 'ASTERISM' THEN 7.0::DOUBLE - idx * 5 WHEN 'CORRELATED' THEN -4.0::DOUBLE END AS dy, outcome = 'ASTERISM' AS fitted, CASE WHEN outcome = 'ASTERISM' AND idx >= 7 THEN 'STEADY' ELSE 'UNKNOWN' END AS verdict,
   CASE WHEN outcome IN ('CORRELATED', 'FAILED') THEN '{live.NO_MATCH}' END AS reason FROM o"""
-QUERIES = {"live_registration": live_registration, "stream_registration": stream_registration, "stream_common_area": stream_common_area, "stream_gate": stream_gate, "stream_residual": stream_residual, "stream_focus": stream_focus, "stream_running_mean": stream_running_mean, "stream_windows": stream_windows}
+# Every sample in order; the state moves on where one counts.
+POINTING = """WITH RECURSIVE v AS (SELECT user_id AS session, event_id AS idx, ts, cos(radians(event_id % 80)) * sin(radians(value * 3)) AS x, cos(radians(event_id % 80)) * cos(radians(value * 3)) AS y, sin(radians(event_id % 80)) AS z FROM events),
+s AS (SELECT session, idx, ts, x / sqrt(x * x + y * y + z * z) AS x, y / sqrt(x * x + y * y + z * z) AS y, z / sqrt(x * x + y * y + z * z) AS z, row_number() OVER (PARTITION BY session ORDER BY ts, idx) AS n FROM v),
+r AS (SELECT session, n, idx, ts AS last, x, y, z, true AS counts FROM s WHERE n = 1
+  UNION ALL
+  SELECT s.session, s.n, s.idx, CASE WHEN s.ts >= r.last + INTERVAL 6 HOUR THEN s.ts ELSE r.last END, CASE WHEN s.ts >= r.last + INTERVAL 6 HOUR THEN r.x + 0.2::DOUBLE * (s.x - r.x) ELSE r.x END, CASE WHEN s.ts >= r.last + INTERVAL 6 HOUR THEN r.y + 0.2::DOUBLE * (s.y - r.y) ELSE r.y END,
+    CASE WHEN s.ts >= r.last + INTERVAL 6 HOUR THEN r.z + 0.2::DOUBLE * (s.z - r.z) ELSE r.z END, s.ts >= r.last + INTERVAL 6 HOUR FROM r JOIN s ON s.session = r.session AND s.n = r.n + 1)
+SELECT session, idx, round(x / sqrt(x * x + y * y + z * z), 6) AS x, round(y / sqrt(x * x + y * y + z * z), 6) AS y, round(z / sqrt(x * x + y * y + z * z), 6) AS z FROM r WHERE counts"""
+QUERIES = {"stream_gyro": stream_gyro, "pointing_average": pointing_average, "live_registration": live_registration, "stream_registration": stream_registration, "stream_common_area": stream_common_area, "stream_gate": stream_gate, "stream_residual": stream_residual, "stream_focus": stream_focus, "stream_running_mean": stream_running_mean, "stream_windows": stream_windows}
 ORACLES = {
+    "stream_gyro": """SELECT c.event_id, count(*)::BIGINT AS n_samples, min(g.value) AS low, max(g.value) AS high FROM events c JOIN events g ON g.user_id = c.user_id AND g.event_type = 'view' AND c.event_type = 'click' AND g.ts > c.ts AND g.ts <= c.ts + INTERVAL 6 HOUR GROUP BY 1""",
+    "pointing_average": POINTING,
     "live_registration": LIVE, "stream_registration": LIVE, "stream_common_area": GQ.AREA,
     "stream_gate": Q.GATE, "stream_residual": Q.SPIKES, "stream_focus": Q.ORACLES["focus_monitor"],
     "stream_running_mean": Q.ORACLES["preview_mean"],
