@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nightloom.operators import editing, pose, stack
+from nightloom.operators import bracket, editing, pose, stack
 from nightloom.operators import planes as P
 from nightloom.plans.geometry_queries import PLANE, _lines, _plane
 from nightloom.sources import frames, tiff
@@ -165,8 +165,35 @@ def user_combiner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.join(cells(mean, "mean"), ["x", "y"], "left").join(cells(trimmed, "trimmed"), ["x", "y"], "left")
 
 
+def master_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as sessions: views are discs of ground frames by their time, the first purchase is the disc of the moon master."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("epoch_ms", F.col("event_id") * 1000)
+    cx, cy = 900 + F.col("value") * 3 + F.col("event_id") / 40, 700 - F.col("value") - F.col("event_id") / 90
+    discs = e.select(F.col("user_id").alias("session"), "epoch_ms", "event_type", cx.alias("centroid_x"), cy.alias("centroid_y"), (500 + F.col("event_id") % 7 * 900).cast("long").alias("pixels"))
+    first = discs.where("event_type = 'purchase'").groupBy("session").agg(F.min_by(F.struct("centroid_x", "centroid_y", "pixels"), "epoch_ms").alias("m"))
+    epochs = discs.groupBy("session").agg(F.min("epoch_ms").alias("epoch_ms"))
+    moons = first.select("session", "m.centroid_x", "m.centroid_y", F.when(F.col("session") % 9 == 0, 20).otherwise(F.col("m.pixels")).alias("pixels"))
+    got = bracket.place_moon(discs.where("event_type = 'view'"), moons, epochs, 4096, 600)
+    return got.select("session", "verdict", "fitted", *[F.round(c, 4).alias(c) for c in ("dx", "dy", "at_x", "at_y", "drift_px_s", "radius")])
+
+
+def bracketed_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plane of lineitem as the ground; a disc of the moon in its master and, elsewhere and drifting, in five ground frames."""
+    every = spark.range(WIDTH).withColumnRenamed("id", "x").crossJoin(spark.range(HEIGHT).withColumnRenamed("id", "y"))
+    channels = F.explode(F.array(*[F.lit(c) for c in range(3)]))
+    plane = every.join(_plane(spark, sf_dir), ["x", "y"], "left")
+    disc = lambda cx, cy: F.pow(F.col("x") - cx, 2) + F.pow(F.col("y") - cy, 2) <= 36
+    ground = plane.withColumn("channel", channels).select(F.lit(1).cast("long").alias("session"), "x", "y", "channel", (F.col("v") + F.col("channel")).alias("v"))
+    moon = every.withColumn("channel", channels).select(F.lit(1).cast("long").alias("session"), "x", "y", "channel", F.when(disc(20, 18), 400.0 + F.col("channel")).otherwise(1.0).alias("v"))
+    k = F.col("k")
+    frames = plane.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4)))).select(F.lit(1).cast("long").alias("session"), (k * 2000).cast("long").alias("epoch_ms"), "x", "y", F.when(disc(30 + k, 24 - k), 5000.0).otherwise(F.coalesce("v", F.lit(0.0))).alias("v"))
+    epochs = spark.range(1).select(F.lit(1).cast("long").alias("session"), F.lit(3000).cast("long").alias("epoch_ms"))
+    out, _ = bracket.bracketed_stack(ground, moon, frames, epochs, WIDTH, HEIGHT)
+    return out.select("x", "y", "channel", F.round("v", 4).alias("v"), "touched")
+
+
 QUERIES = {
-    "raw_scan": raw_scan, "source_to_master": source_to_master, "user_combiner": user_combiner,
+    "raw_scan": raw_scan, "source_to_master": source_to_master, "user_combiner": user_combiner, "master_align": master_align, "bracketed_stack": bracketed_stack,
     "camera_roll": camera_roll, "plane_mapping": plane_mapping, "disc_align": disc_align, "night_levels": night_levels, "sky_from_adu": sky_from_adu, "stream_choice": stream_choice,
     "focus_verify": focus_verify, "lunar_focus": lunar_focus, "rotate_argb": rotate_argb, "unsharp": unsharp, "auto_edit": auto_edit, "coverage_report": coverage_report, "worst_columns": worst_columns,
 }
@@ -224,6 +251,19 @@ p{i} AS (SELECT x, y, channel, n, med, CASE WHEN stop THEN e ELSE k END AS e, CA
 
 
 ORACLES = {
+    "master_align": """WITH d AS (SELECT user_id AS session, event_id * 1000 AS ms, event_type, 900 + value * 3 + event_id / 40.0::DOUBLE AS cx, 700 - value - event_id / 90.0::DOUBLE AS cy, 500 + event_id % 7 * 900 AS px FROM events),
+e AS (SELECT session, min(ms) AS epoch FROM d GROUP BY 1), m AS (SELECT session, arg_min({'x': cx, 'y': cy, 'p': CASE WHEN session % 9 = 0 THEN 20 ELSE px END}, ms) AS m FROM d WHERE event_type = 'purchase' GROUP BY 1),
+s AS (SELECT session, count(*) AS n, avg(px) AS area, avg(ms - epoch) AS mt, var_pop(ms - epoch) AS vt, avg(cx) AS mx, avg(cy) AS my, regr_slope(cx, ms - epoch) AS sx, regr_slope(cy, ms - epoch) AS sy FROM d JOIN e USING (session) WHERE event_type = 'view' GROUP BY 1),
+j AS (SELECT session, m, n, area, coalesce(n >= 3 AND vt > 0, false) AS fitted, mx, my, mt, sx, sy FROM e LEFT JOIN m USING (session) LEFT JOIN s USING (session)),
+k AS (SELECT *, CASE WHEN fitted THEN mx - sx * mt ELSE mx END AS at_x, CASE WHEN fitted THEN my - sy * mt ELSE my END AS at_y FROM j),
+v AS (SELECT *, CASE WHEN m IS NULL THEN 'NO_DISC' WHEN n IS NULL THEN 'NO_SAMPLES' WHEN area / m.p > 25 OR area / m.p < 1 / 25.0::DOUBLE THEN 'AREA' WHEN sqrt(pow(at_x - m.x, 2) + pow(at_y - m.y, 2)) > 300 THEN 'SHIFT' ELSE 'MATCHED' END AS verdict FROM k)
+SELECT session, verdict, fitted, CASE WHEN verdict = 'MATCHED' THEN round(at_x - m.x, 4) END AS dx, CASE WHEN verdict = 'MATCHED' THEN round(at_y - m.y, 4) END AS dy, round(at_x, 4) AS at_x, round(at_y, 4) AS at_y,
+  CASE WHEN fitted THEN round(sqrt(sx * sx + sy * sy) * 1000, 4) END AS drift_px_s, round(sqrt(m.p / pi()), 4) AS radius FROM v""",
+    # The discs' centres and sizes are known; the track's middle is at (31.5, 22.5).
+    "bracketed_stack": f"""WITH {GRID}, {PLANE}, n AS (SELECT count(*) AS px FROM e WHERE pow(x - 20, 2) + pow(y - 18, 2) <= 36), r AS (SELECT sqrt(px / pi()) AS r FROM n), c AS (SELECT range AS channel FROM range(3)),
+g AS (SELECT e.x, e.y, channel, p.v + channel AS v, r, greatest({P.LEAST_FEATHER}::DOUBLE, r * {P.FEATHER}::DOUBLE) AS f, sqrt(pow(e.x - 31.5, 2) + pow(e.y - 22.5, 2)) AS far, trunc(e.x - 11.5::DOUBLE) AS sx, trunc(e.y - 4.5::DOUBLE) AS sy FROM e LEFT JOIN p USING (x, y) CROSS JOIN c CROSS JOIN r),
+a AS (SELECT *, CASE WHEN far > r + f THEN 0.0 WHEN far <= r THEN 1.0 ELSE 1.0 - (far - r) / f END AS alpha, sx >= 0 AND sy >= 0 AND sx < {WIDTH} AND sy < {HEIGHT} AS there, CASE WHEN pow(sx - 20, 2) + pow(sy - 18, 2) <= 36 THEN 400.0::DOUBLE + channel ELSE 1.0 END AS mv FROM g)
+SELECT x, y, channel::INT AS channel, round(CASE WHEN alpha > 0 AND there THEN coalesce(v, 0.0) * (1.0 - alpha) + mv * alpha ELSE v END, 4) AS v, alpha > 0 AS touched FROM a""",
     "raw_scan": f"SELECT CASE WHEN range < 8 THEN CAST(range AS VARCHAR) ELSE 'broken' END AS path, CASE WHEN range < 8 THEN {WIDTH} END AS width, CASE WHEN range < 8 THEN {HEIGHT} END AS height, CASE WHEN range < 8 THEN 800 END AS iso, CASE WHEN range < 8 THEN 64.0::DOUBLE END AS black, CASE WHEN range < 8 THEN 8.0::DOUBLE END AS exposure_seconds, range = 8 AS unreadable FROM range(1, 9)",
     "source_to_master": _master_sql(),
     "user_combiner": f"""WITH {GRID}, p AS (SELECT l_linenumber AS k, l_partkey % 64 AS x, l_suppkey % 48 AS y, max(l_quantity) AS v FROM lineitem GROUP BY 1, 2, 3)
