@@ -94,3 +94,16 @@ def drift_seed(alt: Column, az: Column, lat: Column, roll: Column, arcsec_per_pi
     along, up = r["azimuth"] * seconds / arcsec_per_pixel, r["altitude"] * seconds / arcsec_per_pixel
     seed = F.struct((field_rotation(alt, az, lat) * seconds / 3600.0).alias("rotation_deg"), (along * F.cos(t) - up * F.sin(t)).alias("dx"), (-(up * F.cos(t) + along * F.sin(t))).alias("dy"))
     return F.when((arcsec_per_pixel > 0) & ~near_zenith(alt), seed)
+
+
+def implied_declination(alt: Column, az: Column, lat: Column) -> Column:
+    """The declination, without its sign, of a field that drifts as fast as this pointing does; null where the drift is not known."""
+    r = drift_rates(alt, az, lat)
+    share = F.hypot(r["altitude"], r["azimuth"]) / SIDEREAL_ARCSEC_PER_SEC
+    return F.when(r["azimuth"].isNotNull(), F.degrees(F.acos(F.least(F.lit(1.0), share))))
+
+
+def same_field(alt_a: Column, az_a: Column, alt_b: Column, az_b: Column, tolerance: Column) -> Column:
+    """Whether one seed serves both pointings: altitudes and azimuths, around the circle, within the tolerance."""
+    turn = F.pmod(az_a - az_b, F.lit(360.0))
+    return (F.abs(alt_a - alt_b) <= tolerance) & (F.least(turn, 360.0 - turn) <= tolerance)

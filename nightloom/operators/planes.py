@@ -112,6 +112,29 @@ def autostretch(plane: DataFrame, black: float, white: float, clip: float = SHAD
     return d.withColumn("grey", F.floor(F.col("stretched") * 255.0 + 0.5).cast("int")).drop("n", "shadows", "midtone")
 
 
+#: Fixed values of the preview: every so-manieth pixel is measured, shadows lie so many deviations below the sky, which goes to the target.
+PREVIEW_STRIDE, PREVIEW_SIGMAS, PREVIEW_TARGET = 16, 2.0, 0.25
+
+
+def preview_stretch(plane: DataFrame, width: int, sigmas: float = PREVIEW_SIGMAS, target: float = PREVIEW_TARGET) -> DataFrame:
+    """x, y, grey (0 to 255) of a running preview (x, y, v): sky and noise from every 16th pixel, the brightest pixel white. A plane
+    without noise runs from its least to its greatest pixel."""
+    some = plane.where((F.col("y") * width + F.col("x")) % PREVIEW_STRIDE == 0)
+    m = _upper(some, [], F.col("v"), "m")
+    mad = _upper(some.crossJoin(F.broadcast(m)), [], F.abs(F.col("v") - F.col("m")), "mad")
+    s = plane.agg(F.max("v").alias("high"), F.min("v").alias("least")).crossJoin(m).crossJoin(mad)  # one row each
+    sigma = A.MAD_TO_SIGMA * F.col("mad")
+    s = s.withColumn("low", F.when(sigma > 1e-6, F.col("m") - sigmas * sigma).otherwise(F.col("least")))
+    s = s.withColumn("span", F.when(F.col("high") - F.col("low") > 1e-6, F.col("high") - F.col("low")).otherwise(1.0))
+    inside = lambda c: F.greatest(F.lit(LEAST_MIDTONE), F.least(F.lit(1 - LEAST_MIDTONE), c))
+    s = s.withColumn("sky", inside((F.col("m") - F.col("low")) / F.col("span")))
+    den = 2.0 * target * F.col("sky") - target - F.col("sky")
+    s = s.withColumn("mid", F.when(F.abs(den) < 1e-9, 0.5).otherwise(inside(F.col("sky") * (target - 1.0) / den))).select("low", "span", "mid")
+    n = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("v") - F.col("low")) / F.col("span")))
+    d = plane.crossJoin(F.broadcast(s)).withColumn("n", n)
+    return d.select("x", "y", F.floor(mtf(F.col("mid"), F.col("n")) * 255.0 + 0.5).cast("int").alias("grey"))
+
+
 def disc(plane: DataFrame, by: list[str]) -> DataFrame:
     """by, found, centroid_x, centroid_y, pixels, peak, background of the bright disc of each plane. A plane's background is an
     index percentile (rounded), its noise the upper median deviation; the disc is what lies above a quarter of the peak."""

@@ -131,6 +131,10 @@ def worst_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.worst_rows(coverage_rows(spark, sf_dir), 64)
 
 
+def preview_stretch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.preview_stretch(_plane(spark, sf_dir), 64)
+
+
 def mtf_stretch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.autostretch(_plane(spark, sf_dir), 0.0, 64.0).select("x", "y", F.round("stretched", 6).alias("stretched"))
 
@@ -195,7 +199,7 @@ QUERIES = {
     "brightest_k": brightest_k, "triangles": triangles, "triangle_band_join": triangle_band_join, "asterism_match": asterism_match, "vote_offset": vote_offset, "seed_nearest": seed_nearest,
     "procrustes": procrustes, "rigid_apply": rigid_apply, "drift_fit": drift_fit, "rigid_fit": rigid_fit, "calibrate": calibrate, "flat_normalise": flat_normalise, "hot_pixels": hot_pixels,
     "green_bin": green_bin, "tile_background": tile_background, "background_level": background_level, "gradient_tiles": gradient_tiles, "coverage_rows": coverage_rows, "worst_rows": worst_rows,
-    "mtf_stretch": mtf_stretch, "disc_centroid": disc_centroid, "sharpness": sharpness, "composite": composite, "gradient_fit": gradient_fit, "largest_rectangle": largest_rectangle,
+    "preview_stretch": preview_stretch, "mtf_stretch": mtf_stretch, "disc_centroid": disc_centroid, "sharpness": sharpness, "composite": composite, "gradient_fit": gradient_fit, "largest_rectangle": largest_rectangle,
     "common_area": common_area, "phase_correlation": phase_correlation, "detect_stars": detect_stars,
 }
 TRIANGLES = STARS + """, t0 AS (SELECT a.frame, list_sort([
@@ -223,6 +227,12 @@ w AS (SELECT frame, ref, tgt, count(*)::BIGINT AS votes FROM m GROUP BY 1, 2, 3)
 f AS (SELECT w.* FROM w JOIN q USING (ref) WHERE votes >= 2 AND votes >= chances * 0.25::DOUBLE QUALIFY row_number() OVER (PARTITION BY frame, ref ORDER BY votes DESC, tgt) = 1)
 SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY frame, tgt ORDER BY votes DESC, ref) = 1"""
 ORACLES = {
+    "preview_stretch": f"""WITH {PLANE}, a AS (SELECT list(v ORDER BY v) AS s FROM p WHERE (y * 64 + x) % 16 = 0), m AS (SELECT s, s[len(s) // 2 + 1] AS m FROM a), d AS (SELECT m, list_sort(list_transform(s, lambda v: abs(v - m))) AS d FROM m),
+h AS (SELECT max(v) AS hi, min(v) AS lo FROM p), l AS (SELECT m, hi, CASE WHEN 1.4826::DOUBLE * d[len(d) // 2 + 1] > 1e-6 THEN m - 2.0 * 1.4826::DOUBLE * d[len(d) // 2 + 1] ELSE lo END AS low FROM d, h),
+n AS (SELECT *, CASE WHEN hi - low > 1e-6 THEN hi - low ELSE 1.0 END AS span FROM l), k AS (SELECT *, greatest(1e-4, least(1 - 1e-4, (m - low) / span)) AS sky FROM n),
+t AS (SELECT *, CASE WHEN abs(0.5::DOUBLE * sky - 0.25 - sky) < 1e-9 THEN 0.5 ELSE greatest(1e-4, least(1 - 1e-4, sky * (0.25::DOUBLE - 1.0) / (0.5::DOUBLE * sky - 0.25 - sky))) END AS mid FROM k),
+q AS (SELECT x, y, greatest(0.0, least(1.0, (v - low) / span)) AS n, mid FROM p, t)
+SELECT x, y, floor(CASE WHEN n <= 0 THEN 0.0 WHEN n >= 1 THEN 1.0 ELSE (mid - 1.0) * n / ((2.0 * mid - 1.0) * n - mid) END * 255.0 + 0.5)::INT AS grey FROM q""",
     "common_area": AREA, "asterism_match": MATCHES,
     # What was planted: every match but each fourth moves as the frame does.
     "rigid_fit": f"{STARS} SELECT frame, frame::DOUBLE AS rotation_deg, 12.0::DOUBLE AS dx, 40.0::DOUBLE AS dy, count(*) FILTER (WHERE rank % 4 <> 0)::BIGINT AS inliers, count(*)::BIGINT AS pairs FROM k WHERE rank <= 30 GROUP BY 1",

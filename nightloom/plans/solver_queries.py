@@ -40,6 +40,13 @@ def sky_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pointings(spark, sf_dir).withColumn("s", s).select("c_custkey", *[F.round(f"s.{c}", 6).alias(c) for c in ("rotation_deg", "dx", "dy")])
 
 
+def sky_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The declination that each pointing's drift implies, and whether one a little off it is the same field."""
+    k, p = F.col("c_custkey"), _pointings(spark, sf_dir)
+    same = sky.same_field(F.col("alt"), F.col("az"), F.col("alt") + (k % 5 - 2), F.col("az") + 357.2 + k % 6, F.lit(1.5))
+    return p.select("c_custkey", F.round(sky.implied_declination(F.col("alt"), F.col("az"), F.col("lat")), 6).alias("implied"), same.alias("same"))
+
+
 def moon_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
     ms = F.unix_millis(F.col("o_orderdate").cast("timestamp"))
     return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.round(sky.moon_fraction(ms), 6).alias("fraction"), sky.moon_waxing(ms).alias("waxing"))
@@ -138,7 +145,7 @@ def lunar_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "sky_coords": sky_coords, "sky_drift": sky_drift, "moon_phase": moon_phase, "trailing_limit": trailing_limit, "compensation": compensation,
+    "sky_coords": sky_coords, "sky_drift": sky_drift, "sky_field": sky_field, "moon_phase": moon_phase, "trailing_limit": trailing_limit, "compensation": compensation,
     "exposure_candidates": exposure_candidates, "exposure_choice": exposure_choice, "noise_bracket": noise_bracket, "dual_gain": dual_gain, "session_plan": session_plan,
     "predicted_histogram": predicted_histogram, "focus_sweep": focus_sweep, "lunar_exposure": lunar_exposure,
 }
@@ -160,6 +167,9 @@ SELECT c_custkey, round(dec, 6) AS declination, round(ha, 6) AS hour_angle, roun
   round(15.041067::DOUBLE * cos(l) * cos(z) / cos(radians(greatest(-88.0, least(88.0, alt)))), 6) AS rotation, abs(alt) > 88 AS near_zenith,
   (['N','NNE','NE','ENE','E','ESE','SE','SSE','S','SSW','SW','WSW','W','WNW','NW','NNW'])[(floor(az / 22.5 + 0.5)::INT % 16) + 1] AS compass,
   printf('%s%02d° %02d′', CASE WHEN dec < 0 THEN '-' ELSE '+' END, mins // 60, mins % 60) AS text FROM h""",
+    "sky_field": f"""{SQL}, r AS (SELECT *, radians(alt) AS a, radians(az) AS z, radians(lat) AS l FROM p WHERE true),
+d AS (SELECT *, sqrt(pow((sin(l) - cos(l) * cos(z) * tan(a)) * cos(a), 2) + pow(cos(l) * sin(z), 2)) AS share, abs(alt) <= 88 AS ok FROM r)
+SELECT c_custkey, CASE WHEN ok THEN round(degrees(acos(least(1.0, share))), 6) END AS implied, abs(c_custkey % 5 - 2) <= 1.5 AND c_custkey % 6 IN (2, 3, 4) AS same FROM d""",
     "sky_drift": f"""{SQL}, r AS (SELECT *, radians(alt) AS a, radians(az) AS z, radians(lat) AS l, radians(c_custkey % 360) AS t FROM p WHERE true),
 d AS (SELECT *, 15.041067::DOUBLE * (sin(l) - cos(l) * cos(z) * tan(a)) * cos(a) * 30.0 / 60.0 AS al, 15.041067::DOUBLE * cos(l) * sin(z) * 30.0 / 60.0 AS up, abs(alt) <= 88 AS ok FROM r)
 SELECT c_custkey, CASE WHEN ok THEN round(15.041067::DOUBLE * cos(l) * cos(z) / cos(a) * 30.0 / 3600.0, 6) END AS rotation_deg, CASE WHEN ok THEN round(al * cos(t) - up * sin(t), 6) END AS dx, CASE WHEN ok THEN round(-(up * cos(t) + al * sin(t)), 6) END AS dy FROM d""",
