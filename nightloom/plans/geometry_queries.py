@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nightloom.operators import components
 from nightloom.operators import geometry as G
 from nightloom.operators import planes as P
 from nightloom.operators import registration as R
@@ -195,7 +196,15 @@ def detect_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.detect_stars(p, 1.5)
 
 
+def tiled_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of bright cells of seven frames, labelled in tiles of 16, with their moments."""
+    p = _lines(spark, sf_dir).groupBy(F.col("l_linenumber").cast("long").alias("frame"), "x", "y").agg(F.avg("l_quantity").alias("v"))
+    got = components.star_moments(p.where("v > 40").select("frame", "x", "y", (F.col("v") - 25).alias("w")), 16)
+    return got.select("frame", "component", "n", *[F.round(c, 5).alias(c) for c in ("flux", "x", "y", "hfr", "eccentricity")])
+
+
 QUERIES = {
+    "tiled_stars": tiled_stars,
     "brightest_k": brightest_k, "triangles": triangles, "triangle_band_join": triangle_band_join, "asterism_match": asterism_match, "vote_offset": vote_offset, "seed_nearest": seed_nearest,
     "procrustes": procrustes, "rigid_apply": rigid_apply, "drift_fit": drift_fit, "rigid_fit": rigid_fit, "calibrate": calibrate, "flat_normalise": flat_normalise, "hot_pixels": hot_pixels,
     "green_bin": green_bin, "tile_background": tile_background, "background_level": background_level, "gradient_tiles": gradient_tiles, "coverage_rows": coverage_rows, "worst_rows": worst_rows,
@@ -227,6 +236,13 @@ w AS (SELECT frame, ref, tgt, count(*)::BIGINT AS votes FROM m GROUP BY 1, 2, 3)
 f AS (SELECT w.* FROM w JOIN q USING (ref) WHERE votes >= 2 AND votes >= chances * 0.25::DOUBLE QUALIFY row_number() OVER (PARTITION BY frame, ref ORDER BY votes DESC, tgt) = 1)
 SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY frame, tgt ORDER BY votes DESC, ref) = 1"""
 ORACLES = {
+    "tiled_stars": """WITH RECURSIVE c AS (SELECT l_linenumber::BIGINT AS frame, l_partkey % 64 AS x, l_suppkey % 48 AS y, avg(l_quantity) - 25 AS w FROM lineitem GROUP BY 1, 2, 3 HAVING avg(l_quantity) > 40),
+r AS (SELECT frame, x, y, x AS cx, y AS cy FROM c UNION SELECT r.frame, r.x, r.y, n.x, n.y FROM r JOIN c n ON n.frame = r.frame AND abs(n.x - r.cx) <= 1 AND abs(n.y - r.cy) <= 1),
+k AS (SELECT frame, x, y, min(cy * 4294967296 + cx) AS component FROM r GROUP BY 1, 2, 3), d AS (SELECT * FROM c JOIN k USING (frame, x, y)),
+s AS (SELECT frame, component, count(*) AS n, sum(w) AS flux, sum(x * w) / sum(w) AS mx, sum(y * w) / sum(w) AS my FROM d GROUP BY 1, 2 HAVING count(*) BETWEEN 3 AND 2000 AND sum(w) > 0),
+m AS (SELECT frame, component, n, flux, mx, my, sum(w * sqrt(pow(x - mx, 2) + pow(y - my, 2))) / flux AS hfr, sum(w * pow(x - mx, 2)) / flux AS a, sum(w * (x - mx) * (y - my)) / flux AS b, sum(w * pow(y - my, 2)) / flux AS e FROM d JOIN s USING (frame, component) GROUP BY 1, 2, 3, 4, 5, 6),
+t AS (SELECT *, sqrt(pow((a - e) / 2, 2) + b * b) AS root FROM m)
+SELECT frame, component, n, round(flux, 5) AS flux, round(mx, 5) AS x, round(my, 5) AS y, round(hfr, 5) AS hfr, round(CASE WHEN (a + e) / 2 + root > 0 THEN sqrt(1 - greatest(0.0, (a + e) / 2 - root) / ((a + e) / 2 + root)) ELSE 1.0 END, 5) AS eccentricity FROM t""",
     "preview_stretch": f"""WITH {PLANE}, a AS (SELECT list(v ORDER BY v) AS s FROM p WHERE (y * 64 + x) % 16 = 0), m AS (SELECT s, s[len(s) // 2 + 1] AS m FROM a), d AS (SELECT m, list_sort(list_transform(s, lambda v: abs(v - m))) AS d FROM m),
 h AS (SELECT max(v) AS hi, min(v) AS lo FROM p), l AS (SELECT m, hi, CASE WHEN 1.4826::DOUBLE * d[len(d) // 2 + 1] > 1e-6 THEN m - 2.0 * 1.4826::DOUBLE * d[len(d) // 2 + 1] ELSE lo END AS low FROM d, h),
 n AS (SELECT *, CASE WHEN hi - low > 1e-6 THEN hi - low ELSE 1.0 END AS span FROM l), k AS (SELECT *, greatest(1e-4, least(1 - 1e-4, (m - low) / span)) AS sky FROM n),

@@ -22,6 +22,12 @@ def shared_folder(spark: SparkSession, kind: str) -> str:
     return f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
+def checkpoints(spark: SparkSession) -> None:
+    """Makes DataFrame.checkpoint() write to the shared folder where the session names no other."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark, "checkpoints"))
+
+
 @functools.lru_cache(64)
 def _store(root: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(root if "://" in root else "file://" + os.path.abspath(root))
