@@ -78,7 +78,7 @@ class LineRuns:
 
 #: Bytes of texts in a batch, about, and the most batches: then batches grow with the table. A batch meets all runs before it, so
 #: reading grows with batches; five are the fewest of which four are compacted and one meets the level above.
-BATCH_BYTES, MOST_BATCHES = 16 << 20, 5
+BATCH_BYTES, MOST_BATCHES = 50 << 20, 5
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int | None = None, fanout: int = 4, carry: bool = False) -> DataFrame:
