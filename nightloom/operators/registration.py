@@ -227,20 +227,19 @@ def largest_covered(coverage: DataFrame, by: str) -> DataFrame:
 
 def clip_convex(subject: np.ndarray, clip: np.ndarray) -> np.ndarray:
     """The part of a polygon inside a convex polygon (both counter-clockwise, n by 2)."""
-    out = subject
-    for a, b in zip(clip, np.roll(clip, -1, axis=0), strict=True):
-        side = lambda p, a=a, b=b: (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])
+    out, corners = subject.tolist(), clip.tolist()  # a few corners: plain numbers are quicker than arrays
+    for (ax, ay), (bx, by) in zip(corners, corners[1:] + corners[:1], strict=True):
+        sides = [(bx - ax) * (y - ay) - (by - ay) * (x - ax) for x, y in out]
         kept = []
-        for p, q in zip(out, np.roll(out, -1, axis=0), strict=True):
-            dp, dq = side(p), side(q)
+        for (px, py), dp, (qx, qy), dq in zip(out, sides, out[1:] + out[:1], sides[1:] + sides[:1], strict=True):
             if dp >= 0:
-                kept.append(p)
+                kept.append((px, py))
             if (dp >= 0) != (dq >= 0):
-                kept.append(p + (q - p) * dp / (dp - dq))
-        out = np.array(kept).reshape(-1, 2)
-        if not len(out):
+                kept.append((px + (qx - px) * dp / (dp - dq), py + (qy - py) * dp / (dp - dq)))
+        out = kept
+        if not out:
             break
-    return out
+    return np.array(out, float).reshape(-1, 2)
 
 
 def area(polygon: np.ndarray) -> float:
@@ -313,11 +312,14 @@ def common_area(motions: DataFrame, width: float, height: float) -> DataFrame:
     def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, CommonArea] = {}
         for part in parts:
-            for session, rows in part.groupby("session", sort=False, dropna=False):
+            number, sessions = pd.factorize(part.session, use_na_sentinel=False)
+            order = np.argsort(number, kind="stable")
+            values = part[["rotation_deg", "dx", "dy"]].to_numpy(float)[order]
+            edges = np.searchsorted(number[order], np.arange(len(sessions) + 1))
+            for session, first, last in zip(sessions.tolist(), edges[:-1], edges[1:], strict=True):
                 known = held.setdefault(session, CommonArea(width, height))
-                values = rows[["rotation_deg", "dx", "dy"]].to_numpy(float)
-                for a in range(0, len(values), FOLD_ROWS):
-                    known.include(*values[a : a + FOLD_ROWS].T)
+                for a in range(first, last, FOLD_ROWS):
+                    known.include(*values[a : min(a + FOLD_ROWS, last)].T)
         part_id = TaskContext.get().partitionId()
         yield pd.DataFrame([(s, part_id % MERGE_WAYS, *a.state()) for s, a in held.items()], columns=["session", "way", "xs", "ys", "frames"])
 
