@@ -117,7 +117,7 @@ def stream_waits(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [w.where(F.col("ts") < cut), w.where((F.col("ts") >= cut) & (F.col("request") >= 0)), w.where("request < 0")]
     with S.rocks(spark):
         for n, part in enumerate(parts):  # each run takes what is new and goes on from the checkpoint
-            part.repartition(1).write.mode("append").parquet(f"{out}/waits/{n}")
+            part.write.mode("append").parquet(f"{out}/waits/{n}")
             source = spark.readStream.schema(w.schema).parquet(f"{out}/waits/{{{','.join(map(str, range(n + 1)))}}}")
             S.drain(waiting.outcomes_stream(source), f"{out}/rows", f"{out}/checkpoint")
     return spark.read.schema(waiting.OUTCOME).parquet(f"{out}/rows")
