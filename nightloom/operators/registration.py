@@ -218,9 +218,10 @@ def largest_rectangle(mask: np.ndarray) -> tuple[int, int, int, int]:
 
 
 def largest_covered(coverage: DataFrame, by: str) -> DataFrame:
-    """by, left, top, width, height of the largest rectangle of fully covered pixels (by, x, y, v: 1 covered, 0 not)."""
+    """by, left, top, width, height of the largest rectangle of fully covered pixels (by, x, y, v: 1 covered, 0 not); no row if none is."""
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], *largest_rectangle(grid_of(rows, 0.0) > 0))], columns=["k", "left", "top", "width", "height"])
+        left, top, width, height = largest_rectangle(grid_of(rows, 0.0) > 0)
+        return pd.DataFrame([(key[0], left, top, width, height)] if width else [], columns=["k", "left", "top", "width", "height"])
 
     return coverage.groupBy(by).applyInPandas(run, "k long, left long, top long, width long, height long").withColumnRenamed("k", by)
 

@@ -18,6 +18,12 @@ def test_largest_rectangle_against_all():
         assert w * h == best and m[top : top + h, left : left + w].all()
 
 
+def test_a_plane_without_covered_pixels_has_no_rectangle(spark):
+    rows = [(k, x, y, float(k == 2 and (x, y) == (1, 2))) for k in (1, 2) for x in range(4) for y in range(3)]
+    got = R.largest_covered(spark.createDataFrame(rows, "frame long, x long, y long, v double"), "frame").collect()
+    assert [tuple(r) for r in got] == [(2, 1, 2, 1, 1)]
+
+
 def test_labels_join_diagonals():
     ids = R.label(np.array([[1, 0, 0, 1], [0, 1, 0, 0], [0, 0, 0, 1]], bool))
     assert len(np.unique(ids[ids > 0])) == 3 and ids[0, 0] == ids[1, 1]
