@@ -8,7 +8,6 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -299,47 +298,118 @@ class CommonArea:
         return CommonArea(width, height, np.column_stack([np.asarray(xs, float), np.asarray(ys, float)]).reshape(-1, 2), int(frames))
 
 
-#: Frames that are folded at a time, and the partial areas of a session that one task merges before the last step.
-FOLD_ROWS, MERGE_WAYS = 4096, 64
+#: Frames that a task folds at a time, of many sessions at once.
+FOLD_ROWS = 65_536
+
+
+def _sides(a: np.ndarray, b: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """What is not negative where a point lies inside an edge from a to b (last axis: x, y)."""
+    return (b[..., 0] - a[..., 0]) * (p[..., 1] - a[..., 1]) - (b[..., 1] - a[..., 1]) * (p[..., 0] - a[..., 0])
+
+
+def _clip_many(polygons: np.ndarray, corners: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Polygons (n, most corners + 1, 2; what lies beyond a polygon's corners is its first one) clipped by an edge each."""
+    d = _sides(a[:, None], b[:, None], polygons)
+    p, q, dp, dq = polygons[:, :-1], polygons[:, 1:], d[:, :-1], d[:, 1:]
+    own = np.arange(p.shape[1]) < corners[:, None]
+    kept, cross = own & (dp >= 0), own & ((dp >= 0) != (dq >= 0))
+    met = p + (q - p) * (dp / np.where(cross, dp - dq, 1.0))[..., None]
+    points = np.stack([p, met], axis=2).reshape(len(p), -1, 2)
+    there = np.stack([kept, cross], axis=2).reshape(len(p), -1)
+    corners = there.sum(axis=1)
+    order = np.argsort(~there, axis=1, kind="stable")[:, : int(corners.max(initial=0)) + 1]
+    points = np.take_along_axis(points, order[..., None], axis=1)
+    points = np.where((np.arange(points.shape[1]) < corners[:, None])[..., None], points, points[:, :1])
+    return np.concatenate([points, points[:, :1]], axis=1), corners
+
+
+def narrow_many(number: np.ndarray, motions: np.ndarray, n: int, width: float, height: float) -> tuple[np.ndarray, np.ndarray]:
+    """The frames (places of rows) whose footprints narrow the common areas of n sessions, and what share of a frame each area
+    is. number: session of a row, 0 to n - 1; motions: rotation_deg, dx, dy. The frames that narrow give the area of all, so
+    a fold of them with others is a fold of all. In each step every session is clipped by its frame that cuts deepest."""
+    frame = np.array([[0, 0], [width, 0], [width, height], [0, height]], float)
+    polygons, corners = np.tile(np.vstack([frame, frame[:1]]), (n, 1, 1)), np.full(n, 4)
+    left = np.flatnonzero(~np.isnan(motions).any(axis=1))
+    t = -np.radians(motions[left, 0])
+    x, y = frame[:, 0] - motions[left, 1, None], frame[:, 1] - motions[left, 2, None]
+    a = np.stack([x * np.cos(t)[:, None] - y * np.sin(t)[:, None], x * np.sin(t)[:, None] + y * np.cos(t)[:, None]], axis=2)
+    least = -1e-10 * max(width, height)  # less is the error of the numbers
+    chosen = []
+    while len(left):
+        depth = _sides(a[:, :, None], np.roll(a, -1, axis=1)[:, :, None], polygons[number[left], None]).min(axis=(1, 2))
+        cuts = np.flatnonzero((depth < least) & (corners[number[left]] > 0))
+        cuts = cuts[np.lexsort((depth[cuts], number[left[cuts]]))]
+        sessions, first = np.unique(number[left[cuts]], return_index=True)
+        deepest = cuts[first]
+        if not len(deepest):
+            break
+        chosen.append(left[deepest])
+        some, count = polygons[sessions], corners[sessions]
+        for k in range(4):
+            some, count = _clip_many(some, count, a[deepest, k], a[deepest, (k + 1) % 4])
+        grown = max(polygons.shape[1], some.shape[1])
+        polygons, some = (np.concatenate([p, np.repeat(p[:, :1], grown - p.shape[1], axis=1)], axis=1) for p in (polygons, some))
+        polygons[sessions], corners[sessions] = some, count
+        rest = np.sort(np.delete(cuts, first))
+        left, a = left[rest], a[rest]
+    polygons[corners < 3] = 0
+    x, y = polygons[..., 0], polygons[..., 1]
+    areas = np.abs((x[:, :-1] * y[:, 1:] - x[:, 1:] * y[:, :-1]).sum(axis=1)) / 2
+    return np.concatenate(chosen) if chosen else np.zeros(0, int), np.minimum(1.0, areas / (width * height))
 
 
 def common_area(motions: DataFrame, width: float, height: float) -> DataFrame:
-    """session, frames, fraction: what all turned frames of a session (session, idx, rotation_deg, dx, dy) have in common.
-
-    Every task folds its frames to one small polygon a session; polygons meet in two steps, in MERGE_WAYS groups a session and
-    then by session. No task holds a session's frames."""
-    schema = f"session long, way int, {AREA_STATE}"
-
-    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, CommonArea] = {}
+    """session, frames, fraction: what all turned frames of a session (session, idx, rotation_deg, dx, dy) have in common. Frames
+    without a session belong to none.
+
+    Every task keeps of its sessions the frames that narrow the area, some tens at most, with the number of all; those meet by
+    session, sorted, and are folded in the same way. A fold takes FOLD_ROWS rows of many sessions at once. No task holds a
+    session's frames."""
+    names = ["session", "rotation_deg", "dx", "dy", "frames"]
+
+    def fold(rows: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+        """The frames that narrow, with all frames' number in a session's first row, and the areas."""
+        number, sessions = pd.factorize(rows.session)
+        chosen, fractions = narrow_many(number, rows[["rotation_deg", "dx", "dy"]].to_numpy(float), len(sessions), width, height)
+        counts = np.bincount(number, rows.frames, len(sessions)).astype(np.int64)
+        # A row without a motion bears the number.
+        kept = pd.DataFrame({"session": sessions, "rotation_deg": np.nan, "dx": np.nan, "dy": np.nan, "frames": counts})
+        return pd.concat([kept, rows.iloc[chosen].assign(frames=0)[names]]), pd.DataFrame({"session": sessions, "frames": counts, "fraction": fractions})
+
+    def filled(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
         for part in parts:
-            number, sessions = pd.factorize(part.session, use_na_sentinel=False)
-            order = np.argsort(number, kind="stable")
-            values = part[["rotation_deg", "dx", "dy"]].to_numpy(float)[order]
-            edges = np.searchsorted(number[order], np.arange(len(sessions) + 1))
-            for session, first, last in zip(sessions.tolist(), edges[:-1], edges[1:], strict=True):
-                known = held.setdefault(session, CommonArea(width, height))
-                for a in range(first, last, FOLD_ROWS):
-                    known.include(*values[a : min(a + FOLD_ROWS, last)].T)
-        part_id = TaskContext.get().partitionId()
-        yield pd.DataFrame([(s, part_id % MERGE_WAYS, *a.state()) for s, a in held.items()], columns=["session", "way", "xs", "ys", "frames"])
-
-    def merged(rows: pd.DataFrame) -> CommonArea:
-        areas = [CommonArea.of(width, height, r.xs, r.ys, r.frames) for r in rows.itertuples()]
-        out = areas[0]
-        for a in areas[1:]:
-            out = out.merge(a)
-        return out
-
-    def some(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(*key, *merged(rows).state())], columns=["session", "way", "xs", "ys", "frames"])
-
-    def whole(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        a = merged(rows)
-        return pd.DataFrame([(key[0], a.frames, a.fraction)], columns=["session", "frames", "fraction"])
-
-    partial = motions.select(F.col("session").cast("long").alias("session"), "rotation_deg", "dx", "dy").mapInPandas(fold, schema)
-    return partial.groupBy("session", "way").applyInPandas(some, schema).groupBy("session").applyInPandas(whole, "session long, frames long, fraction double")
+            held.append(part)
+            if sum(map(len, held)) >= FOLD_ROWS:
+                yield pd.concat(held)
+                held = []
+        if held:
+            yield pd.concat(held)
+
+    def partial(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = None
+        for rows in filled(parts):
+            known = fold(rows if known is None else pd.concat([known, rows]))[0]
+            if len(known) >= FOLD_ROWS:
+                yield known
+                known = None
+        if known is not None:
+            yield known
+
+    def whole(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = None  # of the last session, which may go on
+        for rows in filled(parts):
+            rows = rows if known is None else pd.concat([known, rows])
+            known, areas = fold(rows)
+            last = rows.session.iloc[-1]
+            yield areas[areas.session != last]
+            known = known[known.session == last]
+        if known is not None and len(known):
+            yield fold(known)[1]
+
+    m = motions.where("session IS NOT NULL").select(F.col("session").cast("long").alias("session"), *[F.col(c).cast("double").alias(c) for c in names[1:4]], F.lit(1).cast("long").alias("frames"))
+    meet = m.mapInPandas(partial, "session long, rotation_deg double, dx double, dy double, frames long").repartition("session").sortWithinPartitions("session")
+    return meet.mapInPandas(whole, "session long, frames long, fraction double")
 
 
 def common_area_stream(motions: DataFrame, width: float, height: float) -> DataFrame:

@@ -53,3 +53,25 @@ def test_one_long_session_over_many_tasks(spark):
     df = spark.createDataFrame(rows, "session long, idx long, rotation_deg double, dx double, dy double").repartition(40)
     (got,) = R.common_area(df, 512.0, 384.0).collect()
     assert got.frames == 100_000 and got.fraction == pytest.approx(one_pass(m), abs=1e-9)
+
+
+def test_many_sessions_are_folded_at_once(spark, monkeypatch):
+    """Sessions of some frames each, of one, of the same frame over and over, of none with a motion, and one with nothing in common."""
+    frames = {s: motions(1 + s % 60, s) for s in range(300)}
+    frames |= {900: np.tile(motions(2, 1)[1], (5000, 1)), 901: np.full((3, 3), np.nan), 902: np.array([[0.0, 500.0, 0.0], [0.0, -500.0, 0.0]]), 903: np.array([[180.0, 0.0, 0.0]])}
+    rows = pd.concat([pd.DataFrame({"session": s, "idx": np.arange(len(m)), "rotation_deg": m[:, 0], "dx": m[:, 1], "dy": m[:, 2]}) for s, m in frames.items()])
+    df = spark.createDataFrame(rows, "session long, idx long, rotation_deg double, dx double, dy double").repartition(7)
+    for size in (64, 65_536):
+        monkeypatch.setattr(R, "FOLD_ROWS", size)
+        got = {r.session: (r.frames, r.fraction) for r in R.common_area(df, 512.0, 384.0).collect()}
+        assert {s: n for s, (n, _) in got.items()} == {s: len(m) for s, m in frames.items()}
+        for s, m in frames.items():
+            assert got[s][1] == pytest.approx(one_pass(m), abs=1e-9), s
+
+
+def test_a_step_is_one_for_all_sessions(monkeypatch):
+    """The steps are those of the session that takes most, not their sum."""
+    m, calls, clip = motions(20_000, 4), [], R._clip_many
+    monkeypatch.setattr(R, "_clip_many", lambda *v: calls.append(1) or clip(*v))
+    R.narrow_many(np.arange(len(m)) % 1000, m, 1000, 512.0, 384.0)
+    assert 0 < len(calls) < 200
