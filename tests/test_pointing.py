@@ -91,3 +91,26 @@ def test_spans_beyond_the_bound_are_refused(spark, tmp_path):
     p = s.select(F.col("a").alias("t"), "k", F.lit(1.0).alias("v"))
     with pytest.raises(PySparkException, match="longer than"):
         S.drain(M.interval_join_stream(p, s, ["k"], "t", "a", "b", "120 SECONDS", "60 seconds"), f"{tmp_path}/out", f"{tmp_path}/check")
+
+
+@pytest.mark.parametrize("chunk", [16, 65_536])
+def test_many_sessions_in_chunks(spark, monkeypatch, chunk):
+    """Groups that go over chunks, equal times, gaps of many blocks, a session without a number."""
+    monkeypatch.setattr(P, "CHUNK_ROWS", chunk)
+    rng = random.Random(chunk)
+    rows = [(s, rng.choice([rng.randint(0, 3000), rng.randint(0, 30), rng.randint(10**6, 10**6 + 500)]), k, *(rng.uniform(-1, 1) for _ in range(3))) for s in range(200) for k in range(s % 40)]
+    rows += [(None, 40 * k, k, 1.0, float(k), 0.0) for k in range(20)]
+    got = [tuple(r) for r in P.average(spark.createDataFrame(rows, SCHEMA).repartition(5), interval_ms=100, block_ms=250).collect()]
+    got = sorted((-1 if r[0] is None else r[0], *r[1:]) for r in got)
+    want = plain([(-1 if r[0] is None else r[0], *r[1:]) for r in rows], P.ALPHA, 100)
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    np.testing.assert_allclose([r[2:] for r in got], [r[2:] for r in want], atol=1e-9)
+
+
+def test_a_step_is_one_for_all_blocks():
+    """20,000 samples of 1,000 sessions, all of which count, take 20 steps."""
+    group = np.repeat(np.arange(1000), 20)
+    ts, first = np.tile(np.arange(20) * 100, 1000), np.arange(0, 20_000, 20)
+    following = P._Times(ts, group, first).at_least(group, ts + 100)
+    steps = list(P._chains(following, group, first))
+    assert len(steps) == 20 and sorted(np.concatenate([at for _, at in steps])) == list(range(20_000))
