@@ -336,7 +336,9 @@ def narrow_many(number: np.ndarray, motions: np.ndarray, n: int, width: float, h
     least = -1e-10 * max(width, height)  # less is the error of the numbers
     chosen = []
     while len(left):
-        depth = _sides(a[:, :, None], np.roll(a, -1, axis=1)[:, :, None], polygons[number[left], None]).min(axis=(1, 2))
+        few = max(1, 2**21 // polygons.shape[1])  # frames at a time, so that areas of many corners take no more memory
+        parts = [slice(k, k + few) for k in range(0, len(left), few)]
+        depth = np.concatenate([_sides(a[k, :, None], np.roll(a[k], -1, axis=1)[:, :, None], polygons[number[left[k]], None]).min(axis=(1, 2)) for k in parts])
         cuts = np.flatnonzero((depth < least) & (corners[number[left]] > 0))
         cuts = cuts[np.lexsort((depth[cuts], number[left[cuts]]))]
         sessions, first = np.unique(number[left[cuts]], return_index=True)
@@ -362,7 +364,7 @@ def common_area(motions: DataFrame, width: float, height: float) -> DataFrame:
     """session, frames, fraction: what all turned frames of a session (session, idx, rotation_deg, dx, dy) have in common. Frames
     without a session belong to none.
 
-    Every task keeps of its sessions the frames that narrow the area, some tens at most, with the number of all; those meet by
+    Every task keeps of its sessions the frames that narrow the area, mostly some tens, with the number of all; those meet by
     session, sorted, and are folded in the same way. A fold takes FOLD_ROWS rows of many sessions at once. No task holds a
     session's frames."""
     names = ["session", "rotation_deg", "dx", "dy", "frames"]
