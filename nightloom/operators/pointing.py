@@ -9,6 +9,7 @@ by step, every block goes on to its next sample that counts.
 
 Vectors, not angles, are averaged, so a direction near north does not wrap. samples: session, ts (milliseconds), idx, x, y, z; one of no
 length, or with a null, counts for nothing. Results, one row a sample that counts: session, idx, x, y, z (the average, of unit length).
+Finer times are taken as they are if `ticks` says how many of them a millisecond has.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ BLOCK_MS = 60_000
 CHUNK_ROWS = 65_536
 _VECTORS = ["bx", "by", "bz", "fx", "fy", "fz"]
 _SUMMARY = f"session long, block long, start long, last long, a double, {', '.join(c + ' double' for c in _VECTORS)}"
-_CARRY = "session long, block long, last long, sx double, sy double, sz double"
+_ROW = "session long, block long, sample boolean, ts long, idx long, x double, y double, z double"
 _NONE = -(2**63)  # stands for a null session
 
 
@@ -60,13 +61,16 @@ class _Times:
 
     def __init__(self, ts: np.ndarray, group: np.ndarray, first: np.ndarray) -> None:
         self.begin = ts[first]
-        since = ts - self.begin[group]
-        self.most = int(since.max(initial=0)) + 1
-        self.keys = group * (self.most + 1) + since
+        self.distinct = np.unique(ts - self.begin[group])
+        self.keys = self._key(group, ts)
+
+    def _key(self, group: np.ndarray, ts: np.ndarray) -> np.ndarray:
+        # Ranks, not times, so that many groups of long spans do not overflow.
+        return group * (len(self.distinct) + 1) + np.searchsorted(self.distinct, ts - self.begin[group], "left")
 
     def at_least(self, group: np.ndarray, ts: np.ndarray) -> np.ndarray:
         """The first row of each group that is not before a time; the next group's first row if there is none."""
-        return np.searchsorted(self.keys, group * (self.most + 1) + np.clip(ts - self.begin[group], 0, self.most), "left")
+        return np.searchsorted(self.keys, self._key(group, ts), "left")
 
 
 def _chains(following: np.ndarray, group: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -80,20 +84,21 @@ def _chains(following: np.ndarray, group: np.ndarray, starts: np.ndarray) -> Ite
         going, at = going[on], at[on]
 
 
-def average(samples: DataFrame, alpha: float = ALPHA, interval_ms: int = INTERVAL_MS, block_ms: int = BLOCK_MS) -> DataFrame:
+def average(samples: DataFrame, alpha: float = ALPHA, interval_ms: int = INTERVAL_MS, block_ms: int = BLOCK_MS, ticks: int = 1) -> DataFrame:
+    interval, long = interval_ms * ticks, block_ms * ticks
     length = F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2)
     session = F.coalesce(F.col("session").cast("long"), F.lit(_NONE)).alias("session")
     s = samples.withColumn("length", length).where("length > 0").select(session, F.col("ts").cast("long").alias("ts"), F.col("idx").cast("long").alias("idx"), *[(F.col(c) / F.col("length")).alias(c) for c in "xyz"])
-    s = s.where("ts IS NOT NULL").withColumn("block", F.floor(F.col("ts") / block_ms).cast("long"))
+    s = s.where("ts IS NOT NULL").withColumn("block", F.expr(f"(ts - pmod(ts, {long}L)) div {long}L"))
     by = ["session", "block"]
 
     def summary(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, group, first in _groups(parts, by):
             ts, v, block = rows.ts.to_numpy(), rows[["x", "y", "z"]].to_numpy(), rows.block.to_numpy()
             times = _Times(ts, group, first)
-            following = times.at_least(group, ts + interval_ms)
+            following = times.at_least(group, ts + interval)
             # The last sample that counted lies before the block, so the first one here lies within an interval of its begin.
-            able = times.at_least(np.arange(len(first)), block[first] * block_ms + interval_ms)
+            able = times.at_least(np.arange(len(first)), block[first] * long + interval)
             new = np.concatenate([[True], (ts[1:] != ts[:-1]) | (group[1:] != group[:-1])])
             starts = np.flatnonzero(new & (np.arange(len(ts)) <= able[group]))
             count, last, b, fresh = np.zeros(len(starts)), np.zeros(len(starts), np.int64), np.zeros((len(starts), 3)), v[starts]
@@ -120,22 +125,25 @@ def average(samples: DataFrame, alpha: float = ALPHA, interval_ms: int = INTERVA
                 g = group[begins[blocks]]
                 carry[blocks], before[blocks] = done[g], state[g]
                 new = np.isnan(state[g, 0])
-                at = np.where(new, begins[blocks], np.maximum(begins[blocks], times.at_least(g, done[g] + interval_ms)))
+                at = np.where(new, begins[blocks], np.maximum(begins[blocks], times.at_least(g, done[g] + interval)))
                 takes = at < ends[blocks]
                 g, at, new = g[takes], at[takes], new[takes]
                 state[g] = np.where(new[:, None], fresh[at], a[at, None] * state[g] + b[at])
                 done[g] = last[at]
-            out = pd.DataFrame({"session": session[begins], "block": block[begins], "last": carry})
-            yield out.assign(**dict(zip(("sx", "sy", "sz"), before.T, strict=True)))
+            out = pd.DataFrame({"session": session[begins], "block": block[begins], "sample": False, "ts": carry, "idx": 0})
+            yield out.assign(**dict(zip("xyz", before.T, strict=True)))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, group, first in _groups(parts, by):
+            # Each block's first row is what it begins with.
+            begin, rest = rows.iloc[first], np.delete(np.arange(len(rows)), first)
+            rows, group, first = rows.iloc[rest], group[rest], first - np.arange(len(first))
             ts, v = rows.ts.to_numpy(), rows[["x", "y", "z"]].to_numpy()
             times = _Times(ts, group, first)
-            following = times.at_least(group, ts + interval_ms)
-            state, own = rows[["sx", "sy", "sz"]].to_numpy()[first], np.arange(len(first))
+            following = times.at_least(group, ts + interval)
+            state, own = begin[["x", "y", "z"]].to_numpy(), np.arange(len(first))
             new = np.isnan(state[:, 0])
-            starts = np.where(new, first, times.at_least(own, rows["last"].to_numpy()[first] + interval_ms))
+            starts = np.where(new, first, times.at_least(own, begin.ts.to_numpy() + interval))
             takes = starts < np.append(first[1:], len(rows))
             state, starts, new = state[takes], starts[takes], new[takes]
             state[new] = v[starts[new]]
@@ -150,6 +158,8 @@ def average(samples: DataFrame, alpha: float = ALPHA, interval_ms: int = INTERVA
     def ordered(df: DataFrame, keys: list[str], *then: str) -> DataFrame:
         return df.repartition(*keys).sortWithinPartitions(*keys, *then)
 
-    carry = ordered(ordered(s, by, "ts", "idx").mapInPandas(summary, _SUMMARY), ["session"], "block", "start").mapInPandas(compose, _CARRY)
-    got = ordered(s.join(carry, by), by, "ts", "idx").mapInPandas(run, "session long, idx long, x double, y double, z double")
+    carry = ordered(ordered(s, by, "ts", "idx").mapInPandas(summary, _SUMMARY), ["session"], "block", "start").mapInPandas(compose, _ROW)
+    # A union, as a join on a block's keys would do without the repartition by them, and adaptive execution may then read its side in parts.
+    both = carry.unionByName(s.withColumn("sample", F.lit(True)))
+    got = ordered(both, by, "sample", "ts", "idx").mapInPandas(run, "session long, idx long, x double, y double, z double")
     return got.withColumn("session", F.nullif("session", F.lit(_NONE)))

@@ -82,10 +82,10 @@ def stream_gyro(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pointing_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as directions: an average by user that takes a sample every six hours at most."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    ms = F.unix_millis((F.col("ts") - F.lit("2000-01-01").cast("timestamp_ntz") + F.lit("2000-01-01 00:00:00+00:00").cast("timestamp")))
+    us = F.unix_micros((F.col("ts") - F.lit("2000-01-01").cast("timestamp_ntz") + F.lit("2000-01-01 00:00:00+00:00").cast("timestamp")))
     turn, up = F.radians(F.col("value") * 3), F.radians(F.col("event_id") % 80)
-    s = e.select(F.col("user_id").alias("session"), ms.alias("ts"), F.col("event_id").alias("idx"), (F.cos(up) * F.sin(turn)).alias("x"), (F.cos(up) * F.cos(turn)).alias("y"), F.sin(up).alias("z"))
-    got = pointing.average(s, interval_ms=6 * 3_600_000, block_ms=90 * 86_400_000)
+    s = e.select(F.col("user_id").alias("session"), us.alias("ts"), F.col("event_id").alias("idx"), (F.cos(up) * F.sin(turn)).alias("x"), (F.cos(up) * F.cos(turn)).alias("y"), F.sin(up).alias("z"))
+    got = pointing.average(s, interval_ms=6 * 3_600_000, block_ms=90 * 86_400_000, ticks=1000)
     return got.select("session", "idx", *[F.round(c, 6).alias(c) for c in "xyz"])
 
 

@@ -4,12 +4,14 @@ import datetime as dt
 import os
 import random
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from nightloom import catalog
 from nightloom.operators import monitors as M
 from nightloom.operators import pointing as P
 from nightloom.streaming import frames as S
@@ -114,3 +116,42 @@ def test_a_step_is_one_for_all_blocks():
     following = P._Times(ts, group, first).at_least(group, ts + 100)
     steps = list(P._chains(following, group, first))
     assert len(steps) == 20 and sorted(np.concatenate([at for _, at in steps])) == list(range(20_000))
+
+
+def test_a_block_is_averaged_in_one_task(spark, tmp_path):
+    """Samples of two sessions in eight files, whatever join or read adaptive execution takes once it knows that the blocks are few."""
+    rng = random.Random(8)
+    rows = [(k % 2, 10 * k, k, *(rng.uniform(-1, 1) for _ in range(3))) for k in range(20_000)]
+    spark.createDataFrame(rows, SCHEMA).repartition(8).write.parquet(f"{tmp_path}/samples")
+    # A partition a file; tables too large for a broadcast as far as the planner knows, small ones once they are there.
+    chosen = {"spark.sql.files.openCostInBytes": "128m", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "256k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    try:
+        for key, value in chosen.items():
+            spark.conf.set(key, value)
+        got = sorted(tuple(r) for r in P.average(spark.read.parquet(f"{tmp_path}/samples"), interval_ms=100, block_ms=10**9).collect())
+    finally:
+        for key in chosen:
+            spark.conf.unset(key)
+    want = plain(rows, P.ALPHA, 100)
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    np.testing.assert_allclose([r[2:] for r in got], [r[2:] for r in want], atol=1e-9)
+
+
+def test_times_are_as_fine_as_the_tables(spark, tmp_path):
+    """A sample some microseconds short of six hours does not count, and those of one millisecond go by time, as in the SQL."""
+    at = lambda us: T0 + dt.timedelta(microseconds=us)
+    six = 6 * 3_600_000_000
+    rows = [(1, at(900), 1, 10.0), (2, at(six + 100), 1, 50.0), (3, at(six + 900), 1, 70.0), (9, at(100), 2, 10.0), (4, at(200), 2, 20.0), (5, at(six + 150), 2, 30.0)]
+    pd.DataFrame(rows, columns=["event_id", "ts", "user_id", "value"]).astype({"ts": "datetime64[us]"}).to_parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    want = con.sql(catalog.ORACLES["pointing_average"]).fetchall()
+    got = [tuple(r) for r in catalog.QUERIES["pointing_average"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and sorted(r[1] for r in want) == [1, 3, 5, 9]
+
+
+def test_spans_of_many_groups_do_not_overflow():
+    group, first = np.repeat(np.arange(4000), 2), np.arange(0, 8000, 2)
+    ts = np.tile([0, 10**16], 4000)
+    times = P._Times(ts, group, first)
+    assert (times.at_least(np.arange(4000), np.full(4000, 10**16)) == first + 1).all() and (times.at_least(np.arange(4000), np.full(4000, 10**16 + 1)) == first + 2).all()
